@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, packing
+from . import near_duplicates, packing, suffix_dedup
 from .common import table
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,7 +23,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_ngram_jaccard": op7_ngram_jaccard, "op8_packing": op8_packing}
+    return {"op5_suffix_dedup": op5_suffix_dedup, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
