@@ -2,7 +2,8 @@
 
 Every string of ``LENGTH`` bytes is named by the smallest hash of its ``GRAM``-byte substrings. Equal strings
 have equal names, and neighbouring strings mostly share theirs, so a text falls into runs of positions with
-one name, some 1.2 for every 100 bytes. A string can only repeat in a run of the same name.
+one name and one anchor (the last place of that hash), some 1.2 for every 100 bytes. A string can only
+repeat in another run of the same name.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def names(data: np.ndarray) -> np.ndarray:
-    """Name of the LENGTH bytes from each position."""
-    m, width, span = gram_hashes(data), 1, LENGTH - GRAM + 1
+def names(grams: np.ndarray) -> np.ndarray:
+    """Name of the LENGTH bytes from each position, of all gram hashes."""
+    m, width, span = grams, 1, LENGTH - GRAM + 1
     while 2 * width <= span:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
@@ -48,7 +49,8 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     if len(data) < LENGTH:
         return none, none.astype(np.uint64), none, none
     ends = np.cumsum(sizes)
-    name = names(data)
+    grams = gram_hashes(data)
+    name = names(grams)
     edge = np.zeros(len(name) + 1, np.int8)  # +1 where valid positions begin, -1 after their end
     long = sizes >= LENGTH
     np.add.at(edge, (ends - sizes)[long], 1)
@@ -56,6 +58,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     valid = np.cumsum(edge[:-1]).astype(bool)
     change = np.ones(len(name) + 1, bool)
     change[1:-1] = (name[1:] != name[:-1]) | (valid[1:] != valid[:-1])
+    change[1:-1] |= grams[LENGTH - GRAM + 1 :] == name[1:]  # the anchor is the last place of the smallest hash
     at = np.flatnonzero(change)
     first, count = at[:-1], np.diff(at)
     first, count = first[valid[first]], count[valid[first]]
