@@ -39,7 +39,8 @@ SMALL_BUCKET, BLOCK = 64, 1024
 SEEN = 200_000
 #: Signature rows in one Arrow batch.
 ROWS_OUT = 200_000
-SKETCH_BITS = 512
+#: Bits of the parity sketch: sets that differ in d shingles have sketches that differ in at most d bits.
+SKETCH_BITS = 2048
 
 
 class Bands:
@@ -141,7 +142,7 @@ def _shared(signed: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(key, n, shingles, sketch) of the needed (doc_id, key) rows."""
+    """(key, n, shingles, sketch) of the needed (doc_id, key) rows; a repeated row may give its set again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, done = Shingler(), set()
@@ -155,16 +156,16 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                     done.clear()
                 done.add(key)
                 bits = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2
-                out.append((key, len(shingles), shingles.view(np.int64), np.packbits(bits).tobytes()))
+                out.append((key, len(shingles), shingles.view(np.int64), np.packbits(bits).view(np.int64)))
             if out:
                 key, n, sets, sketch = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["key", "n", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], names=["key", "n", "shingles", "sketch"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     rows = text.join(needed, "doc_id").select("text", "key")
-    return written(rows.mapInArrow(run, "key long, n int, shingles array<long>, sketch binary").dropDuplicates(["key"]), "sets")
+    return written(rows.mapInArrow(run, "key long, n int, shingles array<long>, sketch array<long>"), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -176,6 +177,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter("100 * common >= 75 * (nu + nv - common)").select("u", "v")
 
 
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sizes and sketches don't rule out a similarity of 3/4: differences are at most a seventh of both sizes."""
+    a = sets.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("bu"))
+    b = sets.select(F.col("key").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("bv"))
+    both = pairs.join(a, "u").join(b, "v").filter("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
+    differ = F.expr("aggregate(zip_with(bu, bv, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return both.filter(7 * differ <= F.col("nu") + F.col("nv")).select(*pairs.columns)
+
+
 def _across(buckets: DataFrame) -> DataFrame:
     """Likely pairs (u, v) of one bucket (sig) and different roots. buckets: sig, key, root, n, sketch."""
     sized = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("size")), "sig")
@@ -188,7 +198,7 @@ def _across(buckets: DataFrame) -> DataFrame:
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]
-        bits = [np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), -1).view(np.uint64) for x in (left, right)]
+        bits = [np.array(x["sketch"].to_list(), np.int64).view(np.uint64).reshape(len(x), -1) for x in (left, right)]
         keys, roots, sizes = ([x[c].to_numpy(np.int64) for x in (left, right)] for c in ("key", "root", "n"))
         found = []
         for i in range(len(left)):
@@ -210,15 +220,55 @@ def _roots(nodes: DataFrame, column: str, comps: DataFrame, name: str) -> DataFr
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return _classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest doc_id; of equal rows one stays.
+
+    Documents without words are classes of their own. Where no row of a class has an id, each set stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            keys = [set_key(shingler.of((t.as_py() or "").encode())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
+
+    classes = written(_classes(docs), "classes")
+    classes = classes.groupBy("doc_id", "key", "component_id").agg(F.count("*").alias("rows"))
+    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone"))
+    again = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone"))
+    gone, again = (F.broadcast(x) if x.count() <= BROADCAST_ROWS else x for x in (written(gone, "gone"), written(again, "again")))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_key long"])
+    rows = docs.mapInArrow(run, schema)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_gone"))
+    left = rows.join(gone, same, "left_anti")
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"])
+    return left.join(again, same, "left_anti").union(once).drop("_key")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, key, n_shingles, component_id."""
     shared = written(_shared(_signed(docs)), "shared")
     rows = shared.filter("n is not null").select(F.col("a").alias("doc_id"), "key", F.col("n").cast("long").alias("n_shingles"))
     first = rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     buckets = shared.filter("n is null").select(F.col("a").alias("sig"), "leader", "key")
 
-    pairs = written(buckets.select(F.col("leader").alias("u"), F.col("key").alias("v")).distinct(), "pairs")
+    # First each set with the leader that shares most with it, then what is still apart.
+    shares = buckets.groupBy(F.col("leader").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("common"))
+    pairs = written(shares, "pairs")
     nodes = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     sets = _sets(docs, written(first.join(nodes, "key", "left_semi"), "needed"))
-    edges = written(_linked(pairs, sets), "links")
+    pairs = written(_likely(pairs, sets), "likely")
+    best = pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v")
+    best = written(best, "best")
+    edges = written(_linked(best, sets), "links")
+    comps = components(edges)
+
+    apart = _roots(_roots(pairs.select("u", "v"), "u", comps, "ru"), "v", comps, "rv").filter("ru <> rv").select("u", "v")
+    apart = written(apart.join(best, ["u", "v"], "left_anti"), "apart")
+    edges = written(edges.union(_linked(apart, sets)), "links")
     comps = components(edges)
 
     # Buckets of three or more sets whose members are not yet one component.
@@ -226,13 +276,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = rooted.groupBy("sig").agg(F.count("*").alias("others"), F.max(F.col("root") != F.col("leader_root")).alias("differ")).filter("others > 1 and differ").select("sig")
     members = rooted.join(mixed, "sig", "left_semi")
     members = members.select("sig", "key", "root").union(members.select("sig", F.col("leader"), "leader_root")).distinct()
-    members = written(members.join(sets.select("key", "n", "sketch"), "key"), "mixed")
-    more = _across(members).join(pairs, ["u", "v"], "left_anti")
-    edges = edges.union(_linked(written(more, "across"), sets))
-    comps = components(edges)
+    members = written(members.join(sets.select("key", "n", "sketch").dropDuplicates(["key"]), "key"), "mixed")
+    across = _across(members).join(pairs.select("u", "v"), ["u", "v"], "left_anti")  # all likely pairs were tried or are linked
+    across = written(_likely(across, sets), "across")
+    comps = components(edges.union(_linked(across, sets)))
 
     named = _roots(first.withColumnRenamed("doc_id", "first_id"), "key", comps, "root")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_key = named.join(smallest, "root").select("key", "component_id")
     out = rows.join(by_key, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -9,29 +9,35 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import mix64
+from .common import SPACES, mix64
 
 WORDS = 5
-#: Distinct words whose hashes a task remembers.
-WORDS_KEPT = 300_000
 _BASE = 0x9E3779B97F4A7C15
+_LOWER = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
+_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 
 
 class Shingler:
     def __init__(self, words: int = WORDS):
-        self.words, self.kept = words, {}
+        self.words = words
         self.powers = np.array([pow(_BASE, words - 1 - i, 1 << 64) for i in range(words)], np.uint64)
+        self.places = np.ones(1, np.uint64)
 
     def word_hashes(self, text: bytes) -> np.ndarray:
-        words, kept = text.lower().split(), self.kept
-        try:
-            return np.array([kept[w] for w in words], np.uint64)
-        except KeyError:
-            if len(kept) > WORDS_KEPT:
-                kept.clear()
-            for w in set(words).difference(kept):
-                kept[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([kept[w] for w in words], np.uint64)
+        """A polynomial in each word's bytes, mixed."""
+        data = np.frombuffer(text, np.uint8)
+        edge = np.diff(_SPACE[data], prepend=True, append=True)
+        begin, end = np.flatnonzero(edge)[::2], np.flatnonzero(edge)[1::2]
+        if not len(begin):
+            return np.zeros(0, np.uint64)
+        size = end - begin
+        longest = int(size.max())
+        if longest > len(self.places):
+            self.places = np.cumprod(np.full(longest, _BASE, np.uint64))
+        first = np.cumsum(size) - size
+        nth = np.arange(int(size.sum())) - np.repeat(first, size)
+        sums = np.add.reduceat(_LOWER[data[nth + np.repeat(begin, size)]] * self.places[nth], first)
+        return mix64(sums + size.astype(np.uint64))
 
     def of(self, text: bytes | None) -> np.ndarray:
         """Sorted distinct hashes of the text's shingles."""
@@ -44,4 +50,5 @@ class Shingler:
         sums = words[: n - size + 1] * self.powers[0]
         for i in range(1, size):
             sums += words[i : n - size + 1 + i] * self.powers[i]
-        return np.unique(mix64(sums))
+        sums = np.sort(mix64(sums))
+        return sums[np.r_[True, sums[1:] != sums[:-1]]]
