@@ -33,7 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    spark.sparkContext._jvm.System.gc()  # Spark removes a finished job's shuffle files as the driver collects its garbage
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import written
+from .common import discard, written
 from .windows import GRAM, LENGTH
 
 BLOCK = 16
@@ -126,10 +126,10 @@ def _blocks(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
         for batch in batches:
             for t, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data, rows = text.as_py(), []
+                grams = windows.gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64)
                 for p in places.as_py():
                     lo, n = p["lo"], p["n"]
-                    window = np.frombuffer(data, np.uint8, n + LENGTH - 1, lo)
-                    occurs = np.flatnonzero(windows.gram_hashes(window).view(np.int64) == p["m"])
+                    occurs = np.flatnonzero(grams[lo : lo + n + LENGTH - GRAM] == p["m"])
                     at = np.arange(n)
                     anchor = occurs[np.searchsorted(occurs, at + LENGTH - GRAM, side="right") - 1]
                     block = (anchor - at) // BLOCK
@@ -153,26 +153,23 @@ def _triples(keyed: DataFrame, hulls: DataFrame) -> DataFrame:
     """Of each hull (h, t, lo, n): its sampled positions' characters (h, i, step, a, b, c), and with step -1
     the rows to merge: (h, i, shift of the name, two bytes beside the named ones)."""
 
-    def chars(data: bytes, count: int) -> np.ndarray:
-        return np.array([xxhash.xxh3_64_intdigest(data[i : i + CHAR]) for i in range(count)], np.uint64).view(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, places in zip(batch.column(1), batch.column(2)):
-                data, out = text.as_py(), []
+                raw, out = np.frombuffer(text.as_py(), np.uint8), []
+                chars = windows.gram_hashes(raw, CHAR).view(np.int64)
                 for p in places.as_py():
-                    n, bytes_ = p["n"], data[p["lo"] : p["lo"] + p["n"] + LENGTH - 1]
+                    n, lo = p["n"], p["lo"]
                     at = np.arange(n + 2)
-                    at = at[(at % 3 > 0) & (at + DEPTH <= len(bytes_))]
-                    c = chars(bytes_, len(bytes_) - CHAR + 1)
+                    at, c = at[at % 3 > 0], chars[lo : lo + n + LENGTH - CHAR]
                     for step in range(3):
                         q = at + STEP * step
                         out.append(np.column_stack([np.full(len(q), p["h"]), at, np.full(len(q), step), c[q], c[q + CHAR], c[q + 2 * CHAR]]))
-                    raw, i = np.frombuffer(bytes_, np.uint8).astype(np.int64), np.arange(n)
+                    own, i = raw[lo : lo + n + LENGTH - 1].astype(np.int64), np.arange(n)
                     for shift, classes in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
                         q = i[np.isin(i % 3, classes)]
-                        first = raw[q] if shift else raw[q + DEPTH]
-                        second = raw[q + 1] if shift == 2 else raw[q + LENGTH - 1]
+                        first = own[q] if shift else own[q + DEPTH]
+                        second = own[q + 1] if shift == 2 else own[q + LENGTH - 1]
                         out.append(np.column_stack([np.full(len(q), p["h"]), q, np.full(len(q), -1), np.full(len(q), shift), first, second]))
                 if out:
                     rows = np.concatenate(out)
@@ -214,7 +211,7 @@ def _suffix_repeats(keyed: DataFrame, hulls: DataFrame) -> DataFrame:
     names = _ranked(rows.filter("step >= 0"), "name")
     # The recursion: a sampled position's three names are a triple of the reduced string.
     reduced = names.groupBy("h", "i").agg(*(F.max(F.when(F.col("step") == k, F.col("name"))).alias(c) for k, c in enumerate("abc")))
-    deep = _ranked(reduced, "name")
+    deep = written(_ranked(reduced, "name"), "deep")
     merge = rows.filter("step = -1").select("h", "i", F.col("a").alias("shift"), F.col("b").alias("first"), F.col("c").alias("second"))
     deep = deep.select("h", F.col("i").alias("j"), "name")
     placed = merge.withColumn("j", F.col("i") + F.col("shift")).join(deep, ["h", "j"])
@@ -228,18 +225,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     may overlap; ``copied`` texts have equal rows and go wholly."""
     keyed = _keyed(docs)
     copies = keyed.filter(F.octet_length("text") >= LENGTH).groupBy("t").agg(F.count("*").alias("rows")).filter("rows > 1").select("t")
+    copies = written(copies, "copies")
     runs = written(_runs(keyed), "runs")
 
     # Names with more than one place; open ones have different contexts.
     several = runs.groupBy("m").agg(*_several("t", "lo"), (F.min("c1") != F.max("c1")).alias("open")).filter(_MANY).select("m", "open")
-    runs = written(runs.join(several, "m"), "candidates")
+    every, runs = runs, written(runs.join(several, "m"), "candidates")
+    discard(every)
     contexts = runs.groupBy("m", "c1", "c2", "n", "open").agg(*_several("t", "lo"))
     contexts = written(contexts.select("m", "c1", "c2", "n", "open", "t0", "at0", F.expr(_MANY).alias("copied")), "contexts")
     whole = runs.join(contexts.filter("copied").select("m", "c1", "c2", "n"), ["m", "c1", "c2", "n"], "left_semi").select("t", "lo", "n")
+    whole = written(whole.join(copies, "t", "left_anti"), "whole")
+    discard(runs)
 
     cut = written(_blocks(keyed, contexts.filter("open").select(F.col("t0").alias("t"), F.col("at0").alias("lo"), "n", "m", "copied")), "blocks")
     hulls = cut.groupBy("core", "h1", "h2", "n").agg(*_several("t", "lo"), F.max("copied").alias("copied"))
     hulls = written(hulls.select("core", "h1", "h2", "n", "t0", "at0", F.expr(_MANY).alias("many"), "copied"), "hulls")
+    discard(contexts)
     whole = whole.union(cut.join(hulls.filter("many").select("core", "h1", "h2", "n"), ["core", "h1", "h2", "n"], "left_semi").select("t", "lo", "n"))
 
     undecided = hulls.groupBy("core").agg((F.count("*") > 1).alias("several"), F.max(~F.col("many") & ~F.col("copied")).alias("asked")).filter("several and asked").select("core")

@@ -20,12 +20,20 @@ _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np
 _BASE = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position."""
-    h, width = _BYTES[data], 1
-    while width < GRAM:
-        h = h[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + h[width:]
+def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hash of the ``size`` bytes from each position."""
+    power, width, h, done = _BYTES[data], 1, None, 0
+    while True:
+        if size & width:  # the sums of powers of two that make up the size, one after the other
+            part = power[done:]
+            n = min(len(part), len(h)) if done else len(part)
+            h = h[:n] * np.uint64(pow(_BASE, width, 1 << 64)) + part[:n] if done else part.copy()
+            done += width
+        if 2 * width > size:
+            break
+        power = power[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + power[width:]
         width *= 2
+    h = h[: max(0, len(data) - size + 1)]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
