@@ -32,8 +32,8 @@ VECTOR = {
     "v0": ("ln(n_words)", 0.3),
     "v1": ("ln(word_chars / n_words)", 0.05),
     "v2": ("ln(1 + 100 * n_symbols / n_words)", 0.7),
-    "v3": ("ln(1 + n_dup_lines)", 0.5),
-    "v4": ("ln(1 + 100 * n_repeat_words / n_words)", 0.7),
+    "v3": ("ln(1 + n_dup_lines)", 1.0),
+    "v4": ("ln(1 + 100 * n_repeat_words / n_words)", 1.2),
 }
 DIMS = list(VECTOR)
 PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
