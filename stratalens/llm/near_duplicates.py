@@ -169,7 +169,10 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) whose sets have a Jaccard similarity of at least 3/4."""
+    """The (u, v) whose sets have a Jaccard similarity of at least 3/4. Only the sets in ``pairs`` move."""
+    ids = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+    ids = F.broadcast(ids) if pairs.count() <= BROADCAST_ROWS // 2 else ids
+    sets = sets.join(ids, "key", "left_semi")
     a = sets.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
     b = sets.select(F.col("key").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
     both = pairs.join(a, "u").join(b, "v").filter("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
