@@ -31,7 +31,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +60,6 @@ def _emit(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns[c]) if columns[c] else [], kinds[c]) for c in kinds], names=list(kinds))
 
 
-def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
 def _runs(keyed: DataFrame) -> DataFrame:
     """(m, c1, c2, n, t, lo): each run's name, whole context, number of positions, text and first position."""
     kinds = {"m": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "n": pa.int32(), "t": pa.int64(), "lo": pa.int32()}
@@ -83,11 +77,7 @@ def _runs(keyed: DataFrame) -> DataFrame:
                     keys.append(t)
                     texts.append(text.as_py())
             for begin, part in windows.chunks(texts):
-                text, name, lo, n = windows.runs(part)
-                if not len(text):
-                    continue
-                hashes = [xxhash.xxh3_128_digest(part[i][a : a + k + LENGTH - 1]) for i, a, k in zip(text.tolist(), lo.tolist(), n.tolist())]
-                c1, c2 = _halves(hashes)
+                text, name, lo, n, c1, c2 = windows.runs(part)
                 for c, v in zip(kinds, (name.view(np.int64), c1, c2, n.astype(np.int32), np.array(keys, np.int64)[text + begin], lo.astype(np.int32))):
                     out[c].append(v)
                 size += len(text)
@@ -118,64 +108,75 @@ def _in_texts(keyed: DataFrame, needed: DataFrame, fields: list[str], run: Calla
     return texts.join(grouped, "t").select("t", "text", "places").mapInArrow(run, schema)
 
 
+def _places(column, fields: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """The fields of one text's list of places, as arrays."""
+    values = column.values
+    return tuple(np.asarray(values.field(values.type.get_field_index(f))) for f in fields)
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, 0, 1, .. within the owner) of so many items each."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _blocks(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
     """(core, h1, h2, n, t, lo, copied) of each block of the contexts (t, lo, n, m, copied)."""
     kinds = {"core": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "n": pa.int32(), "t": pa.int64(), "lo": pa.int32(), "copied": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = {c: [] for c in kinds}
             for t, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data, rows = text.as_py(), []
-                grams = windows.gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64)
-                for p in places.as_py():
-                    lo, n = p["lo"], p["n"]
-                    occurs = np.flatnonzero(grams[lo : lo + n + LENGTH - GRAM] == p["m"])
-                    at = np.arange(n)
-                    anchor = occurs[np.searchsorted(occurs, at + LENGTH - GRAM, side="right") - 1]
-                    block = (anchor - at) // BLOCK
-                    cuts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])])
-                    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), n]):
-                        core = lo + int(anchor[i]) - BLOCK * int(block[i])
-                        hull = xxhash.xxh3_128_digest(data[lo + i : lo + j - 1 + LENGTH])
-                        rows.append((xxhash.xxh3_64_intdigest(data[core : core - BLOCK + 1 + LENGTH]), hull, j - i, lo + i, p["copied"]))
-                if rows:
-                    core, hull, n, at, copied = zip(*rows)
-                    h1, h2 = _halves(hull)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.array(core, np.uint64).view(np.int64)), pa.array(h1), pa.array(h2), pa.array(n, pa.int32()), pa.array([t] * len(rows), pa.int64()), pa.array(at, pa.int32()), pa.array(copied, pa.bool_())],
-                        names=list(kinds),
-                    )
+                data = np.frombuffer(text.as_py(), np.uint8)
+                lo, n, m, copied = _places(places, ("lo", "n", "m", "copied"))
+                lo, n = lo.astype(np.int64), n.astype(np.int64)
+                grams = windows.gram_hashes(data).view(np.int64)
+                within = grams[lo[:, None] + np.arange(LENGTH - GRAM + 1)] == m[:, None]
+                anchor = lo + LENGTH - GRAM - within[:, ::-1].argmax(axis=1)  # the last place of the name in the run's first string
+                first, last = (anchor - lo) // BLOCK, (anchor - lo - n + 1) // BLOCK
+                owner, nth = _spread(first - last + 1)
+                block = first[owner] - nth
+                core = anchor[owner] - BLOCK * block
+                begin, end = np.maximum(lo[owner], core - BLOCK + 1), np.minimum((lo + n - 1)[owner], core)
+                substrings = windows.Substrings(data)
+                hashes = substrings.of(begin, end + LENGTH)
+                values = (substrings.of(core, core - BLOCK + 1 + LENGTH)[0], *hashes, (end - begin + 1).astype(np.int32), np.full(len(begin), t, np.int64), begin.astype(np.int32), copied[owner])
+                for c, v in zip(kinds, values):
+                    out[c].append(v)
+            if len(batch):
+                yield _emit(out, kinds)
 
     return _in_texts(keyed, contexts, ["lo", "n", "m", "copied"], run, "core long, h1 long, h2 long, n int, t long, lo int, copied boolean")
 
 
 def _triples(keyed: DataFrame, hulls: DataFrame) -> DataFrame:
-    """Of each hull (h, t, lo, n): its sampled positions' characters (h, i, step, a, b, c), and with step -1
-    the rows to merge: (h, i, shift of the name, two bytes beside the named ones)."""
+    """Of each hull (h, t, lo, n) its sampled positions i, as the three triples (a, b, c) of characters at ``step`` 0 to 2,
+    and the two bytes on either side of what these name, under the number of the hull's positions (``beside``)."""
+    kinds = dict.fromkeys(("h", "i", "step", "beside", "a", "b", "c"), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = {c: [] for c in kinds}
             for text, places in zip(batch.column(1), batch.column(2)):
-                raw, out = np.frombuffer(text.as_py(), np.uint8), []
-                chars = windows.gram_hashes(raw, CHAR).view(np.int64)
-                for p in places.as_py():
-                    n, lo = p["n"], p["lo"]
-                    at = np.arange(n + 2)
-                    at, c = at[at % 3 > 0], chars[lo : lo + n + LENGTH - CHAR]
-                    for step in range(3):
-                        q = at + STEP * step
-                        out.append(np.column_stack([np.full(len(q), p["h"]), at, np.full(len(q), step), c[q], c[q + CHAR], c[q + 2 * CHAR]]))
-                    own, i = raw[lo : lo + n + LENGTH - 1].astype(np.int64), np.arange(n)
-                    for shift, classes in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
-                        q = i[np.isin(i % 3, classes)]
-                        first = own[q] if shift else own[q + DEPTH]
-                        second = own[q + 1] if shift == 2 else own[q + LENGTH - 1]
-                        out.append(np.column_stack([np.full(len(q), p["h"]), q, np.full(len(q), -1), np.full(len(q), shift), first, second]))
-                if out:
-                    rows = np.concatenate(out)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(6)], names=["h", "i", "step", "a", "b", "c"])
-
-    return _in_texts(keyed, hulls, ["h", "lo", "n"], run, "h long, i long, step long, a long, b long, c long")
+                data = np.frombuffer(text.as_py(), np.uint8)
+                h, lo, n = _places(places, ("h", "lo", "n"))
+                chars = windows.gram_hashes(data, CHAR).view(np.int64)
+                owner, i = _spread(n.astype(np.int64) + 2)
+                owner, i = owner[i % 3 > 0], i[i % 3 > 0]
+                at = lo[owner].astype(np.int64) + i
+                wide = np.r_[np.zeros(2, np.int64), data, np.zeros(2, np.int64)]  # what lies outside is never compared
+                beside = n[owner].astype(np.int64)
+                for k in (-2, -1, DEPTH, DEPTH + 1):
+                    beside = beside << 8 | wide[at + k + 2]
+                for step in range(3):
+                    q = at + STEP * step
+                    for c, v in zip(kinds, (h[owner], i, np.full(len(q), step), beside if step == 0 else np.zeros_like(beside), chars[q], chars[q + CHAR], chars[q + 2 * CHAR])):
+                        out[c].append(v)
+            if len(batch):
+                yield _emit(out, kinds)
+
+    return _in_texts(keyed, hulls, ["h", "lo", "n"], run, "h long, i long, step long, beside long, a long, b long, c long")
 
 
 def _ranked(rows: DataFrame, name: str) -> DataFrame:
@@ -207,17 +208,40 @@ def _ranked(rows: DataFrame, name: str) -> DataFrame:
 
 def _suffix_repeats(keyed: DataFrame, hulls: DataFrame) -> DataFrame:
     """(h, i) of the positions of the hulls (h, t, lo, n) whose string starts at another position of them too."""
-    rows = written(_triples(keyed, hulls), "triples")
-    names = _ranked(rows.filter("step >= 0"), "name")
+    names = _ranked(_triples(keyed, hulls), "name")
     # The recursion: a sampled position's three names are a triple of the reduced string.
-    reduced = names.groupBy("h", "i").agg(*(F.max(F.when(F.col("step") == k, F.col("name"))).alias(c) for k, c in enumerate("abc")))
-    deep = written(_ranked(reduced, "name"), "deep")
-    merge = rows.filter("step = -1").select("h", "i", F.col("a").alias("shift"), F.col("b").alias("first"), F.col("c").alias("second"))
-    deep = deep.select("h", F.col("i").alias("j"), "name")
-    placed = merge.withColumn("j", F.col("i") + F.col("shift")).join(deep, ["h", "j"])
-    order = "name", "shift", "first", "second"
-    groups = placed.groupBy(*order).agg(F.count("*").alias("places")).filter("places > 1")
-    return placed.join(groups, list(order), "left_semi").select("h", "i").distinct()
+    reduced = names.groupBy("h", "i").agg(F.max("beside").alias("beside"), *(F.max(F.when(F.col("step") == k, F.col("name"))).alias(c) for k, c in enumerate("abc")))
+    deep = _ranked(reduced, "name")
+    # Merging: position i by the name at i + shift, with the bytes that complete its string before and after.
+    byte = lambda k: F.shiftright("beside", 8 * k).bitwiseAND(F.lit(255))
+    ways = [(0, byte(1), byte(0)), (1, byte(2), byte(1)), (2, byte(3), byte(2))]
+    placed = deep.withColumn("way", F.explode(F.array(*(F.struct(F.lit(s).alias("shift"), (a * 256 + b).cast("int").alias("rest")) for s, a, b in ways))))
+    placed = placed.select("h", (F.col("i") - F.col("way.shift")).alias("i"), "name", "way.shift", "way.rest", F.shiftright("beside", 32).alias("n")).filter("i >= 0 and i < n").drop("n")
+
+    def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # of the batch before: its last row, and whether that was given out
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("name", "shift", "rest", "h", "i")])
+            if last is not None:
+                rows = np.concatenate([last, rows])
+            same = (rows[1:, :3] == rows[:-1, :3]).all(axis=1)
+            hit = np.r_[False, same] | np.r_[same, False]
+            last = rows[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[hit, 3]), pa.array(rows[hit, 4])], names=["h", "i"])
+
+    order = "name", "shift", "rest"
+    ordered = placed.repartition("name").sortWithinPartitions(*order).select(*order, "h", "i")
+    return ordered.mapInArrow(adjacent, "h long, i long").distinct()
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, spans) with the spans of each text sorted, and joined where they meet."""
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        spans = [[{"begin": a, "end": b} for a, b in merged(0, False, x)] for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["t", "spans"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -251,6 +275,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     places = whole.union(single).join(copies, "t", "left_anti")
     spans = places.groupBy("t").agg(F.collect_list(F.struct(F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("end"))).alias("spans"))
+    spans = spans.mapInArrow(_joined, "t long, spans array<struct<begin:int,end:int>>")
     none = F.lit(None).cast("array<struct<begin:int,end:int>>")
     return spans.select("t", F.lit(False).alias("copied"), "spans").union(copies.select("t", F.lit(True), none))
 

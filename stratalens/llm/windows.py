@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import mix64
+
 LENGTH = 200
 GRAM = 32
 #: Bytes of text handled at once.
@@ -40,6 +42,31 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     return h
 
 
+class Substrings:
+    """128-bit hashes of any substrings of a text, from prefix sums of two polynomials in its bytes."""
+
+    _bases = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+    _powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __init__(self, data: np.ndarray):
+        n, cls = len(data) + 1, Substrings
+        if not cls._powers or len(cls._powers[0][0]) < n:
+            size = max(n, CHUNK)
+            cls._powers = [tuple(np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size, b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64))) for base in self._bases]
+        values = _BYTES[data]
+        self.sums = []
+        for (up, _), part in zip(cls._powers, (values, values ^ np.uint64(0xA5A5A5A5A5A5A5A5))):
+            total = np.zeros(n, np.uint64)
+            np.cumsum(part * up[: n - 1], out=total[1:])
+            self.sums.append(total)
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for total, (_, down) in zip(self.sums, self._powers):
+            out.append(mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)).view(np.int64))
+        return out[0], out[1]
+
+
 def names(grams: np.ndarray) -> np.ndarray:
     """Name of the LENGTH bytes from each position, of all gram hashes."""
     m, width, span = grams, 1, LENGTH - GRAM + 1
@@ -49,13 +76,13 @@ def names(grams: np.ndarray) -> np.ndarray:
     return np.minimum(m[: len(m) - (span - width)], m[span - width :])
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, name, first position, number of positions) of each run of the texts."""
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text number, name, first position, number of positions, whole context's two hashes) of each run of the texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none, none
     ends = np.cumsum(sizes)
     grams = gram_hashes(data)
     name = names(grams)
@@ -71,7 +98,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     first, count = at[:-1], np.diff(at)
     first, count = first[valid[first]], count[valid[first]]
     text = np.searchsorted(ends, first, side="right")
-    return text, name[first], first - (ends - sizes)[text], count
+    return text, name[first], first - (ends - sizes)[text], count, *Substrings(data).of(first, first + count + LENGTH - 1)
 
 
 def chunks(texts: list[bytes]):
