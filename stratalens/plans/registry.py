@@ -29,9 +29,10 @@ def query(name: str, sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of a sum doesn't show."""
-    return df.select(*(F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema))
+def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show; ``keep`` are values as they were read."""
+    double = lambda f: isinstance(f.dataType, T.DoubleType) and f.name not in keep
+    return df.select(*(F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if double(f) else F.col(f"`{f.name}`") for f in df.schema))
 
 
 # -- scans over orders -----------------------------------------------------------------------------------------
@@ -148,7 +149,7 @@ _SLOPE = "CASE WHEN isnan(regr_slope(term_gpa, term_index)) THEN NULL ELSE regr_
   CAST(sum(is_regular) AS BIGINT) AS n_regular_terms, count(*) FILTER (term_gpa < 2.5) AS low_gpa_terms_2_5, count(*) FILTER (term_gpa < 3.0) AS low_gpa_terms_3_0, round({_SLOPE}, 6) AS gpa_trend_slope,
   round(any_value(early), 6) AS first_two_regular_mean_gpa, round(sum(is_summer) / count(*), 6) AS summer_term_ratio FROM t LEFT JOIN er USING (c_custkey) GROUP BY c_custkey""")
 def trajectory_summary(spark, sf_dir):
-    return rounded(trajectory.summarise(B.terms(spark, sf_dir), "c_custkey"))
+    return rounded(trajectory.summarise(B.terms(spark, sf_dir), "c_custkey"), keep=("min_term_gpa", "max_term_gpa", "first_term_gpa", "last_term_gpa"))
 
 
 _SLOPES = f"{B.TERMS}, sl AS (SELECT c_custkey, {_SLOPE} AS gpa_slope FROM t GROUP BY 1)"
