@@ -52,6 +52,18 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int, *order: str) -> DataFrame:
+    """About ``rows`` rows, never more, spread by the hash of a key: the same rows for the same table.
+
+    Rows whose hash is out of reach go before the sort, so each task sends few to the driver at any size.
+    """
+    total = df.count()
+    place = F.xxhash64(F.col(key).cast("string"))
+    reach = min(1.0, 2 * (rows + 50) / max(1, total))
+    near = df.filter(F.pmod(place, F.lit(1 << 20)) <= int(reach * (1 << 20))) if reach < 1 else df
+    return near.orderBy(place, *order).limit(rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_sample, held_out
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -154,10 +154,9 @@ def _train_pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, list[np.ndar
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
     """Learn from at most ``rows`` labelled rows that aren't held out, spread over the languages by hash order."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    labelled = labelled.filter(F.col("text").rlike(r"\p{L}"))
-    start = F.substring(F.col("text").cast("string"), 1, TRAIN_BYTES)
-    sample = labelled.select(F.xxhash64(F.col("doc_id").cast("string")).alias("place"), "lang", start.cast("binary").alias("text"))
-    sample = sample.orderBy("place", "lang", "text").limit(rows).collect()
+    start = F.substring(F.col("text").cast("string"), 1, TRAIN_BYTES).alias("text")
+    sample = bounded_sample(labelled.select("doc_id", "lang", start), "doc_id", rows, "lang", "text")
+    sample = sample.filter(F.col("text").rlike(r"\p{L}")).select("lang", F.col("text").cast("binary").alias("text")).collect()
     return fit([bytes(r["text"]) for r in sample], [r["lang"] for r in sample]) if sample else None
 
 

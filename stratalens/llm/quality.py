@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_sample, held_out
 
 #: Labelled documents that training reads at most, and the lines it takes from each.
 TRAIN_ROWS, TRAIN_LINES = 3_000, 32
@@ -209,7 +209,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Field:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     """Learn from at most ``rows`` labelled documents that aren't held out, in hash order."""
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    sample = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "quality").limit(rows)
+    sample = bounded_sample(known, "doc_id", rows, "doc_id", "quality")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     got = texts.join(F.broadcast(sample), "doc_id").collect()
     got = sorted((r["doc_id"], bytes(r["text"]), r["quality"]) for r in got)[: 2 * rows]

@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import bounded_sample, held_out, written
 
 #: (verdict, rule): the rule's host, then its path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -95,8 +95,7 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFram
     """One row per page: page_id, host, path, rule, verdict."""
     rows = _lexical(ruled(parsed(pages.select("page_id", "url")), rules))
     sample = rows.filter(F.col("ruled").isNotNull() & ~held_out("page_id")).withColumn("label", (F.col("ruled") == "block").cast("double"))
-    sample = sample.orderBy(F.xxhash64(F.col("page_id").cast("string")), "page_id", "url").limit(TRAIN_ROWS)
-    sample = written(sample.drop("rule", "ruled"), "labelled_urls")
+    sample = written(bounded_sample(sample.drop("rule", "ruled"), "page_id", TRAIN_ROWS, "page_id", "url"), "labelled_urls")
     labels = [r["label"] for r in sample.select("label").distinct().collect()]  # at most two rows
     if len(labels) < 2:
         by_method = F.lit("block" if labels == [1.0] else "allow")
