@@ -29,10 +29,9 @@ def query(name: str, sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles rounded, so that the order of a sum doesn't show; ``keep`` are values as they were read."""
-    double = lambda f: isinstance(f.dataType, T.DoubleType) and f.name not in keep
-    return df.select(*(F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if double(f) else F.col(f"`{f.name}`") for f in df.schema))
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show."""
+    return df.select(*(F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema))
 
 
 # -- scans over orders -----------------------------------------------------------------------------------------
@@ -130,14 +129,14 @@ def selected(spark, sf_dir):
 # -- series over customers -------------------------------------------------------------------------------------
 
 
-@query("r1_melt", f"WITH {B.TERMS} SELECT * FROM t")
+@query("r1_melt", f"WITH {B.TERMS} SELECT * REPLACE (round(term_gpa, 6) AS term_gpa) FROM t")
 def melt(spark, sf_dir):
-    return B.terms(spark, sf_dir)
+    return rounded(B.terms(spark, sf_dir))
 
 
-@query("r4_term_grid", f"WITH {B.TERMS} SELECT c_custkey, " + ", ".join(f"max(term_gpa) FILTER (term_slot = '{s}') AS \"{s}\"" for s in B.TERM_SLOTS) + " FROM t GROUP BY c_custkey")
+@query("r4_term_grid", f"WITH {B.TERMS} SELECT c_custkey, " + ", ".join(f"round(max(term_gpa) FILTER (term_slot = '{s}'), 6) AS \"{s}\"" for s in B.TERM_SLOTS) + " FROM t GROUP BY c_custkey")
 def grid(spark, sf_dir):
-    return B.term_grid(spark, sf_dir)
+    return rounded(B.term_grid(spark, sf_dir))
 
 
 _EARLY = "er AS (SELECT c_custkey, avg(term_gpa) AS early FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY term_index) AS r FROM t WHERE is_regular = 1) WHERE r <= 2 GROUP BY 1)"
@@ -145,11 +144,11 @@ _SLOPE = "CASE WHEN isnan(regr_slope(term_gpa, term_index)) THEN NULL ELSE regr_
 
 
 @query("a1_trajectory", f"""WITH {B.TERMS}, {_EARLY} SELECT c_custkey, count(*) AS terms_with_gpa, round(avg(term_gpa), 6) AS mean_term_gpa, round(median(term_gpa), 6) AS median_term_gpa, round(stddev_samp(term_gpa), 6) AS std_term_gpa,
-  min(term_gpa) AS min_term_gpa, max(term_gpa) AS max_term_gpa, arg_min(term_gpa, term_index) AS first_term_gpa, arg_max(term_gpa, term_index) AS last_term_gpa, CAST(sum(is_summer) AS BIGINT) AS n_summer_terms,
+  round(min(term_gpa), 6) AS min_term_gpa, round(max(term_gpa), 6) AS max_term_gpa, round(arg_min(term_gpa, term_index), 6) AS first_term_gpa, round(arg_max(term_gpa, term_index), 6) AS last_term_gpa, CAST(sum(is_summer) AS BIGINT) AS n_summer_terms,
   CAST(sum(is_regular) AS BIGINT) AS n_regular_terms, count(*) FILTER (term_gpa < 2.5) AS low_gpa_terms_2_5, count(*) FILTER (term_gpa < 3.0) AS low_gpa_terms_3_0, round({_SLOPE}, 6) AS gpa_trend_slope,
   round(any_value(early), 6) AS first_two_regular_mean_gpa, round(sum(is_summer) / count(*), 6) AS summer_term_ratio FROM t LEFT JOIN er USING (c_custkey) GROUP BY c_custkey""")
 def trajectory_summary(spark, sf_dir):
-    return rounded(trajectory.summarise(B.terms(spark, sf_dir), "c_custkey"), keep=("min_term_gpa", "max_term_gpa", "first_term_gpa", "last_term_gpa"))
+    return rounded(trajectory.summarise(B.terms(spark, sf_dir), "c_custkey"))
 
 
 _SLOPES = f"{B.TERMS}, sl AS (SELECT c_custkey, {_SLOPE} AS gpa_slope FROM t GROUP BY 1)"
@@ -333,9 +332,9 @@ def top_levels(spark, sf_dir):
     return keys.top_levels(B.read(spark, sf_dir, "customer"), "c_nationkey", 5).select("c_custkey")
 
 
-@query("q15_lookup", f"WITH {B.TERMS} SELECT term_index, term_gpa FROM t WHERE c_custkey = 7")
+@query("q15_lookup", f"WITH {B.TERMS} SELECT term_index, round(term_gpa, 6) AS term_gpa FROM t WHERE c_custkey = 7")
 def lookup(spark, sf_dir):
-    return keys.lookup(B.terms(spark, sf_dir), "7", ["c_custkey"]).select("term_index", "term_gpa")
+    return rounded(keys.lookup(B.terms(spark, sf_dir), "7", ["c_custkey"]).select("term_index", "term_gpa"))
 
 
 @query("q16_overlap", "SELECT count(*) AS left_rows, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS matched, count(DISTINCT c_custkey) AS left_keys FROM customer")
