@@ -44,9 +44,9 @@ def _slot() -> Column:
 
 
 def term_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by term: the mean order price over 125,000, on about a 0 to 4 scale."""
+    """Customers by term: the mean order price over 123,457, on about a 0 to 4 scale."""
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), _slot().alias("slot"), "o_totalprice")
-    return o.groupBy("c_custkey").pivot("slot", TERM_SLOTS).agg(F.avg("o_totalprice") / 125000)
+    return o.groupBy("c_custkey").pivot("slot", TERM_SLOTS).agg(F.avg("o_totalprice") / 123457)
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TERMS = """s AS (SELECT o_custkey AS c_custkey, year(o_orderdate) AS yr, CASE WHEN month(o_orderdate) <= 4 THEN 'spring' WHEN month(o_orderdate) <= 7 THEN 'summer' ELSE 'fall' END AS season, o_totalprice FROM orders),
 t AS (SELECT c_custkey, CAST((yr - 1995) * 3 + CASE season WHEN 'spring' THEN 1 WHEN 'summer' THEN 2 ELSE 3 END AS INTEGER) AS term_index, yr || '_' || season AS term_slot,
-  avg(o_totalprice) / 125000 AS term_gpa, CASE WHEN season = 'summer' THEN 1 ELSE 0 END AS is_summer, CASE WHEN season = 'summer' THEN 0 ELSE 1 END AS is_regular FROM s GROUP BY c_custkey, yr, season)"""
+  avg(o_totalprice) / 123457 AS term_gpa, CASE WHEN season = 'summer' THEN 1 ELSE 0 END AS is_summer, CASE WHEN season = 'summer' THEN 0 ELSE 1 END AS is_regular FROM s GROUP BY c_custkey, yr, season)"""
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
