@@ -39,8 +39,9 @@ SMALL_BUCKET, BLOCK = 64, 1024
 SEEN = 200_000
 #: Signature rows in one Arrow batch.
 ROWS_OUT = 200_000
-#: Bits of the parity sketch: sets that differ in d shingles have sketches that differ in at most d bits.
-SKETCH_BITS = 2048
+#: Bits of a set's parity sketch for each shingle, at least (a power of two in all); sets that differ in d
+#: shingles have sketches that differ in at most d bits, also when the longer one is folded to the other's length.
+SKETCH_BITS, LEAST_BITS = 4, 512
 
 
 class Bands:
@@ -75,6 +76,12 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix64(np.array([mix64(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the set's shingles in each bit."""
+    size = max(LEAST_BITS, 1 << (SKETCH_BITS * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size) % 2).view(np.int64)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """(a, key, n): for each row its id, key and size; for each set its signatures with a null size."""
 
@@ -155,11 +162,10 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 if len(done) >= SEEN:
                     done.clear()
                 done.add(key)
-                bits = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2
-                out.append((key, len(shingles), shingles.view(np.int64), np.packbits(bits).view(np.int64)))
+                out.append((key, len(shingles), shingles.view(np.int64), sketch(shingles)))
             if out:
-                key, n, sets, sketch = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], names=["key", "n", "shingles", "sketch"])
+                key, n, sets, sketches = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["key", "n", "shingles", "sketch"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     if needed.count() <= BROADCAST_ROWS:
@@ -185,7 +191,8 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("bu"))
     b = sets.select(F.col("key").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("bv"))
     both = pairs.join(a, "u").join(b, "v").filter("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
-    differ = F.expr("aggregate(zip_with(bu, bv, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    folded = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({0}) div 2), slice({0}, 1 + size({0}) div 2, size({0}) div 2), (x, y) -> x ^ y), {0})"
+    differ = F.expr(f"aggregate(zip_with({folded.format('bu', 'bv')}, {folded.format('bv', 'bu')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     return both.filter(7 * differ <= F.col("nu") + F.col("nv")).select(*pairs.columns)
 
 
@@ -201,16 +208,23 @@ def _across(buckets: DataFrame) -> DataFrame:
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]
-        bits = [np.array(x["sketch"].to_list(), np.int64).view(np.uint64).reshape(len(x), -1) for x in (left, right)]
         keys, roots, sizes = ([x[c].to_numpy(np.int64) for x in (left, right)] for c in ("key", "root", "n"))
-        found = []
-        for i in range(len(left)):
-            n = sizes[0][i] + sizes[1]
-            differ = np.bitwise_count(bits[0][i] ^ bits[1]).sum(axis=1)
-            near = (7 * differ.astype(np.int64) <= n) & (roots[1] != roots[0][i]) & (4 * np.minimum(sizes[0][i], sizes[1]) >= 3 * np.maximum(sizes[0][i], sizes[1]))
-            found.append(np.column_stack([np.full(int(near.sum()), keys[0][i]), keys[1][near]]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": pairs.min(axis=1), "v": pairs.max(axis=1)}) if len(pairs) else pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        words = [x["sketch"].map(len).to_numpy(np.int64) for x in (left, right)]
+        found = [np.zeros((0, 2), np.int64)]
+        for size in sorted({*words[0].tolist(), *words[1].tolist()}):  # pairs of that length, or of it and its double
+            at = [np.flatnonzero((w == size) | (w == 2 * size)) for w in words]
+            if not len(at[0]) or not len(at[1]):
+                continue
+            bits = [np.array([np.bitwise_xor.reduce(np.reshape(s, (-1, size)), axis=0) for s in x["sketch"].iloc[i]], np.int64).view(np.uint64) for x, i in zip((left, right), at)]
+            mine, theirs = at[0], at[1]
+            for row, i in zip(bits[0], mine):
+                n = sizes[0][i] + sizes[1][theirs]
+                differ = np.bitwise_count(row ^ bits[1]).sum(axis=1, dtype=np.int64)
+                near = (7 * differ <= n) & (roots[1][theirs] != roots[0][i]) & (4 * np.minimum(sizes[0][i], sizes[1][theirs]) >= 3 * np.maximum(sizes[0][i], sizes[1][theirs]))
+                near &= (words[0][i] == size) | (words[1][theirs] == size)
+                found.append(np.column_stack([np.full(int(near.sum()), keys[0][i]), keys[1][theirs][near]]))
+        pairs = np.concatenate(found)
+        return pd.DataFrame({"u": pairs.min(axis=1), "v": pairs.max(axis=1)})
 
     return near.union(large.groupBy("sig", "low", "high").applyInPandas(compare, "u long, v long")).distinct()
 
