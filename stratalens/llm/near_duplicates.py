@@ -196,13 +196,13 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(7 * differ <= F.col("nu") + F.col("nv")).select(*pairs.columns)
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """Likely pairs (u, v) of one bucket (sig) and different roots. buckets: sig, key, root, n, sketch."""
+def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Likely pairs (u, v) of one bucket (sig) and different roots. buckets: sig, key, root, n; sketches: key, sketch."""
     sized = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("size")), "sig")
     small = sized.filter(F.col("size") <= SMALL_BUCKET)
     a, b = small.select("sig", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu")), small.select("sig", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
     near = a.join(b, "sig").filter("u < v and ru <> rv and 4 * least(nu, nv) >= 3 * greatest(nu, nv)").select("u", "v")
-    large = sized.filter(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = sized.filter(F.col("size") > SMALL_BUCKET).join(sketches, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "root", "n", "sketch")
 
@@ -273,11 +273,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     buckets = shared.filter("n is null").select(F.col("a").alias("sig"), "leader", "key")
 
     # First each set with the leader that shares most with it, then what is still apart.
-    shares = buckets.groupBy(F.col("leader").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("common"))
-    pairs = written(shares, "pairs")
-    nodes = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+    shares = written(buckets.groupBy(F.col("leader").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("common")), "pairs")
+    nodes = shares.select(F.col("u").alias("key")).union(shares.select(F.col("v").alias("key"))).distinct()
     sets = _sets(docs, written(first.join(nodes, "key", "left_semi"), "needed"))
-    pairs = written(_likely(pairs, sets), "likely")
+    pairs = written(_likely(shares, sets), "likely")
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v")
     best = written(best, "best")
     edges = written(_linked(best, sets), "links")
@@ -289,12 +288,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     comps = components(edges)
 
     # Buckets of three or more sets whose members are not yet one component.
-    rooted = _roots(_roots(buckets, "key", comps, "root"), "leader", comps, "leader_root")
+    named = written(_roots(sets.select("key", "n").dropDuplicates(["key"]), "key", comps, "root"), "nodes")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    ends = shares.select(F.col("u").alias("leader"), F.col("v").alias("key")).join(named, "key")
+    ends = ends.join(named.select(F.col("key").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leader")
+    rooted = buckets.join(ends, ["leader", "key"])
     mixed = rooted.groupBy("sig").agg(F.count("*").alias("others"), F.max(F.col("root") != F.col("leader_root")).alias("differ")).filter("others > 1 and differ").select("sig")
     members = rooted.join(mixed, "sig", "left_semi")
-    members = members.select("sig", "key", "root").union(members.select("sig", F.col("leader"), "leader_root")).distinct()
-    members = written(members.join(sets.select("key", "n", "sketch").dropDuplicates(["key"]), "key"), "mixed")
-    across = _across(members).join(pairs.select("u", "v"), ["u", "v"], "left_anti")  # all likely pairs were tried or are linked
+    members = members.select("sig", "key", "root", "n").union(members.select("sig", "leader", "leader_root", "leader_n")).distinct()
+    members = written(members, "mixed")
+    across = _across(members, sets.select("key", "sketch").dropDuplicates(["key"])).join(pairs.select("u", "v"), ["u", "v"], "left_anti")  # all likely pairs were tried or are linked
     across = written(_likely(across, sets), "across")
     comps = components(edges.union(_linked(across, sets)))
 
