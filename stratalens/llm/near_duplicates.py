@@ -4,8 +4,9 @@ Sets of word shingles with a Jaccard similarity of at least 3/4 differ in at mos
 set, so their sizes lie in one size band or in two neighbouring ones. Each band (with the next) has a bound
 ``k`` on the differences; the shingle domain is split into ``n > k`` parts by hash, and a set's signatures
 are the contents of its non-empty parts. A set with more than ``k`` non-empty parts shares one with every
-similar set, as the differences touch at most ``k`` of them; the few sets with fewer also sign their empty
-parts, so two of those share a difference-free part as well. No similar pair is missed.
+similar set, as the differences touch at most ``k`` of them (for this, a set counts with the bound of its own
+size and its partners'); the few sets with fewer also sign their empty parts, so two of those share a
+difference-free part as well. No similar pair is missed.
 
 All equal sets are one node. The sets that share a signature are compared with the smallest of them; that
 links groups of copies in linear work. What stays in different components though it shares a signature is
@@ -67,7 +68,8 @@ class Bands:
             np.add.at(sums, part, weight)
             sums = mix64(sums + mix64(np.arange(n, dtype=np.uint64) + np.uint64(tag << 40)))
             full = counts > 0
-            out.append(sums[full] if full.sum() > self.k[tag] else sums)
+            partner = min(len(shingles) * 4 // 3, int(self.ends[band + 1])) if tag == band else int(self.ends[tag])
+            out.append(sums[full] if full.sum() > (len(shingles) + partner) // 7 else sums)
         return np.concatenate(out)
 
 
@@ -297,7 +299,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     members = rooted.join(mixed, "sig", "left_semi")
     members = members.select("sig", "key", "root", "n").union(members.select("sig", "leader", "leader_root", "leader_n")).distinct()
     members = written(members, "mixed")
-    across = _across(members, sets.select("key", "sketch").dropDuplicates(["key"])).join(pairs.select("u", "v"), ["u", "v"], "left_anti")  # all likely pairs were tried or are linked
+    across = _across(members, sets.select("key", "sketch").dropDuplicates(["key"])).join(shares.select("u", "v"), ["u", "v"], "left_anti")  # those were tried, ruled out or are linked
     across = written(_likely(across, sets), "across")
     comps = components(edges.union(_linked(across, sets)))
 
