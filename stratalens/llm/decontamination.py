@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Word n-grams of the benchmark items are looked for in every document. Their document frequencies are counted
-over the whole corpus, and the rare ones (with the rarest few of each item, so that a widely copied passage
-keeps seeds too) join passages to items. Each passage around such seeds is aligned with its item word by
+over the whole corpus, and the rare ones (with those of each item that are about as rare as its rarest few, so
+that a widely copied passage keeps its seeds too) join passages to items. Each passage around such seeds is aligned with its item word by
 word; the local alignment's score, as a share of a verbatim copy's, finds edited and paraphrased copies.
 
 The benchmark goes to the tasks in blocks of a bounded number of items; a larger benchmark takes more passes.
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import mix64
 
 NGRAM = 4
-#: A seed is rare in up to this share of the documents; each item keeps its rarest so many in any case.
-RARE, RAREST = 1e-3, 8
+#: A seed is rare in up to this share of the documents; each item keeps its rarest so many in any case, and
+#: the seeds in up to so many times the documents of the last of these.
+RARE, RAREST, SPREAD = 1e-3, 8, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a verbatim copy's score from which a passage is a copy.
 THRESHOLD = 0.5
@@ -150,8 +151,10 @@ def _rare(index: Index, counts: dict[int, int], docs: int) -> np.ndarray:
         for k, _ in places:
             of_item[k].append((counts.get(j, 0), j))
     for seeds in of_item.values():
-        for _, j in sorted(set(seeds))[:RAREST]:
-            rare[j] = True
+        seeds = sorted(set(seeds))
+        most = SPREAD * seeds[:RAREST][-1][0]
+        for place, (n, j) in enumerate(seeds):
+            rare[j] |= place < RAREST or n <= most
     return rare
 
 
