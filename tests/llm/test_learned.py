@@ -121,7 +121,7 @@ def test_copies_of_items(spark):
         if i % 2:
             rows[-1] = (i, f"{prose(rng.randrange(60))}\n{planted(rng, ITEMS[k], edits).upper()}, {prose(rng.randrange(60))}")
             want[i] = k
-    rows += [(100, None), (101, ""), (102, "a short item here"), (102, "a short item here"), (103, prose(40_000) + ITEMS[0]), (None, ITEMS[1]), (104, "What is the boiling point of patience")]
+    rows += [(100, None), (101, ""), (102, "a short item here"), (102, "a short item here"), (103, prose(40_000) + " " + ITEMS[0]), (None, ITEMS[1]), (104, "What is the boiling point of patience")]
     frame = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([*enumerate(ITEMS), (3, None), (4, ""), (5, "...")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.copies(frame, items).collect()}
