@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the benchmark items are looked for in every document. Their document frequencies are counted
-over the whole corpus, and the rare ones (with those of each item that are about as rare as its rarest few, so
-that a widely copied passage keeps its seeds too) join passages to items. Each passage around such seeds is aligned with its item word by
-word; the local alignment's score, as a share of a verbatim copy's, finds edited and paraphrased copies.
+Word n-grams of the benchmark items are looked for in every document, and each place that holds one, however
+frequent it is, joins a passage to its items. A passage with too few of an item's words to reach the threshold goes;
+every other one is aligned with its item word by word, and the local alignment's score, as a share of a verbatim
+copy's, finds edited and paraphrased copies.
 
 The benchmark goes to the tasks in blocks of a bounded number of items; a larger benchmark takes more passes.
 
@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 from .common import mix64
 
 NGRAM = 4
-#: A seed is rare in up to this share of the documents; each item keeps its rarest so many in any case, and
-#: the seeds in up to so many times the documents of the last of these.
-RARE, RAREST, SPREAD = 1e-3, 8, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a verbatim copy's score from which a passage is a copy.
 THRESHOLD = 0.5
@@ -88,14 +85,13 @@ class Index:
             seeds.append(numbers[found[equal]])
         return (np.concatenate(at), np.concatenate(seeds)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def passages(self, words: np.ndarray, rare: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item number, begin, end) of the stretches of a text around rare seeds."""
+    def passages(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item number, begin, end) of the stretches of a text around seeds."""
         spans = defaultdict(list)
         for at, seed in zip(*(x.tolist() for x in self.hits(words))):
-            if rare[seed]:
-                for k, offset in self.places[seed]:
-                    pad = len(self.items[k]) // 4 + NGRAM
-                    spans[k].append((max(0, at - offset - pad), min(len(words), at - offset + len(self.items[k]) + pad)))
+            for k, offset in self.places[seed]:
+                pad = len(self.items[k]) // 4 + NGRAM
+                spans[k].append((max(0, at - offset - pad), min(len(words), at - offset + len(self.items[k]) + pad)))
         out = []
         for k, found in spans.items():
             found.sort()
@@ -106,7 +102,12 @@ class Index:
                     begin, end = b, e
                 end = max(end, e)
             out.append((k, begin, end))
-        return out
+        return [x for x in out if self.reachable(x[0], words[x[1] : x[2]])]
+
+    def reachable(self, k: int, passage: np.ndarray) -> bool:
+        """Whether the item's words in a passage could score enough, were they all matched."""
+        has = set(passage.tolist())
+        return sum(w in has for w in self.items[k].tolist()) >= THRESHOLD * len(self.items[k])
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -127,61 +128,32 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _frequent(docs: DataFrame, shared) -> dict[int, int]:
-    """In how many documents each seed of the block occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        counts = np.zeros(len(index.seeds), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts[np.unique(index.hits(index.coded(text))[1])] += 1
-        where = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(counts[where], pa.int64())], names=["seed", "docs"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seed long, docs long")
-    return {r["seed"]: r["n"] for r in rows.groupBy("seed").agg(F.sum("docs").alias("n")).collect()}
-
-
-def _rare(index: Index, counts: dict[int, int], docs: int) -> np.ndarray:
-    rare = np.array([counts.get(j, 0) <= RARE * docs for j in range(len(index.seeds))], bool)
-    of_item = defaultdict(list)
-    for j, places in enumerate(index.places):
-        for k, _ in places:
-            of_item[k].append((counts.get(j, 0), j))
-    for seeds in of_item.values():
-        seeds = sorted(set(seeds))
-        most = SPREAD * seeds[:RAREST][-1][0]
-        for place, (n, j) in enumerate(seeds):
-            rare[j] |= place < RAREST or n <= most
-    return rare
-
-
-def _copies(docs: DataFrame, shared, rare: np.ndarray) -> DataFrame:
+def _copies(docs: DataFrame, shared) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
 
-        def scored(found: list) -> Iterator[tuple]:
-            best = defaultdict(float)
-            for (row, k, words), score in zip(found, align([index.items[k] for _, k, _ in found], [w for *_, w in found])):
-                best[row, k] = max(best[row, k], float(score) / (MATCH * len(index.items[k])))
-            return ((row, k, s) for (row, k), s in best.items() if s >= THRESHOLD)
-
         for batch in batches:
-            out, found, cells = [], [], 0
+            best, found, cells = {}, [], 0
+
+            def score() -> None:
+                for (row, k, _), points in zip(found, align([index.items[k] for _, k, _ in found], [w for *_, w in found])):
+                    share = float(points) / (MATCH * len(index.items[k]))
+                    if share >= THRESHOLD:
+                        best[row, k] = max(best.get((row, k), share), share)
+
             for row, text in enumerate(batch.column(1).to_pylist()):
                 words = index.coded(text) if text else np.zeros(0, np.int64)
-                for k, begin, end in index.passages(words, rare) if len(words) else ():
+                for k, begin, end in index.passages(words) if len(words) else ():
                     found.append((row, k, words[begin:end]))
                     cells += end - begin
-                if cells * 64 > CELLS:  # between documents, so that an item's passages stay together
-                    out += scored(found)
-                    found, cells = [], 0
+                    if cells * 64 > CELLS:
+                        score()
+                        found, cells = [], 0
             if found:
-                out += scored(found)
+                score()
+            out = [(row, k, share) for (row, k), share in best.items()]
             rows, items, scores = zip(*out) if out else ((), (), ())
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for k in items], pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
@@ -192,14 +164,14 @@ def _copies(docs: DataFrame, shared, rare: np.ndarray) -> DataFrame:
 
 def copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score) of each document that holds a copy of an item; score is 1 for a verbatim one."""
-    spark, total = docs.sparkSession, docs.count()
+    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     blocks = max(1, -(-items.count() // ITEMS_A_PASS))
     out = None
     for block in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(index := Index([(r["item_id"], r["text"]) for r in mine]))
-        found = _copies(docs, shared, _rare(index, _frequent(docs, shared), total))
+        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine]))
+        found = _copies(docs, shared)
         out = found if out is None else out.union(found)
     return out
 

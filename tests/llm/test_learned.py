@@ -133,6 +133,20 @@ def test_copies_of_items(spark):
     assert decontamination.copies(frame.limit(0), items).collect() == [] and decontamination.copies(frame, items.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hot", [1, 12, 60])
+def test_edited_copies_without_a_verbatim_one(spark, hot):
+    """Seeds that occur count at any frequency, also where the changed words leave others that occur nowhere."""
+    rng, vocabulary = random.Random(5), [f"word{i}" for i in range(900)]
+    item = " ".join(f"item{i}" for i in range(40))
+    words = item.split()
+    for at in (9, 19, 29):
+        words[at] = "changed"
+    rows = [(i, " ".join([*rng.choices(vocabulary, k=30), *(words if i < hot else []), *rng.choices(vocabulary, k=30)])) for i in range(200)]
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    found = decontamination.copies(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {r["doc_id"]: r["score"] for r in found} == {i: (2 * 37 - 3) / 80 for i in range(hot)}
+
+
 def test_more_passes_find_the_same(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"w{i} {ITEMS[i % 3]} z{i}") for i in range(9)], "doc_id long, text string")
     items = spark.createDataFrame([*enumerate(ITEMS)], "item_id long, text string")
