@@ -2,8 +2,11 @@
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space), and the digest
 of the whole is looked up among the digests of known licence texts by a hash join. Lines of a text, which
-often hold a notice, are texts of their own in a second lookup. The known texts are a fixed short list, so
-their side of the join is broadcast.
+often hold a notice, are texts of their own in a second lookup. The known texts are a fixed short list (the
+notices below and the whole texts in ``license_texts``), so their side of the join is broadcast.
+
+The digest that is given out is of the canonical text of the SQL. The lookup knows a second one, of the letters
+and digits alone, which typographic marks, line breaks and hyphens do not change.
 
 Defined cases: a null text has a null digest and no licence; an empty or all-punctuation text has the digest
 of the empty string and no licence; equal rows give a row each; an empty table gives no rows.
@@ -11,6 +14,9 @@ of the empty string and no licence; equal rows give a row each; an empty table g
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +70,24 @@ KNOWN = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
+# The second canonical text: a line is a copyright line unless a wrapped sentence of a licence goes on in it.
+HOLDER_LINE = (
+    r"(?m)^[\t\p{Zs}]*((copyright(?=[\s\p{Z}:])(?![\s\p{Z}]+(and|are|disclaimer|doctrines|holders?|if|interests?|laws?|licen[cs]es?|notices?|on|or|owners?|ownership|"
+    r"permissions?|statements?|the|treaty|rights?|\(c\) year name)\b)|\(c\)[\s\p{Z}]*(copyright|[0-9]{4})|©)[^\r\n]*|all rights reserved[^a-z\r\n]*)$"
+)
+UNSEEN = r"[\u00AD\u200B-\u200D\u2060\uFEFF]+"
+ALL_MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
+#: Headings that whole texts without one of their own are found under.
+HEADINGS = {
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+}
+#: The end of the terms, after which an appendix may be left out, and addresses in older copies.
+_TERMS = "END OF TERMS AND CONDITIONS"
+_OLD = ["59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
+
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
@@ -76,21 +100,48 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def letters_digest(text: Column) -> Column:
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), UNSEEN, ""), HOLDER_LINE, "")
+    out = F.regexp_replace(out, r"[\s\p{Z}]+", " ")
+    for a, b in EQUIVALENT:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.sha2(F.regexp_replace(out, ALL_MARKS, "").cast("binary"), 256)
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the whole licences, with and without heading and appendix, and with the old addresses in them."""
+    out = [("MIT", KNOWN["MIT"][2].split("\n", 1)[1])]
+    out += [(path.stem, path.read_text("utf-8")) for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    out += [(name, text[: text.index(_TERMS) + len(_TERMS)]) for name, text in out if _TERMS in text]
+    out += [(name, text.split("\n", 1)[1]) for name, text in out if text.startswith("Creative Commons Legal Code\n")]
+    out += [(name, re.sub(r"51 Franklin[^<]*?USA", old, text)) for name, text in out if "51 Franklin" in text for old in _OLD]
+    out += [(name, text.replace("licenses/why-not-lgpl", "philosophy/why-not-lgpl")) for name, text in out if "licenses/why-not-lgpl" in text]
+    return out + [(name, f"{heading}\n{text}") for name, text in out for heading in HEADINGS.get(name, ())]
+
+
 def known(spark) -> DataFrame:
     """(known_digest, license) of the fixed list."""
     texts = spark.createDataFrame([(name, text) for name, texts in KNOWN.items() for text in texts], "license string, text string")
     return texts.select(digest(F.col("text")).alias("known_digest"), "license").groupBy("known_digest").agg(F.min("license").alias("license"))
 
 
+def known_letters(spark) -> DataFrame:
+    """(letters_digest, letters_license) of the fixed list and the whole texts."""
+    texts = [(name, text) for name, texts in KNOWN.items() for text in texts] + whole_texts()
+    texts = spark.createDataFrame(texts, "license string, text string").select(letters_digest(F.col("text")).alias("letters_digest"), "license")
+    return texts.groupBy("letters_digest").agg(F.min("license").alias("letters_license"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, digest, license (of the whole text), n_license_lines, line_license (the first by name)."""
-    lookup = F.broadcast(known(docs.sparkSession))
+    lookup, letters = F.broadcast(known(docs.sparkSession)), F.broadcast(known_letters(docs.sparkSession))
     text = F.col("text").cast("string")
     lines = docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("doc_id", "key", "at", digest(F.col("line")).alias("known_digest")).join(lookup, "known_digest")
-    lines = lines.dropDuplicates(["doc_id", "key", "at"]).groupBy(F.col("doc_id").alias("_doc"), "key").agg(F.count("*").alias("lines"), F.min("license").alias("line_license"))
-    whole = docs.select("doc_id", F.xxhash64(text).alias("_key"), digest(text).alias("digest"))
-    out = whole.join(lookup, whole["digest"] == F.col("known_digest"), "left")
+    lines = lines.select("doc_id", "key", "at", letters_digest(F.col("line")).alias("letters_digest")).join(letters, "letters_digest")
+    lines = lines.dropDuplicates(["doc_id", "key", "at"]).groupBy(F.col("doc_id").alias("_doc"), "key").agg(F.count("*").alias("lines"), F.min("letters_license").alias("line_license"))
+    whole = docs.select("doc_id", F.xxhash64(text).alias("_key"), digest(text).alias("digest"), letters_digest(text).alias("letters_digest"))
+    out = whole.join(lookup, whole["digest"] == F.col("known_digest"), "left").join(letters, "letters_digest", "left")
+    out = out.withColumn("license", F.coalesce("license", "letters_license"))
     out = out.join(lines, out["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("key")), "left")
     return out.select("doc_id", "digest", "license", F.coalesce("lines", F.lit(0)).cast("long").alias("n_license_lines"), "line_license")
 

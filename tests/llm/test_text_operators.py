@@ -1,8 +1,11 @@
 """Chat formatting, URL filters, quality rules, licence scans and packing against plain versions."""
 
 import random
+import re
+import textwrap
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -136,6 +139,28 @@ def test_licence_texts_in_other_spellings(spark):
     assert licenses.scan(frame.limit(0)).collect() == []
 
 
+def test_whole_licence_texts(spark):
+    """Complete texts are known, also with typographic marks, other line breaks and a copyright line."""
+    at = Path(licenses.__file__).parent / "license_texts"
+    texts = {p.stem: p.read_text("utf-8") for p in at.glob("*.txt")} | {"MIT": licenses.KNOWN["MIT"][2]}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "MPL-2.0"} <= set(texts)
+    rows = []
+    for name, text in texts.items():
+        one_line = re.sub(r"(?im)^[ \t]*copyright \(c\).*$", "", text).replace("[yyyy]", "2020")
+        one_line = " ".join(re.sub(r"(?m)^[ \t]*copyright 2020 .*$", "", one_line, flags=re.I).split())
+        wrapped = "\n".join(textwrap.wrap(one_line, 47))
+        typographic = re.sub(r'"([^"]*)"', "\u201c\\1\u201d", text).replace("'", "\u2019").replace("-", "\u2010").replace(". ", ".\u00a0")
+        rows += [(name, text), (name, one_line), (name, wrapped), (name, typographic), (None, text[: len(text) // 2]), (None, text + "\nand one more condition")]
+        if name in ("ISC", "BSD-2-Clause", "BSD-3-Clause"):
+            rows += [(name, f"{licenses.HEADINGS[name][0]}\n\nCopyright \u00a9 2020, A. Person\nAll rights reserved.\n\n{text}")]
+    rows += [("Apache-2.0", texts["Apache-2.0"].split("APPENDIX")[0]), ("GPL-2.0", texts["GPL-2.0"].split("How to Apply")[0]), ("MIT", texts["MIT"].split("\n", 1)[1])]
+    frame = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(frame).collect()}
+    assert [(i, rows[i][0], got[i], rows[i][1][:40]) for i in got if got[i] != rows[i][0]] == [] and len(got) == len(rows)
+    line = spark.createDataFrame([(1, "x\nLicensed under CC\u00a0BY\u2011NC 4.0\u2026\ny")], "doc_id long, text string")
+    assert [(r["n_license_lines"], r["line_license"]) for r in licenses.scan(line).collect()] == [(1, "CC-BY-NC-4.0")]
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(0)
     for _ in range(30):
