@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files for each core of the cluster in a table between steps.
+FILES_A_CORE = 2
 #: Characters that separate words: space, and tab to carriage return.
 SPACES = "\t\n\x0b\x0c\r "
 
@@ -28,11 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and outlives a lost executor."""
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, and outlives a lost executor.
+
+    Tables that aren't ``large`` (some bytes for each document) get a few files for each core, not one for each
+    partition of a shuffle.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if large else df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     spark.sparkContext._jvm.System.gc()  # Spark removes a finished job's shuffle files as the driver collects its garbage
@@ -73,3 +82,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, or with underscores before it, so that no column of ``taken`` is called so (names ignore case)."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name = "_" + name
+    return name
+
+
+def trim() -> None:
+    """Give a Python worker's freed memory back, as the worker goes on to the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass

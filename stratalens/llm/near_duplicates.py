@@ -1,26 +1,32 @@
 """Near-duplicate classes: an exact n-gram Jaccard self-join by PartEnum signatures.
 
-Sets of word shingles with a Jaccard similarity of at least 3/4 differ in at most a third of the smaller
-set, so their sizes lie in one size band or in two neighbouring ones. Each band (with the next) has a bound
-``k`` on the differences; the shingle domain is split into ``n > k`` parts by hash, and a set's signatures
-are the contents of its non-empty parts. A set with more than ``k`` non-empty parts shares one with every
-similar set, as the differences touch at most ``k`` of them (for this, a set counts with the bound of its own
-size and its partners'); the few sets with fewer also sign their empty parts, so two of those share a
-difference-free part as well. No similar pair is missed.
-
-All equal sets are one node. The sets that share a signature are compared with the smallest of them; that
-links groups of copies in linear work. What stays in different components though it shares a signature is
-then compared across components: small buckets by a join, large ones in blocks behind an exact bound on the
-difference, which lets only likely pairs out. Every candidate is verified on the whole shingle sets.
+Sets of word shingles with a Jaccard similarity of at least 3/4 differ in at most a seventh of their sizes'
+sum, and their sizes lie in one size band or in two neighbouring ones. For each band (with the next) the
+shingle domain is split by hash into groups, and each group into ``parts`` parts. Of any ``d // (spare + 1) + 1``
+groups, one holds at most ``spare`` of ``d`` differences, so two similar sets agree there on some choice of
+``parts - spare`` parts. A set's signatures are its contents of all such choices in the first groups, up to as many
+good ones as its own size asks for; a group is good if no choice is empty. The set that stops first has enough good
+groups behind it, and the other one has signed these too, so no similar pair is missed; sets that run out of groups
+sign their empty choices as well. Sets that may not differ at all need no signature.
+
+All equal sets are one node. Within a batch, and then over the cluster, the sets that share a signature are compared
+with the smallest of them; that links groups of copies in linear work. What shares a signature and is still
+in different components is compared across these: small buckets by a join; the sets of large ones are signed again
+by longer contents (the next of ``LEVELS``), and only what these leave in a large bucket is compared in blocks
+behind an exact bound on the difference. Every candidate is verified on the whole shingle sets.
+
+A set's 64-bit key only routes it. Sets with equal keys are told apart by 128 bits.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; equal rows link; rows with
-a null ``doc_id`` count as copies but can't name a component unless all its ids are null; an empty table
+a null ``doc_id`` link like others, but can't name a component unless all its ids are null; an empty table
 gives no rows. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -28,54 +34,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import free_name, mix64, trim, written
 from .components import components
 from .shingles import Shingler
 
-#: Rows of a lookup table up to which it is broadcast (16 bytes each); beyond it the tables are shuffled.
+#: Rows of a lookup table up to which it is broadcast (at most 40 bytes each); beyond it the tables are shuffled.
 BROADCAST_ROWS = 200_000
 #: Buckets of up to so many sets are joined in SQL; larger ones are compared in blocks of this many rows.
-SMALL_BUCKET, BLOCK = 64, 1024
+SMALL_BUCKET, BLOCK = 64, 512
 #: Distinct sets that a task remembers, to sign copies once.
-SEEN = 200_000
-#: Signature rows in one Arrow batch.
-ROWS_OUT = 200_000
+SEEN = 100_000
+#: Signature rows in one Arrow batch, and bytes of shingles in one.
+ROWS_OUT, BYTES_OUT = 100_000, 1 << 22
 #: Bits of a set's parity sketch for each shingle, at least (a power of two in all); sets that differ in d
 #: shingles have sketches that differ in at most d bits, also when the longer one is folded to the other's length.
 SKETCH_BITS, LEAST_BITS = 4, 512
+#: (spare, parts) of each level of signatures.
+LEVELS = ((1, 3), (3, 6))
 
 
-class Bands:
-    """Size bands for a Jaccard similarity of 3/4: upper ends, difference bounds and numbers of parts."""
+class PartEnum:
+    """Size bands for a Jaccard similarity of 3/4, and the groups, parts and choices of each."""
 
-    def __init__(self, largest: int = 1 << 40):
+    def __init__(self, level: int = 0, largest: int = 1 << 40):
         ends, low = [], 1
         while low <= largest:
             ends.append(low * 4 // 3)
             low = ends[-1] + 1
-        self.ends = np.array(ends, np.int64)
-        self.k = [(r + r * 4 // 3) // 7 for r in ends]
-        self.parts = [k + int(0.08 * k + k**0.5) + 1 for k in self.k]
+        self.level, self.ends = level, np.array(ends, np.int64)
+        self.tags: dict[int, tuple] = {}
+
+    def _tag(self, tag: int) -> tuple:
+        """(spare, parts, groups, choices as rows of 0 and 1, a number for each group and choice)."""
+        if tag not in self.tags:
+            r = int(self.ends[tag])
+            most, (spare, parts) = (r + r * 4 // 3) // 7, LEVELS[self.level]
+            if most <= 3:  # few elements: one group, of so many parts that they are rarely together in one
+                spare, parts = max(1, most), (8, 8, 7, 7)[most] + 2 * self.level
+            groups = most // (spare + 1) + 1
+            if most > 3:
+                groups += 1 + int(0.08 * groups + 0.5 * groups**0.5)
+            choices = np.zeros((comb(parts, spare), parts), np.uint64)
+            for row, some in zip(choices, combinations(range(parts), parts - spare)):
+                row[list(some)] = 1
+            number = mix64(np.arange(groups * len(choices), dtype=np.uint64) + np.uint64((self.level << 56) + (tag << 40))).reshape(groups, -1)
+            self.tags[tag] = spare, parts, groups, choices, number
+        return self.tags[tag]
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """Of a set, for its band with the next and for the one before with its own."""
-        band, out = int(np.searchsorted(self.ends, len(shingles))), []
-        high, weight = shingles >> np.uint64(32), mix64(shingles + np.uint64(0x632BE59BD9B4E019))
+        """Of a sorted set, for its band with the next and for the one before with its own."""
+        size = len(shingles)
+        band, out = int(np.searchsorted(self.ends, size)), []
+        high = shingles >> np.uint64(32)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(mix64(shingles + np.uint64(0x632BE59BD9B4E019)), out=sums[1:])
         for tag in (band, band - 1) if band else (band,):
-            n = self.parts[tag]
-            part = ((high * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-            sums, counts = np.zeros(n, np.uint64), np.bincount(part, minlength=n)
-            np.add.at(sums, part, weight)
-            sums = mix64(sums + mix64(np.arange(n, dtype=np.uint64) + np.uint64(tag << 40)))
-            full = counts > 0
-            partner = min(len(shingles) * 4 // 3, int(self.ends[band + 1])) if tag == band else int(self.ends[tag])
-            out.append(sums[full] if full.sum() > (len(shingles) + partner) // 7 else sums)
-        return np.concatenate(out)
-
-
-def set_key(shingles: np.ndarray) -> int:
-    """One 64-bit key for equal sets."""
-    return int(mix64(np.array([mix64(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+            partner = min(size * 4 // 3, int(self.ends[band + 1])) if tag == band else int(self.ends[tag])
+            differ = (size + partner) // 7
+            if not differ:
+                continue
+            spare, parts, groups, choices, number = self._tag(tag)
+            cells = ((high * np.uint64(groups * parts)) >> np.uint64(32)).astype(np.int64)  # in order, as the set is
+            edges = np.searchsorted(cells, np.arange(groups * parts + 1))
+            full = np.diff(edges).reshape(groups, parts) > 0
+            good = np.cumsum(full.sum(axis=1) > spare)
+            asked = differ // (spare + 1) + 1
+            until = int(np.searchsorted(good, asked)) + 1
+            content = (sums[edges[1:]] - sums[edges[:-1]]).reshape(groups, parts)[:until]
+            signed = mix64(content @ choices.T + number[:until])
+            out.append(signed[full[:until].astype(np.uint64) @ choices.T > 0] if good[-1] >= asked else signed.ravel())
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def set_keys(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits for equal sets: the key that routes a set, and a second one."""
+    n = np.uint64(len(shingles))
+    first = mix64(shingles).sum(dtype=np.uint64) + n
+    second = mix64(shingles ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) - n
+    return tuple(mix64(np.array([first, second], np.uint64)).view(np.int64).tolist())
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -84,51 +120,98 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size) % 2).view(np.int64)
 
 
+_MORE = {"leader": pa.int64(), "doc_id": pa.int64(), "th": pa.int64(), "k2": pa.int64(), "n": pa.int32()}
+_SIGNED = "a long, key long, more struct<leader:long,doc_id:long,th:long,k2:long,n:int>"
+
+
+def _rows(a: np.ndarray, key: np.ndarray, **more) -> pa.RecordBatch:
+    """Rows (a, key, more): of a signature; of two sets that share one, with a leader; or of a document."""
+    kind = pa.struct(list(_MORE.items()))
+    parts = [(more[c] if isinstance(more[c], pa.Array) else pa.array(more[c], t)) if c in more else pa.nulls(len(a), t) for c, t in _MORE.items()]
+    column = pa.StructArray.from_arrays(parts, names=list(_MORE)) if more else pa.nulls(len(a), kind)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(key), column], names=["a", "key", "more"])
+
+
+class Signer:
+    """Collects the signatures of sets, and gives them out with what shares one within a batch already joined."""
+
+    def __init__(self, level: int):
+        self.enum, self.out, self.size = PartEnum(level), [], 0
+
+    def add(self, key: int, shingles: np.ndarray) -> bool:
+        """Whether enough is there to give out."""
+        signed = self.enum.signatures(shingles).view(np.int64)
+        self.out.append((signed, np.full(len(signed), key)))
+        self.size += len(signed)
+        return self.size >= ROWS_OUT
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            sig, key = map(np.concatenate, zip(*self.out))
+            order = np.lexsort((key, sig))
+            sig, key = sig[order], key[order]
+            begins = np.r_[True, sig[1:] != sig[:-1]]
+            leader = key[np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))]
+            yield _rows(sig[begins], key[begins])
+            rest = ~begins & (key != leader)
+            if rest.any():
+                yield _rows(sig[rest], key[rest], leader=leader[rest])
+        self.out, self.size = [], 0
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """(a, key, n): for each row its id, key and size; for each set its signatures with a null size."""
+    """For each row its document, and for each set its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands, seen = Shingler(), Bands(), set()
+        shingler, signer, seen = Shingler(), Signer(0), set()
         for batch in batches:
-            rows, ids, out, size = ([], []), batch.column(0), [], 0
-            for text in batch.column(1):
+            k1, k2, sizes = (np.zeros(len(batch), t) for t in (np.int64, np.int64, np.int32))
+            for i, text in enumerate(batch.column(2)):
                 shingles = shingler.of(text.as_py())
-                key = set_key(shingles)
-                rows[0].append(key)
-                rows[1].append(len(shingles))
+                k1[i], k2[i] = key = set_keys(shingles)
+                sizes[i] = len(shingles)
                 if not len(shingles) or key in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                signatures = bands.signatures(shingles).view(np.int64)
-                out.append((signatures, np.full(len(signatures), key)))
-                size += len(signatures)
-                if size >= ROWS_OUT:
-                    yield _batch(*map(np.concatenate, zip(*out)))
-                    out, size = [], 0
-            if out:
-                yield _batch(*map(np.concatenate, zip(*out)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32())], names=["a", "key", "n"])
+                if signer.add(key[0], shingles):
+                    yield from signer.batches()
+            ids, th = batch.column(0), np.asarray(batch.column(1))
+            spread = mix64((th ^ k2).view(np.uint64) + np.asarray(ids.fill_null(0)).view(np.uint64))
+            yield _rows(spread.view(np.int64), k1, doc_id=ids, th=th, k2=k2, n=sizes)
+        yield from signer.batches()
+        trim()
 
-    def _batch(a: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(key), pa.nulls(len(a), pa.int32())], names=["a", "key", "n"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, _SIGNED)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "a long, key long, n int")
+
+def _signed_sets(sets: DataFrame, level: int) -> DataFrame:
+    """The signatures of the sets (key, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(level)
+        for batch in batches:
+            for key, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if signer.add(key, np.asarray(shingles.values).view(np.uint64)):
+                    yield from signer.batches()
+        yield from signer.batches()
+        trim()
+
+    return sets.select("key", "shingles").mapInArrow(run, _SIGNED)
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """(a, key, n) rows as they are, and (sig, leader, key) for each set that shares a signature with a smaller key."""
+    """Rows with more as they are, and with a leader each set that shares a signature with a smaller key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig = leader = last_key = None
         for batch in batches:
-            is_doc = np.asarray(batch.column(2).is_valid())
-            if is_doc.any():
-                docs = batch.filter(pa.array(is_doc))
-                yield pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), docs.column(2), pa.nulls(len(docs), pa.int64())], names=["a", "key", "n", "leader"])
-                batch = batch.filter(pa.array(~is_doc))
+            more = np.asarray(batch.column(2).is_valid())
+            if more.any():
+                yield batch.filter(pa.array(more))
+                batch = batch.filter(pa.array(~more))
             if not len(batch):
                 continue
             sig, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -145,72 +228,89 @@ def _shared(signed: DataFrame) -> DataFrame:
             last_sig, leader, last_key = sig[-1], leaders[-1], key[-1]
             keep = (leaders != key) & ~again
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(key[keep]), pa.nulls(int(keep.sum()), pa.int32()), pa.array(leaders[keep])], names=["a", "key", "n", "leader"])
+                yield _rows(sig[keep], key[keep], leader=leaders[keep])
+        trim()
+
+    to = F.when(F.col("more.leader").isNull(), F.col("a")).otherwise(F.xxhash64("a", "key"))  # what is joined already goes anywhere
+    return signed.repartition(to).sortWithinPartitions("a", "key").mapInArrow(run, _SIGNED)
 
-    return signed.repartition("a").sortWithinPartitions("a", "key").mapInArrow(run, "a long, key long, n int, leader long")
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written lookup table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(key, n, shingles, sketch) of the needed (doc_id, key) rows; a repeated row may give its set again."""
+    """(key, id, n, shingles, sketch) of the needed sets (doc_id, th, key, k2, id, several), once each."""
+    kinds = {"key": pa.int64(), "id": pa.int64(), "n": pa.int32(), "shingles": pa.list_(pa.int64()), "sketch": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, done = Shingler(), set()
         for batch in batches:
-            out = []
-            for text, key in zip(batch.column(0), batch.column(1).to_pylist()):
+            out, size = [], 0
+            for text, key, k2, one in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if one in done:
+                    continue
                 shingles = shingler.of(text.as_py())
-                if key in done or set_key(shingles) != key:  # another text under the same id
+                if set_keys(shingles) != (key, k2):  # another text of the same hash
                     continue
                 if len(done) >= SEEN:
                     done.clear()
-                done.add(key)
-                out.append((key, len(shingles), shingles.view(np.int64), sketch(shingles)))
+                done.add(one)
+                out.append((key, one, len(shingles), shingles.view(np.int64), sketch(shingles)))
+                size += shingles.nbytes
+                if size >= BYTES_OUT:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds.values())], names=list(kinds))
+                    out, size = [], 0
             if out:
-                key, n, sets, sketches = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["key", "n", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds.values())], names=list(kinds))
+        trim()
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    rows = text.join(needed, "doc_id").select("text", "key")
-    return written(rows.mapInArrow(run, "key long, n int, shingles array<long>, sketch array<long>"), "sets")
+    def of(some: DataFrame) -> DataFrame:
+        some = _small(written(some.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "key", "k2", "id"), "needed"))
+        rows = texts.join(some, texts["doc_id"].eqNullSafe(F.col("_doc")) & (texts["th"] == F.col("_th"))).select("text", "key", "k2", "id")
+        return rows.mapInArrow(run, "key long, id long, n int, shingles array<long>, sketch array<long>")
+
+    # Only sets of several rows can come from more than one row of the same id and text.
+    return written(of(needed.filter("not several")).union(of(needed.filter("several")).dropDuplicates(["id"])), "sets", large=True)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (u, v) whose sets have a Jaccard similarity of at least 3/4. Only the sets in ``pairs`` move."""
-    ids = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    ids = F.broadcast(ids) if pairs.count() <= BROADCAST_ROWS // 2 else ids
-    sets = sets.join(ids, "key", "left_semi")
-    a = sets.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("key").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
+    ids = _small(written(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct(), "ends"))
+    sets = sets.join(ids, "id", "left_semi")
+    a = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
+    b = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
     both = pairs.join(a, "u").join(b, "v").filter("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
     both = both.withColumn("common", F.size(F.array_intersect("su", "sv")))
     return both.filter("100 * common >= 75 * (nu + nv - common)").select("u", "v")
 
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sizes and sketches don't rule out a similarity of 3/4: differences are at most a seventh of both sizes."""
-    a = sets.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("bu"))
-    b = sets.select(F.col("key").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("bv"))
-    both = pairs.join(a, "u").join(b, "v").filter("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
-    folded = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({0}) div 2), slice({0}, 1 + size({0}) div 2, size({0}) div 2), (x, y) -> x ^ y), {0})"
-    differ = F.expr(f"aggregate(zip_with({folded.format('bu', 'bv')}, {folded.format('bv', 'bu')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    return both.filter(7 * differ <= F.col("nu") + F.col("nv")).select(*pairs.columns)
+_FOLDED = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({0}) div 2), slice({0}, 1 + size({0}) div 2, size({0}) div 2), (x, y) -> x ^ y), {0})"
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, by: str) -> DataFrame:
+    """(u, v and the rest of ``pairs``), as ids, of the pairs of keys or ids that sizes and sketches don't rule out: differences are at most a seventh of both sizes."""
+    a = sets.select(F.col(by).alias("u"), F.col("id").alias("iu"), F.col("n").alias("nu"), F.col("sketch").alias("bu"))
+    b = sets.select(F.col(by).alias("v"), F.col("id").alias("iv"), F.col("n").alias("nv"), F.col("sketch").alias("bv"))
+    both = pairs.join(a, "u").join(b, "v").filter("iu <> iv and 4 * least(nu, nv) >= 3 * greatest(nu, nv)")
+    differ = F.expr(f"aggregate(zip_with({_FOLDED.format('bu', 'bv')}, {_FOLDED.format('bv', 'bu')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    rest = [c for c in pairs.columns if c not in ("u", "v")]
+    return both.filter(7 * differ <= F.col("nu") + F.col("nv")).select(F.col("iu").alias("u"), F.col("iv").alias("v"), *rest)
 
 
-def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Likely pairs (u, v) of one bucket (sig) and different roots. buckets: sig, key, root, n; sketches: key, sketch."""
-    sized = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("size")), "sig")
-    small = sized.filter(F.col("size") <= SMALL_BUCKET)
-    a, b = small.select("sig", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu")), small.select("sig", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
-    near = a.join(b, "sig").filter("u < v and ru <> rv and 4 * least(nu, nv) >= 3 * greatest(nu, nv)").select("u", "v")
-    large = sized.filter(F.col("size") > SMALL_BUCKET).join(sketches, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "root", "n", "sketch")
+def _in_blocks(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Likely pairs (u, v) of one bucket (sig, size, id, root, n) and different roots."""
+    large = large.join(sketches, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "n", "sketch")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]
-        keys, roots, sizes = ([x[c].to_numpy(np.int64) for x in (left, right)] for c in ("key", "root", "n"))
+        ids, roots, sizes = ([x[c].to_numpy(np.int64) for x in (left, right)] for c in ("id", "root", "n"))
         words = [x["sketch"].map(len).to_numpy(np.int64) for x in (left, right)]
         found = [np.zeros((0, 2), np.int64)]
         for size in sorted({*words[0].tolist(), *words[1].tolist()}):  # pairs of that length, or of it and its double
@@ -224,11 +324,11 @@ def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
                 differ = np.bitwise_count(row ^ bits[1]).sum(axis=1, dtype=np.int64)
                 near = (7 * differ <= n) & (roots[1][theirs] != roots[0][i]) & (4 * np.minimum(sizes[0][i], sizes[1][theirs]) >= 3 * np.maximum(sizes[0][i], sizes[1][theirs]))
                 near &= (words[0][i] == size) | (words[1][theirs] == size)
-                found.append(np.column_stack([np.full(int(near.sum()), keys[0][i]), keys[1][theirs][near]]))
+                found.append(np.column_stack([np.full(int(near.sum()), ids[0][i]), ids[1][theirs][near]]))
         pairs = np.concatenate(found)
         return pd.DataFrame({"u": pairs.min(axis=1), "v": pairs.max(axis=1)})
 
-    return near.union(large.groupBy("sig", "low", "high").applyInPandas(compare, "u long, v long")).distinct()
+    return large.groupBy("sig", "low", "high").applyInPandas(compare, "u long, v long")
 
 
 def _roots(nodes: DataFrame, column: str, comps: DataFrame, name: str) -> DataFrame:
@@ -243,68 +343,87 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest doc_id; of equal rows one stays.
+    """``docs`` with one row of each class: one of the smallest doc_id, or any if no row of the class has one.
 
-    Documents without words are classes of their own. Where no row of a class has an id, each set stays.
+    Documents without words are classes of their own.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            keys = [set_key(shingler.of((t.as_py() or "").encode())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
-
-    classes = written(_classes(docs), "classes")
-    classes = classes.groupBy("doc_id", "key", "component_id").agg(F.count("*").alias("rows"))
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone"))
-    again = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone"))
-    gone, again = (F.broadcast(x) if x.count() <= BROADCAST_ROWS else x for x in (written(gone, "gone"), written(again, "again")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_key long"])
-    rows = docs.mapInArrow(run, schema)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_gone"))
-    left = rows.join(gone, same, "left_anti")
-    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"])
-    return left.join(again, same, "left_anti").union(once).drop("_key")
+    classes = written(_classes(docs).filter("n_shingles > 0").groupBy("doc_id", "th", "component_id", "root").agg(F.count("*").alias("rows")), "classes")
+    chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("chosen"))
+    rows = classes.join(_small(written(chosen, "chosen")), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("chosen")))
+    rows = written(rows.filter("not stays or rows > 1").select("doc_id", "th", "stays"), "changed")
+    hashed, one, other = (free_name(x, docs.columns) for x in ("th", "id", "hash"))
+    gone, again = (_small(written(rows.filter(F.col("stays") == stays).select(F.col("doc_id").alias(one), F.col("th").alias(other)), "gone")) for stays in (False, True))
+    out = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.col(hashed) == F.col(other))
+    left = out.join(gone, same, "left_anti")
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", hashed])
+    return left.join(again, same, "left_anti").union(once).drop(hashed)
+
+
+def _links(sets: DataFrame, buckets: DataFrame) -> DataFrame:
+    """All links (u, v) between the sets (key, id, n, shingles, sketch), up to what components already tell, of the
+    sets in common buckets (sig, leader, key)."""
+    edges = None
+    for level in range(len(LEVELS)):
+        # First each set with the leader that shares most with it, then what is still apart.
+        shares = buckets.groupBy(F.col("leader").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("common"))
+        pairs = written(_likely(shares, sets, "key"), "likely")
+        best = written(pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v"), "best")
+        found = _linked(best, sets)
+        edges = written(found if edges is None else edges.union(found), "links")
+        comps = components(edges)
+        apart = _roots(_roots(pairs.select("u", "v"), "u", comps, "ru"), "v", comps, "rv").filter("ru <> rv").select("u", "v")
+        apart = written(apart.join(best, ["u", "v"], "left_anti").distinct(), "apart")
+        edges = written(edges.union(_linked(apart, sets)), "links")
+        comps = components(edges)
+
+        # Buckets of three or more sets whose members are not yet one component.
+        named = _small(written(_roots(sets.select("key", "id", "n"), "id", comps, "root"), "nodes"))
+        ends = buckets.join(named, "key").join(named.select(F.col("key").alias("leader"), *(F.col(c).alias(f"leader_{c}") for c in ("id", "n", "root"))), "leader")
+        roots = [F.min(F.least("root", "leader_root")).alias("low"), F.max(F.greatest("root", "leader_root")).alias("high")]
+        mixed = ends.groupBy("sig").agg(F.count("*").alias("others"), *roots).filter("others > 1 and low <> high").select("sig")
+        members = ends.join(mixed, "sig", "left_semi")
+        members = written(members.select("sig", "id", "root", "n").union(members.select("sig", "leader_id", "leader_root", "leader_n")).distinct(), "members")
+        members = written(members.join(members.groupBy("sig").agg(F.count("*").alias("size")), "sig"), "mixed")
+
+        small = members.filter(F.col("size") <= SMALL_BUCKET)
+        a, b = (small.select("sig", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "uv")
+        across = a.join(b, "sig").filter("u < v and ru <> rv and 4 * least(nu, nv) >= 3 * greatest(nu, nv)").select("u", "v")
+        large = members.filter(F.col("size") > SMALL_BUCKET)
+        many = written(large.select("id").distinct(), "many")
+        if level + 1 == len(LEVELS):
+            across = across.union(_in_blocks(large, sets.select("id", "sketch")))
+        across = written(_likely(across.distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti"), sets, "id"), "across")
+        edges = written(edges.union(_linked(across, sets)), "links")
+        if not many.head(1):
+            break
+        if level + 1 < len(LEVELS):
+            sets = written(sets.join(_small(many), "id", "left_semi"), "sets")
+            buckets = _buckets(written(_shared(_signed_sets(sets, level + 1)), "shared"))
+    return edges
+
+
+def _buckets(shared: DataFrame) -> DataFrame:
+    return shared.filter("more.leader is not null").select(F.col("a").alias("sig"), "more.leader", "key")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, key, n_shingles, component_id."""
-    shared = written(_shared(_signed(docs)), "shared")
-    rows = shared.filter("n is not null").select(F.col("a").alias("doc_id"), "key", F.col("n").cast("long").alias("n_shingles"))
-    first = rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    buckets = shared.filter("n is null").select(F.col("a").alias("sig"), "leader", "key")
-
-    # First each set with the leader that shares most with it, then what is still apart.
-    shares = written(buckets.groupBy(F.col("leader").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("common")), "pairs")
-    nodes = shares.select(F.col("u").alias("key")).union(shares.select(F.col("v").alias("key"))).distinct()
-    sets = _sets(docs, written(first.join(nodes, "key", "left_semi"), "needed"))
-    pairs = written(_likely(shares, sets), "likely")
-    best = pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v")
-    best = written(best, "best")
-    edges = written(_linked(best, sets), "links")
-    comps = components(edges)
-
-    apart = _roots(_roots(pairs.select("u", "v"), "u", comps, "ru"), "v", comps, "rv").filter("ru <> rv").select("u", "v")
-    apart = written(apart.join(best, ["u", "v"], "left_anti"), "apart")
-    edges = written(edges.union(_linked(apart, sets)), "links")
-    comps = components(edges)
-
-    # Buckets of three or more sets whose members are not yet one component.
-    named = written(_roots(sets.select("key", "n").dropDuplicates(["key"]), "key", comps, "root"), "nodes")
-    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    ends = shares.select(F.col("u").alias("leader"), F.col("v").alias("key")).join(named, "key")
-    ends = ends.join(named.select(F.col("key").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")), "leader")
-    rooted = buckets.join(ends, ["leader", "key"])
-    mixed = rooted.groupBy("sig").agg(F.count("*").alias("others"), F.max(F.col("root") != F.col("leader_root")).alias("differ")).filter("others > 1 and differ").select("sig")
-    members = rooted.join(mixed, "sig", "left_semi")
-    members = members.select("sig", "key", "root", "n").union(members.select("sig", "leader", "leader_root", "leader_n")).distinct()
-    members = written(members, "mixed")
-    across = _across(members, sets.select("key", "sketch").dropDuplicates(["key"])).join(shares.select("u", "v"), ["u", "v"], "left_anti")  # those were tried, ruled out or are linked
-    across = written(_likely(across, sets), "across")
-    comps = components(edges.union(_linked(across, sets)))
-
-    named = _roots(first.withColumnRenamed("doc_id", "first_id"), "key", comps, "root")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_key = named.join(smallest, "root").select("key", "component_id")
-    out = rows.join(by_key, "key", "left")
-    return out.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    """One row per document: doc_id, th (hash of its text), n_shingles, component_id, root (that names its class)."""
+    shared = written(_shared(_signed(docs)), "shared", large=True)
+    rows = shared.filter("more.n is not null").select("key", "more.k2", "more.doc_id", "more.th", F.col("more.n").cast("long").alias("n_shingles"))
+    # One row for each set; sets with the key of another set go by their second one.
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
+    first = written(rows.filter("n_shingles > 0").groupBy("key", "k2").agg(one.alias("one"), (F.count("*") > 1).alias("several")), "first")
+    twins = _small(written(first.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "twins"))
+    first = first.join(twins, "key", "left").select("key", "k2", "one.doc_id", "one.th", "several", F.when(F.col("sets") > 1, F.col("k2")).otherwise(F.col("key")).alias("id"))
+
+    buckets = _buckets(shared)
+    nodes = buckets.select(F.col("leader").alias("key")).union(buckets.select("key")).distinct()
+    edges = _links(_sets(docs, written(first.join(nodes, "key", "left_semi"), "needed")), buckets)
+
+    named = _roots(first.select("key", "k2", "doc_id", "id"), "id", components(edges), "root")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_key = _small(written(named.join(smallest, "root").select(F.col("key").alias("_key"), F.col("k2").alias("_k2"), "component_id", "root"), "named"))
+    out = rows.filter("n_shingles > 0").join(by_key, (F.col("key") == F.col("_key")) & (F.col("k2") == F.col("_k2")))
+    columns = "doc_id", "th", "n_shingles", "component_id", "root"
+    return out.select(*columns).union(rows.filter("n_shingles = 0").select("doc_id", "th", "n_shingles", "doc_id", F.lit(None).cast("long")))

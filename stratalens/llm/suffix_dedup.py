@@ -197,7 +197,7 @@ def _ranked(rows: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.full(len(abc), part, np.int64)), pa.array(local)], names=[*columns, "part", "local"])
 
     schema = ", ".join([*(f"{c} long" for c in columns), "part long", "local long"])
-    ordered = written(rows.repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c").mapInArrow(run, schema), "ranks")
+    ordered = written(rows.repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c").mapInArrow(run, schema), "ranks", large=True)
     total, offsets = 0, []
     for part, top in sorted(ordered.groupBy("part").agg(F.max("local")).collect()):  # a row for each partition
         offsets.append((part, total))
@@ -250,11 +250,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     copies = keyed.filter(F.octet_length("text") >= LENGTH).groupBy("t").agg(F.count("*").alias("rows")).filter("rows > 1").select("t")
     copies = written(copies, "copies")
-    runs = written(_runs(keyed), "runs")
+    runs = written(_runs(keyed), "runs", large=True)
 
     # Names with more than one place; open ones have different contexts.
     several = runs.groupBy("m").agg(*_several("t", "lo"), (F.min("c1") != F.max("c1")).alias("open")).filter(_MANY).select("m", "open")
-    every, runs = runs, written(runs.join(several, "m"), "candidates")
+    every, runs = runs, written(runs.join(several, "m"), "candidates", large=True)
     discard(every)
     contexts = runs.groupBy("m", "c1", "c2", "n", "open").agg(*_several("t", "lo"))
     contexts = written(contexts.select("m", "c1", "c2", "n", "open", "t0", "at0", F.expr(_MANY).alias("copied")), "contexts")
@@ -262,7 +262,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = written(whole.join(copies, "t", "left_anti"), "whole")
     discard(runs)
 
-    cut = written(_blocks(keyed, contexts.filter("open").select(F.col("t0").alias("t"), F.col("at0").alias("lo"), "n", "m", "copied")), "blocks")
+    cut = written(_blocks(keyed, contexts.filter("open").select(F.col("t0").alias("t"), F.col("at0").alias("lo"), "n", "m", "copied")), "blocks", large=True)
     hulls = cut.groupBy("core", "h1", "h2", "n").agg(*_several("t", "lo"), F.max("copied").alias("copied"))
     hulls = written(hulls.select("core", "h1", "h2", "n", "t0", "at0", F.expr(_MANY).alias("many"), "copied"), "hulls")
     discard(contexts)

@@ -44,7 +44,7 @@ def test_same_as_all_pairs(spark, seed):
 
 
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
-    """The same classes when every bucket counts as large."""
+    """The same classes when every bucket counts as large, and its sets are signed again."""
     monkeypatch.setattr(nd, "SMALL_BUCKET", 1)
     monkeypatch.setattr(nd, "BLOCK", 2)
     rows = corpus(5)
@@ -63,13 +63,16 @@ def test_signatures_meet_at_the_bound():
     """Sets that differ as much as the similarity allows share a signature, in one band or neighbouring ones."""
     import numpy as np
 
-    rng, bands = np.random.default_rng(0), nd.Bands()
+    rng, levels = np.random.default_rng(0), [nd.PartEnum(level) for level in range(len(nd.LEVELS))]
     for n in [1, 2, 3, 4, 5, 7, 8, 12, 16, 28, 64, 100, 200, 333, 1000]:
         for _ in range(20):
             common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
             for extra in {(n // 3, 0), (n // 6, n // 6), (0, 0)}:  # 4 * common >= 3 * union
                 a, b = (np.sort(np.r_[common, rng.integers(0, 1 << 63, k, dtype=np.uint64)]) for k in extra)
-                assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+                if len(a) + len(b) < 7 * max(1, len(a) + len(b) - 2 * n):
+                    continue  # too far apart
+                for enum in levels:
+                    assert len(a) + len(b) == 2 * n or set(enum.signatures(a).tolist()) & set(enum.signatures(b).tolist())
 
 
 def test_edge_cases(spark):
@@ -91,3 +94,30 @@ def test_one_of_each_class_stays(spark):
     assert sorted(x for x in kept if classes[x][0]) == with_words
     assert {x for x in kept if not classes[x][0]} == {x for x, (n, _) in classes.items() if not n}
     assert nd.representatives(frame).columns == frame.columns
+
+
+def test_null_ids_link_and_bridge(spark):
+    """A chain of near copies whose middle one has no id, among copies of it; ids too large for a float."""
+    words = [f"w{i}" for i in range(200)]
+    far = [*words[:180], *(f"x{i}" for i in range(20))]
+    middle = [*words[:190], *(f"x{i}" for i in range(10, 20))]
+    big = 2**53
+    assert [len(shingle_set(" ".join(a)) & shingle_set(" ".join(b))) * 100 >= 75 * len(shingle_set(" ".join(a)) | shingle_set(" ".join(b))) for a, b in ((words, middle), (middle, far))] == [True, True]
+    rows = [(big + 3, " ".join(far)), (None, " ".join(middle)), (big + 1, " ".join(words)), (None, " ".join(middle)), (None, "no copy of this")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(big + 3, big + 1), (big + 1, big + 1), (None, big + 1), (None, big + 1), (None, None)], key=str)
+    kept = nd.representatives(spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, th int, _th string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(big + 1, " ".join(words)), (None, "no copy of this")], key=str)
+
+
+def test_equal_routing_keys_of_different_sets(spark, monkeypatch):
+    """Sets of one 64-bit key are still two sets."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f h"), (3, "p q r s t u v"), (4, "p q r s t u v")]
+    shared = nd._shared
+
+    def one_key(signed):
+        return shared(signed.withColumn("key", nd.F.lit(7).cast("long")))
+
+    monkeypatch.setattr(nd, "_shared", one_key)
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
