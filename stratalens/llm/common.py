@@ -10,6 +10,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Files for each core of the cluster in a table between steps.
@@ -73,6 +74,17 @@ def bounded_sample(df: DataFrame, key: str, rows: int, *order: str) -> DataFrame
     return near.orderBy(place, *order).limit(rows)
 
 
+def stratified_sample(df: DataFrame, by: str, key: str, rows: int, *order: str) -> DataFrame:
+    """At most ``rows`` rows, as many of each value of ``by`` as there are or as is its even share, in hash order of a key."""
+    counts = written(df.groupBy(by).agg(F.count("*").alias("rows_")), "strata")
+    strata = counts.count()
+    share, place = max(1, rows // max(1, strata)), F.xxhash64(F.col(key).cast("string"))
+    counts = counts.withColumn("reach_", F.least(F.lit(1.0), F.lit(2.0 * (share + 50)) / F.col("rows_")))
+    near = df.join(F.broadcast(counts) if strata <= 100_000 else counts, by).filter(F.pmod(place, F.lit(1 << 20)) <= F.col("reach_") * (1 << 20))
+    rank = F.row_number().over(W.partitionBy(by).orderBy(place, *order))
+    return near.withColumn("rank_", rank).filter(F.col("rank_") <= share).orderBy(place, *order).limit(rows).select(*df.columns)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

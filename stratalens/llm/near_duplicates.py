@@ -1,18 +1,22 @@
 """Near-duplicate classes: an exact n-gram Jaccard self-join by PartEnum signatures.
 
 Sets of word shingles with a Jaccard similarity of at least 3/4 differ in at most a seventh of their sizes'
-sum, and their sizes lie in one size band or in two neighbouring ones. For each band (with the next) the
+sum. Size bands cover all pairs of such sizes. In each band the
 shingle domain is split by hash into groups, and each group into ``parts`` parts. Of any ``d // (spare + 1) + 1``
 groups, one holds at most ``spare`` of ``d`` differences, so two similar sets agree there on some choice of
 ``parts - spare`` parts. A set's signatures are its contents of all such choices in the first groups, up to as many
-good ones as its own size asks for; a group is good if no choice is empty. The set that stops first has enough good
-groups behind it, and the other one has signed these too, so no similar pair is missed; sets that run out of groups
-sign their empty choices as well. Sets that may not differ at all need no signature.
+good ones as its own size asks for. A group is good if each choice holds a shingle that isn't common, and choices
+without one aren't signed: the set that stops first has enough good groups behind it, and the other one has signed
+these too, so no similar pair is missed. A set with too few good groups signs the choices with a shingle that isn't
+common in all groups, and in the first ones also the others, as if nothing were common; where that isn't enough
+either, its empty choices as well. Sets that may not differ at all need no signature.
+
+Common shingles are those of passages in many documents, found by summaries of all documents that are merged. Any set
+of them gives the same links; they only keep what shares nothing else out of one bucket.
 
 All equal sets are one node. Within a batch, and then over the cluster, the sets that share a signature are compared
-with the smallest of them; that links groups of copies in linear work. What shares a signature and is still
-in different components is compared across these: small buckets by a join; the sets of large ones are signed again
-by longer contents (the next of ``LEVELS``), and only what these leave in a large bucket is compared in blocks
+with one of them; that links groups of copies in linear work. What shares a signature and is still
+in different components is compared across these: small buckets by a join, large ones in blocks
 behind an exact bound on the difference. Every candidate is verified on the whole shingle sets.
 
 A set's 64-bit key only routes it. Sets with equal keys are told apart by 128 bits.
@@ -31,6 +35,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,61 +53,77 @@ SEEN = 100_000
 ROWS_OUT, BYTES_OUT = 100_000, 1 << 22
 #: Bits of a set's parity sketch for each shingle, at least (a power of two in all); sets that differ in d
 #: shingles have sketches that differ in at most d bits, also when the longer one is folded to the other's length.
-SKETCH_BITS, LEAST_BITS = 4, 512
-#: (spare, parts) of each level of signatures.
-LEVELS = ((1, 3), (3, 6))
+SKETCH_BITS, LEAST_BITS = 1, 256
+#: Bytes of sketches up to which they are broadcast (with fewer than ``BROADCAST_ROWS`` sets); beyond it they are shuffled.
+BROADCAST_BYTES = 1 << 24
+#: Parts of a group, and how many of them a choice leaves out.
+PARTS, SPARE = 3, 1
+#: Common shingles that are sent to each task at most, counters of a task's summary, and rows from which a shingle is common.
+COMMON, COUNTERS, COMMON_ROWS = 1 << 20, 1 << 19, 64
+#: Shingles that a task adds to its summary at once.
+AT_ONCE = 1 << 21
 
 
 class PartEnum:
-    """Size bands for a Jaccard similarity of 3/4, and the groups, parts and choices of each."""
+    """Size bands for a Jaccard similarity of 3/4, and the groups, parts and choices of each.
+
+    A pair belongs to the band of its smaller set; a larger set up to 4/3 of a band's end is in that band too.
+    """
 
-    def __init__(self, level: int = 0, largest: int = 1 << 40):
+    def __init__(self, common: np.ndarray | None = None, largest: int = 1 << 40):
         ends, low = [], 1
         while low <= largest:
-            ends.append(low * 4 // 3)
+            ends.append(low * 16 // 9)
             low = ends[-1] + 1
-        self.level, self.ends = level, np.array(ends, np.int64)
+        self.ends, self.common = np.array(ends, np.int64), common
         self.tags: dict[int, tuple] = {}
 
     def _tag(self, tag: int) -> tuple:
         """(spare, parts, groups, choices as rows of 0 and 1, a number for each group and choice)."""
         if tag not in self.tags:
             r = int(self.ends[tag])
-            most, (spare, parts) = (r + r * 4 // 3) // 7, LEVELS[self.level]
+            most, spare, parts = (r + r * 4 // 3) // 7, SPARE, PARTS
             if most <= 3:  # few elements: one group, of so many parts that they are rarely together in one
-                spare, parts = max(1, most), (8, 8, 7, 7)[most] + 2 * self.level
+                spare, parts = max(1, most), (8, 8, 7, 7)[most]
             groups = most // (spare + 1) + 1
             if most > 3:
-                groups += 1 + int(0.08 * groups + 0.5 * groups**0.5)
+                groups += 1 + int(0.3 * groups + 0.5 * groups**0.5)
             choices = np.zeros((comb(parts, spare), parts), np.uint64)
             for row, some in zip(choices, combinations(range(parts), parts - spare)):
                 row[list(some)] = 1
-            number = mix64(np.arange(groups * len(choices), dtype=np.uint64) + np.uint64((self.level << 56) + (tag << 40))).reshape(groups, -1)
+            number = mix64(np.arange(groups * len(choices), dtype=np.uint64) + np.uint64(tag << 40)).reshape(groups, -1)
             self.tags[tag] = spare, parts, groups, choices, number
         return self.tags[tag]
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """Of a sorted set, for its band with the next and for the one before with its own."""
+        """Of a sorted set, for its band and for the one before if its partners can be there."""
         size = len(shingles)
         band, out = int(np.searchsorted(self.ends, size)), []
         high = shingles >> np.uint64(32)
-        sums = np.zeros(size + 1, np.uint64)
+        sums, rares = np.zeros(size + 1, np.uint64), np.arange(size + 1)
         np.cumsum(mix64(shingles + np.uint64(0x632BE59BD9B4E019)), out=sums[1:])
-        for tag in (band, band - 1) if band else (band,):
-            partner = min(size * 4 // 3, int(self.ends[band + 1])) if tag == band else int(self.ends[tag])
-            differ = (size + partner) // 7
+        if self.common is not None and len(self.common) and size:
+            at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+            np.cumsum(self.common[at] != shingles, out=rares[1:])
+        for tag in (band, band - 1) if band and 3 * size <= 4 * int(self.ends[band - 1]) else (band,):
+            differ = (size + (size * 4 // 3 if tag == band else int(self.ends[tag]))) // 7
             if not differ:
                 continue
             spare, parts, groups, choices, number = self._tag(tag)
             cells = ((high * np.uint64(groups * parts)) >> np.uint64(32)).astype(np.int64)  # in order, as the set is
             edges = np.searchsorted(cells, np.arange(groups * parts + 1))
-            full = np.diff(edges).reshape(groups, parts) > 0
-            good = np.cumsum(full.sum(axis=1) > spare)
+            full, rare = (np.diff(x[edges]).reshape(groups, parts) > 0 for x in (np.arange(size + 1), rares))
             asked = differ // (spare + 1) + 1
-            until = int(np.searchsorted(good, asked)) + 1
-            content = (sums[edges[1:]] - sums[edges[:-1]]).reshape(groups, parts)[:until]
-            signed = mix64(content @ choices.T + number[:until])
-            out.append(signed[full[:until].astype(np.uint64) @ choices.T > 0] if good[-1] >= asked else signed.ravel())
+            signed = mix64((sums[edges[1:]] - sums[edges[:-1]]).reshape(groups, parts) @ choices.T + number)
+            chosen = rare.astype(np.uint64) @ choices.T > 0
+            good = np.cumsum(rare.sum(axis=1) > spare)
+            if good[-1] >= asked:
+                chosen[int(np.searchsorted(good, asked)) + 1 :] = False
+            else:
+                good = np.cumsum(full.sum(axis=1) > spare)
+                until = int(np.searchsorted(good, asked)) + 1
+                chosen[:until] |= full[:until].astype(np.uint64) @ choices.T > 0 if good[-1] >= asked else True
+            out.append(signed[chosen])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -121,22 +142,38 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 _MORE = {"leader": pa.int64(), "doc_id": pa.int64(), "th": pa.int64(), "k2": pa.int64(), "n": pa.int32()}
-_SIGNED = "a long, key long, more struct<leader:long,doc_id:long,th:long,k2:long,n:int>"
+_SIGNED, _SHARED = "a long, key long, more binary", "a long, key long, more struct<leader:long,doc_id:long,th:long,k2:long,n:int>"
+
 
+def _rows(a: np.ndarray, key: np.ndarray, more: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows (a, key, more): of a signature; with more of two sets that share one, or of a document."""
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(key), pa.nulls(len(a), pa.binary()) if more is None else more], names=["a", "key", "more"])
 
-def _rows(a: np.ndarray, key: np.ndarray, **more) -> pa.RecordBatch:
-    """Rows (a, key, more): of a signature; of two sets that share one, with a leader; or of a document."""
-    kind = pa.struct(list(_MORE.items()))
-    parts = [(more[c] if isinstance(more[c], pa.Array) else pa.array(more[c], t)) if c in more else pa.nulls(len(a), t) for c, t in _MORE.items()]
-    column = pa.StructArray.from_arrays(parts, names=list(_MORE)) if more else pa.nulls(len(a), kind)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(key), column], names=["a", "key", "more"])
+
+def _packed(*columns: np.ndarray) -> pa.Array:
+    """A row's longs as bytes: rows of signatures, which are most, then carry one null only."""
+    data = np.column_stack(columns).astype("<i8")
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * (8 * len(columns))
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_SHARED``: of a leader (one long), and of documents (five: whether there is an id, the id, th, k2, n)."""
+    sizes = pc.binary_length(batch.column(2))
+    for longs in (1, 5):
+        rows = batch.filter(pc.equal(sizes, 8 * longs))
+        if len(rows):
+            x = np.frombuffer(pa.concat_arrays([rows.column(2)]).buffers()[2], "<i8", len(rows) * longs).reshape(-1, longs)
+            nulls = [pa.nulls(len(rows), t) for t in _MORE.values()]
+            docs = [nulls[0], pa.array(x[:, 1], mask=x[:, 0] == 0), pa.array(x[:, 2]), pa.array(x[:, 3]), pa.array(x[:, 4].astype(np.int32))] if longs == 5 else None
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.StructArray.from_arrays(docs or [pa.array(x[:, 0]), *nulls[1:]], names=list(_MORE))], names=["a", "key", "more"])
 
 
 class Signer:
     """Collects the signatures of sets, and gives them out with what shares one within a batch already joined."""
 
-    def __init__(self, level: int):
-        self.enum, self.out, self.size = PartEnum(level), [], 0
+    def __init__(self, common: np.ndarray):
+        self.enum, self.out, self.size = PartEnum(common), [], 0
 
     def add(self, key: int, shingles: np.ndarray) -> bool:
         """Whether enough is there to give out."""
@@ -155,15 +192,61 @@ class Signer:
             yield _rows(sig[begins], key[begins])
             rest = ~begins & (key != leader)
             if rest.any():
-                yield _rows(sig[rest], key[rest], leader=leader[rest])
+                yield _rows(sig[rest], key[rest], _packed(leader[rest]))
         self.out, self.size = [], 0
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """For each row its document, and for each set its signatures."""
+def _common(docs: DataFrame) -> np.ndarray:
+    """The most frequent shingles of all documents, sorted: at most ``COMMON``, of ``COMMON_ROWS`` rows at least.
+
+    Each task sums its rows up in ``COUNTERS`` counters; as these run out, all lose the count of the least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen, parts, size = Shingler(), set(), [], 0
+        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (values[:0], counts[:0])
+            both, weights = np.concatenate([values, new]), np.concatenate([counts, n])
+            order = np.argsort(both)
+            both, weights = both[order], weights[order]
+            begins = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+            both, weights = both[begins], np.add.reduceat(weights, begins) if len(begins) else weights
+            if len(both) > COUNTERS:
+                weights = weights - np.partition(weights, -COUNTERS - 1)[-COUNTERS - 1]
+                both, weights = both[weights > 0], weights[weights > 0]
+            return both, weights
+
+        for batch in batches:
+            for th, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if th in seen:  # copies of a text are one set
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(th)
+                parts.append(shingler.of(text.as_py()))
+                size += len(parts[-1])
+                if size >= AT_ONCE:
+                    values, counts = merged()
+                    parts, size = [], 0
+        values, counts = merged()
+        values, counts = values[counts > 1], counts[counts > 1]
+        for i in range(0, len(values), ROWS_OUT):
+            yield pa.RecordBatch.from_arrays([pa.array(values[i : i + ROWS_OUT].view(np.int64)), pa.array(counts[i : i + ROWS_OUT])], names=["shingle", "rows"])
+        trim()
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    found = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "shingle long, rows long")
+    found = found.groupBy("shingle").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= COMMON_ROWS).orderBy(F.desc("rows"), "shingle").limit(COMMON)
+    return np.sort(found.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _signed(docs: DataFrame, common) -> DataFrame:
+    """For each row its document, and for each set its signatures; common: the broadcast common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer, seen = Shingler(), Signer(0), set()
+        shingler, signer, seen = Shingler(), Signer(common.value), set()
         for batch in batches:
             k1, k2, sizes = (np.zeros(len(batch), t) for t in (np.int64, np.int64, np.int32))
             for i, text in enumerate(batch.column(2)):
@@ -178,8 +261,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 if signer.add(key[0], shingles):
                     yield from signer.batches()
             ids, th = batch.column(0), np.asarray(batch.column(1))
-            spread = mix64((th ^ k2).view(np.uint64) + np.asarray(ids.fill_null(0)).view(np.uint64))
-            yield _rows(spread.view(np.int64), k1, doc_id=ids, th=th, k2=k2, n=sizes)
+            there, ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
+            spread = mix64((th ^ k2).view(np.uint64) + ids.view(np.uint64))
+            if len(batch):
+                yield _rows(spread.view(np.int64), k1, _packed(there, ids, th, k2, sizes))
         yield from signer.batches()
         trim()
 
@@ -187,52 +272,34 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, _SIGNED)
 
 
-def _signed_sets(sets: DataFrame, level: int) -> DataFrame:
-    """The signatures of the sets (key, shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(level)
-        for batch in batches:
-            for key, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if signer.add(key, np.asarray(shingles.values).view(np.uint64)):
-                    yield from signer.batches()
-        yield from signer.batches()
-        trim()
-
-    return sets.select("key", "shingles").mapInArrow(run, _SIGNED)
-
-
 def _shared(signed: DataFrame) -> DataFrame:
-    """Rows with more as they are, and with a leader each set that shares a signature with a smaller key."""
+    """Rows with more as they are, and with a leader each set that shares a signature with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = leader = last_key = None
+        last = leader = None
         for batch in batches:
             more = np.asarray(batch.column(2).is_valid())
             if more.any():
-                yield batch.filter(pa.array(more))
+                yield from _unpacked(batch.filter(pa.array(more)))
                 batch = batch.filter(pa.array(~more))
             if not len(batch):
                 continue
             sig, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             begins = np.ones(len(sig), bool)
             begins[1:] = sig[1:] != sig[:-1]
-            again = np.zeros(len(sig), bool)
-            again[1:] = ~begins[1:] & (key[1:] == key[:-1])
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))
-            leaders = key[first]
-            if sig[0] == last_sig:
-                same = int(np.argmax(begins[1:])) + 1 if begins[1:].any() else len(sig)
-                leaders[:same] = leader
-                again[0] = key[0] == last_key
-            last_sig, leader, last_key = sig[-1], leaders[-1], key[-1]
-            keep = (leaders != key) & ~again
+            leaders = key[np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))]
+            if sig[0] == last:
+                leaders[: int(np.argmax(begins[1:])) + 1 if begins[1:].any() else len(sig)] = leader
+            last, leader = sig[-1], leaders[-1]
+            keep = leaders != key
             if keep.any():
-                yield _rows(sig[keep], key[keep], leader=leaders[keep])
+                sig, key, leaders = sig[keep], key[keep], leaders[keep]
+                column = pa.StructArray.from_arrays([pa.array(leaders), *(pa.nulls(len(key), t) for t in list(_MORE.values())[1:])], names=list(_MORE))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), column], names=["a", "key", "more"])
         trim()
 
-    to = F.when(F.col("more.leader").isNull(), F.col("a")).otherwise(F.xxhash64("a", "key"))  # what is joined already goes anywhere
-    return signed.repartition(to).sortWithinPartitions("a", "key").mapInArrow(run, _SIGNED)
+    to = F.when(F.octet_length("more") == 8, F.xxhash64("a", "key")).otherwise(F.col("a"))  # what is joined already goes anywhere
+    return signed.repartition(to).sortWithinPartitions("a").mapInArrow(run, _SHARED)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -292,10 +359,13 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _FOLDED = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({0}) div 2), slice({0}, 1 + size({0}) div 2, size({0}) div 2), (x, y) -> x ^ y), {0})"
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, by: str) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, by: str) -> DataFrame:
     """(u, v and the rest of ``pairs``), as ids, of the pairs of keys or ids that sizes and sketches don't rule out: differences are at most a seventh of both sizes."""
-    a = sets.select(F.col(by).alias("u"), F.col("id").alias("iu"), F.col("n").alias("nu"), F.col("sketch").alias("bu"))
-    b = sets.select(F.col(by).alias("v"), F.col("id").alias("iv"), F.col("n").alias("nv"), F.col("sketch").alias("bv"))
+    a = sketches.select(F.col(by).alias("u"), F.col("id").alias("iu"), F.col("n").alias("nu"), F.col("sketch").alias("bu"))
+    b = sketches.select(F.col(by).alias("v"), F.col("id").alias("iv"), F.col("n").alias("nv"), F.col("sketch").alias("bv"))
+    size = sketches.agg(F.count("*"), F.sum(8 * F.size("sketch") + 64)).first()
+    if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES:
+        a, b = F.broadcast(a), F.broadcast(b)
     both = pairs.join(a, "u").join(b, "v").filter("iu <> iv and 4 * least(nu, nv) >= 3 * greatest(nu, nv)")
     differ = F.expr(f"aggregate(zip_with({_FOLDED.format('bu', 'bv')}, {_FOLDED.format('bv', 'bu')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     rest = [c for c in pairs.columns if c not in ("u", "v")]
@@ -363,44 +433,34 @@ def representatives(docs: DataFrame) -> DataFrame:
 def _links(sets: DataFrame, buckets: DataFrame) -> DataFrame:
     """All links (u, v) between the sets (key, id, n, shingles, sketch), up to what components already tell, of the
     sets in common buckets (sig, leader, key)."""
-    edges = None
-    for level in range(len(LEVELS)):
-        # First each set with the leader that shares most with it, then what is still apart.
-        shares = buckets.groupBy(F.col("leader").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("common"))
-        pairs = written(_likely(shares, sets, "key"), "likely")
-        best = written(pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v"), "best")
-        found = _linked(best, sets)
-        edges = written(found if edges is None else edges.union(found), "links")
-        comps = components(edges)
-        apart = _roots(_roots(pairs.select("u", "v"), "u", comps, "ru"), "v", comps, "rv").filter("ru <> rv").select("u", "v")
-        apart = written(apart.join(best, ["u", "v"], "left_anti").distinct(), "apart")
-        edges = written(edges.union(_linked(apart, sets)), "links")
-        comps = components(edges)
-
-        # Buckets of three or more sets whose members are not yet one component.
-        named = _small(written(_roots(sets.select("key", "id", "n"), "id", comps, "root"), "nodes"))
-        ends = buckets.join(named, "key").join(named.select(F.col("key").alias("leader"), *(F.col(c).alias(f"leader_{c}") for c in ("id", "n", "root"))), "leader")
-        roots = [F.min(F.least("root", "leader_root")).alias("low"), F.max(F.greatest("root", "leader_root")).alias("high")]
-        mixed = ends.groupBy("sig").agg(F.count("*").alias("others"), *roots).filter("others > 1 and low <> high").select("sig")
-        members = ends.join(mixed, "sig", "left_semi")
-        members = written(members.select("sig", "id", "root", "n").union(members.select("sig", "leader_id", "leader_root", "leader_n")).distinct(), "members")
-        members = written(members.join(members.groupBy("sig").agg(F.count("*").alias("size")), "sig"), "mixed")
-
-        small = members.filter(F.col("size") <= SMALL_BUCKET)
-        a, b = (small.select("sig", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "uv")
-        across = a.join(b, "sig").filter("u < v and ru <> rv and 4 * least(nu, nv) >= 3 * greatest(nu, nv)").select("u", "v")
-        large = members.filter(F.col("size") > SMALL_BUCKET)
-        many = written(large.select("id").distinct(), "many")
-        if level + 1 == len(LEVELS):
-            across = across.union(_in_blocks(large, sets.select("id", "sketch")))
-        across = written(_likely(across.distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti"), sets, "id"), "across")
-        edges = written(edges.union(_linked(across, sets)), "links")
-        if not many.head(1):
-            break
-        if level + 1 < len(LEVELS):
-            sets = written(sets.join(_small(many), "id", "left_semi"), "sets")
-            buckets = _buckets(written(_shared(_signed_sets(sets, level + 1)), "shared"))
-    return edges
+    # First each set with the leader that shares most with it, then what is still apart.
+    sketches = sets.select("key", "id", "n", "sketch")
+    shares = buckets.groupBy(F.col("leader").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("common"))
+    pairs = written(_likely(shares, sketches, "key"), "likely")
+    best = written(pairs.groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v"), "best")
+    edges = written(_linked(best, sets), "links")
+    comps = components(edges)
+    apart = _roots(_roots(pairs.select("u", "v"), "u", comps, "ru"), "v", comps, "rv").filter("ru <> rv").select("u", "v")
+    apart = written(apart.join(best, ["u", "v"], "left_anti").distinct(), "apart")
+    edges = written(edges.union(_linked(apart, sets)), "links")
+    comps = components(edges)
+
+    # Buckets of three or more sets whose members are not yet one component.
+    named = _small(written(_roots(sets.select("key", "id", "n"), "id", comps, "root"), "nodes"))
+    ends = buckets.join(named, "key").join(named.select(F.col("key").alias("leader"), *(F.col(c).alias(f"leader_{c}") for c in ("id", "n", "root"))), "leader")
+    roots = [F.min(F.least("root", "leader_root")).alias("low"), F.max(F.greatest("root", "leader_root")).alias("high")]
+    mixed = written(ends.groupBy("sig").agg(F.count("*").alias("others"), *roots).filter("others > 1 and low <> high").select("sig"), "mixed")
+    members = ends.join(mixed, "sig", "left_semi")
+    members = written(members.select("sig", "id", "root", "n").union(members.select("sig", "leader_id", "leader_root", "leader_n")).distinct(), "members")
+    sizes = written(members.groupBy("sig").agg(F.count("*").alias("size")), "sizes")
+    members = members.join(sizes, "sig")
+
+    small = members.filter(F.col("size") <= SMALL_BUCKET)
+    a, b = (small.select("sig", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "uv")
+    across = a.join(b, "sig").filter("u < v and ru <> rv and 4 * least(nu, nv) >= 3 * greatest(nu, nv)").select("u", "v")
+    across = across.union(_in_blocks(members.filter(F.col("size") > SMALL_BUCKET), sketches.select("id", "sketch")))
+    across = written(_likely(across.distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti"), sketches, "id"), "across")
+    return edges.union(_linked(across, sets))
 
 
 def _buckets(shared: DataFrame) -> DataFrame:
@@ -409,7 +469,8 @@ def _buckets(shared: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, th (hash of its text), n_shingles, component_id, root (that names its class)."""
-    shared = written(_shared(_signed(docs)), "shared", large=True)
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
+    shared = written(_shared(_signed(docs, common)), "shared", large=True)
     rows = shared.filter("more.n is not null").select("key", "more.k2", "more.doc_id", "more.th", F.col("more.n").cast("long").alias("n_shingles"))
     # One row for each set; sets with the key of another set go by their second one.
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
