@@ -17,7 +17,8 @@ of them gives the same links; they only keep what shares nothing else out of one
 All equal sets are one node. Within a batch, and then over the cluster, the sets that share a signature are compared
 with one of them; that links groups of copies in linear work. What shares a signature and is still
 in different components is compared across these: small buckets by a join, large ones in blocks
-behind an exact bound on the difference. Every candidate is verified on the whole shingle sets.
+behind an exact bound on the difference. Large buckets that overlap are compared as one group where that takes fewer
+comparisons, so that two sets meet once and not in each bucket they share. Every candidate is verified on the whole shingle sets.
 
 A set's 64-bit key only routes it. Sets with equal keys are told apart by 128 bits.
 
@@ -372,8 +373,24 @@ def _likely(pairs: DataFrame, sketches: DataFrame, by: str) -> DataFrame:
     return both.filter(7 * differ <= F.col("nu") + F.col("nv")).select(F.col("iu").alias("u"), F.col("iv").alias("v"), *rest)
 
 
+def _grouped(large: DataFrame) -> DataFrame:
+    """(sig, size, id, root, n): the sets of large buckets (sig, size, id, root, n) by what is compared: all buckets that hang together,
+    if the square of their sets is at most the sum of the buckets' squares, else each bucket."""
+    buckets = written(large.groupBy("sig", "size").agg(F.min("id").alias("least")), "large")
+    ends = large.join(buckets.select("sig", "least"), "sig").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
+    parts = written(components(ends).withColumnRenamed("root", "part"), "parts")
+    sets = parts.groupBy("part").agg(F.count("*").alias("sets"))
+    costs = _roots(buckets.withColumnRenamed("least", "node"), "node", parts.withColumnRenamed("part", "root"), "part")
+    costs = costs.groupBy("part").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("cost")).join(sets, "part")
+    costs = written(costs.select("part", "sets", (F.col("sets").cast("double") * F.col("sets") <= F.col("cost")).alias("whole")), "costs")
+    of = parts.join(_small(costs), "part").withColumnRenamed("node", "id")
+    rows = large.join(_small(written(of, "places")), "id")
+    whole = rows.filter("whole").select(F.col("part").alias("sig"), F.col("sets").alias("size"), "id", "root", "n").distinct()
+    return whole.union(rows.filter("not whole").select("sig", "size", "id", "root", "n"))
+
+
 def _in_blocks(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Likely pairs (u, v) of one bucket (sig, size, id, root, n) and different roots."""
+    """Likely pairs (u, v) of one group (sig, size, id, root, n) and different roots."""
     large = large.join(sketches, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "n", "sketch")
@@ -394,6 +411,8 @@ def _in_blocks(large: DataFrame, sketches: DataFrame) -> DataFrame:
                 differ = np.bitwise_count(row ^ bits[1]).sum(axis=1, dtype=np.int64)
                 near = (7 * differ <= n) & (roots[1][theirs] != roots[0][i]) & (4 * np.minimum(sizes[0][i], sizes[1][theirs]) >= 3 * np.maximum(sizes[0][i], sizes[1][theirs]))
                 near &= (words[0][i] == size) | (words[1][theirs] == size)
+                if key[1] == key[2]:  # each pair of a block once
+                    near &= ids[1][theirs] > ids[0][i]
                 found.append(np.column_stack([np.full(int(near.sum()), ids[0][i]), ids[1][theirs][near]]))
         pairs = np.concatenate(found)
         return pd.DataFrame({"u": pairs.min(axis=1), "v": pairs.max(axis=1)})
@@ -458,7 +477,7 @@ def _links(sets: DataFrame, buckets: DataFrame) -> DataFrame:
     small = members.filter(F.col("size") <= SMALL_BUCKET)
     a, b = (small.select("sig", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "uv")
     across = a.join(b, "sig").filter("u < v and ru <> rv and 4 * least(nu, nv) >= 3 * greatest(nu, nv)").select("u", "v")
-    across = across.union(_in_blocks(members.filter(F.col("size") > SMALL_BUCKET), sketches.select("id", "sketch")))
+    across = across.union(_in_blocks(_grouped(written(members.filter(F.col("size") > SMALL_BUCKET), "in_large")), sketches.select("id", "sketch")))
     across = written(_likely(across.distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti"), sketches, "id"), "across")
     return edges.union(_linked(across, sets))
 
