@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -121,6 +121,20 @@ class Explorer:
         wide = self.df.agg(*(F.struct(F.lit(c.upper()).alias("course"), F.first(F.lit(1)).alias("_"), a.alias("pass_1st"), b.alias("ever_pass"), d.alias("mean_attempts")).alias(c) for c, a, b, d in out))
         return wide.select(F.explode(F.array(*(F.col(c) for c, *_ in out))).alias("r")).select("r.course", "r.pass_1st", "r.ever_pass", "r.mean_attempts")
 
+    def distinct_counts(self, columns: Sequence[str]) -> DataFrame:
+        """(column, distinct, rows): exact numbers of values, without missing ones."""
+        return self._by_column(columns, lambda c: F.count_distinct(c), "distinct")
+
+    def non_null_counts(self, columns: Sequence[str]) -> DataFrame:
+        """(column, non_null, rows, all_null) of each column."""
+        return self._by_column(columns, lambda c: F.count(c), "non_null").withColumn("all_null", F.col("non_null") == 0)
+
+    def _by_column(self, columns: Sequence[str], of: Callable[[Column], Column], name: str) -> DataFrame:
+        """One aggregation of all columns, turned into a row for each."""
+        wide = self.df.agg(F.count("*").alias("rows"), *(of(E.plain(F.col(f"`{c}`")) if dict(self.df.dtypes)[c] == "double" else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)))
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias(name)) for i, c in enumerate(columns))))
+        return wide.select(each.alias("r"), "rows").select("r.column", f"r.{name}", "rows")
+
     def types(self) -> DataFrame:
         """(column, dtype, missing_pct) by name."""
         kinds = self.df.sparkSession.createDataFrame(self.df.dtypes, "column string, dtype string")

@@ -19,6 +19,11 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFr
     return with_key.unionByName(df.filter(F.col(key).isNull()))
 
 
+def first_rows(df: DataFrame, key: str, order: Sequence[str | Column], k: int) -> DataFrame:
+    """The first k rows of each key in the given order."""
+    return df.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_nth") <= k).drop("_nth")
+
+
 def merge_nondup(left: DataFrame, right: DataFrame | None, on: str) -> DataFrame:
     """Left join that leaves out right columns the left has already; ``left`` itself without a right."""
     if right is None:

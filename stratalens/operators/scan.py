@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .quantiles import quantiles
 
 MIN_N, MAX_LEVELS, QUANTILES = 25, 60, (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -65,10 +66,15 @@ def level_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def screened_categories(df: DataFrame, features: Sequence[str], max_levels: int = MAX_LEVELS) -> list[str]:
     """Of the features, those that aren't identifiers and have at most ``max_levels`` levels; one aggregate job."""
     named = [c for c in features if "id" not in c.lower()]
-    if not named:
-        return []
-    counts = df.agg(F.count("*").alias("_rows"), *(F.count_distinct(F.col(f"`{c}`")).alias(c) for c in named)).first()
-    return [c for c in named if counts[c] <= max(200, 0.5 * counts["_rows"]) and counts[c] <= max_levels]
+    counts = {r["feature"]: r for r in level_numbers(df, named).collect()} if named else {}  # a row for each feature
+    return [c for c in named if counts[c]["levels"] <= max(200, 0.5 * counts[c]["rows"]) and counts[c]["levels"] <= max_levels]
+
+
+def level_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, levels, rows): exact numbers of levels, in one aggregation."""
+    wide = df.agg(F.count("*").alias("rows"), *(F.count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(features)))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("levels")) for i, c in enumerate(features))))
+    return wide.select(each.alias("r"), "rows").select("r.feature", "r.levels", "rows")
 
 
 def risk_ratios(df: DataFrame, outcome: str, features: Sequence[str], min_level_n: int = MIN_N) -> DataFrame:
@@ -91,8 +97,7 @@ def risk_ratios(df: DataFrame, outcome: str, features: Sequence[str], min_level_
 
 def quantile_edges(df: DataFrame, features: Sequence[str], q: Sequence[float] = QUANTILES) -> DataFrame:
     """(feature, edges): distinct exact quantiles; a constant feature gets one bucket around its value."""
-    edges = F.array_distinct(F.percentile("value", F.array(*map(F.lit, q))))
-    e = unpivot_numeric(df, features).groupBy("feature").agg(edges.alias("edges"))
+    e = quantiles(unpivot_numeric(df, features), q).select("feature", F.array_distinct("quantiles").alias("edges"))
     one = F.size("edges") < 2
     around = F.array(F.element_at("edges", 1) - 1e-6, F.element_at("edges", 1) + 1e-6)
     return e.select("feature", F.when(one, around).otherwise(F.col("edges")).alias("edges"))
@@ -133,4 +138,4 @@ def bucket_spreads(buckets: DataFrame, top: int | None = 5) -> DataFrame:
     """(feature, n_total, buckets, min_rate, max_rate, spread), widest first."""
     t = buckets.groupBy("feature").agg(F.sum("n").alias("n_total"), F.count_distinct("bucket_no").alias("buckets"), F.min("grad_rate").alias("min_rate"), F.max("grad_rate").alias("max_rate"))
     t = t.withColumn("spread", F.col("max_rate") - F.col("min_rate")).orderBy(F.desc("spread"), F.desc("n_total"), "feature")
-    return t.limit(top) if top else t
+    return t if top is None else t.limit(top)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .quantiles import quantiles
 
 #: Slots of the term grid: eight years of three terms, and a ninth fall.
 YEARS = ("1st", "2nd", "3rd", "4th", "5th", "6th", "7th", "8th")
@@ -57,7 +58,9 @@ def slopes(long: DataFrame, key: str) -> DataFrame:
 
 def slope_summary(by_entity: DataFrame) -> DataFrame:
     """n_students with a slope, its median, and the share of positive ones among all entities."""
-    return by_entity.agg(F.count("gpa_slope").alias("n_students"), F.median("gpa_slope").alias("median_slope"), F.avg(E.flag(F.col("gpa_slope") > 0)).alias("pct_positive_slope"))
+    middle = quantiles(by_entity.select(F.lit("gpa_slope").alias("feature"), F.col("gpa_slope").alias("value")), [0.5]).first()
+    median = F.lit(middle["quantiles"][0] if middle else None).cast("double")
+    return by_entity.agg(F.count("gpa_slope").alias("n_students"), median.alias("median_slope"), F.avg(E.flag(F.col("gpa_slope") > 0)).alias("pct_positive_slope"))
 
 
 def slope_by_outcome(by_entity: DataFrame, outcome: str) -> DataFrame:

@@ -115,7 +115,7 @@ def slices_categorical(spark, sf_dir):
 (SELECT *, 'numeric_effect' AS kind FROM e ORDER BY score DESC, feature LIMIT 12) UNION ALL BY NAME (SELECT *, 'categorical_rr' AS kind FROM r ORDER BY score DESC, feature, level LIMIT 12)
 UNION ALL BY NAME (SELECT *, 'bucket_spread' AS kind FROM s ORDER BY spread DESC, n_total DESC, feature LIMIT 5)""")
 def combined(spark, sf_dir):
-    o = B.orders(spark, sf_dir)
+    o = B.orders(spark, sf_dir).persist()  # three scans read it
     return rounded(synth.combined(scan.effect_sizes(o, "y", B.NUMERIC), scan.risk_ratios(o, "y", B.TEXT), scan.bucket_summary(o, "y", B.NUMERIC)))
 
 
@@ -189,10 +189,7 @@ def cohort(spark, sf_dir):
 
 @query("w3_first_two_orders", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r <= 2")
 def first_two(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    nth = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return B.read(spark, sf_dir, "orders").withColumn("r", nth).filter("r <= 2").select("o_custkey", "o_orderkey")
+    return keys.first_rows(B.read(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 2).select("o_custkey", "o_orderkey")
 
 
 # -- course texts ----------------------------------------------------------------------------------------------
@@ -369,9 +366,9 @@ def anti(spark, sf_dir):
     return keys.only_in(B.read(spark, sf_dir, "documents"), B.read(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
-@query("a10_distinct_counts", "SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS types, count(*) AS n FROM events")
+@query("a10_distinct_counts", f"WITH {B.EVENTS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"distinct\", count(*) AS \"rows\" FROM e" for c in ("user_id", "event_type", "k")))
 def distinct_counts(spark, sf_dir):
-    return B.events(spark, sf_dir).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("event_type").alias("types"), F.count("*").alias("n"))
+    return Explorer(B.events(spark, sf_dir)).distinct_counts(["user_id", "event_type", "k"])
 
 
 @query("a11_missing_rates", f"WITH {B.DOCUMENTS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 6) AS missing_pct FROM d" for c in ("doc_id", "lang", "source", "n_chars", "quality")))
@@ -452,20 +449,59 @@ def top_30(spark, sf_dir):
     return Explorer(B.documents(spark, sf_dir).withColumn("quality", F.col("quality").cast("int"))).levels("quality", 30)
 
 
-@query("v8_types", None)
+_KINDS = {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars": "bigint", "quality": "double"}
+
+
+@query("v8_types", f"WITH {B.DOCUMENTS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{kind}' AS dtype, round(avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 3) AS missing_pct FROM d" for c, kind in _KINDS.items()))
 def types(spark, sf_dir):
     return Explorer(B.documents(spark, sf_dir)).types()
 
 
-@query("a26_non_null_counts", f"WITH {B.ORDERS} SELECT " + ", ".join(f"count({c}) AS {c}" for c in B.NUMERIC) + ", count(*) AS n FROM b")
+@query("a26_non_null_counts", f"WITH {B.ORDERS}, n AS (SELECT *, CAST(NULL AS VARCHAR) AS nothing FROM b) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(*) AS \"rows\", count({c}) = 0 AS all_null FROM n" for c in (*B.NUMERIC, "nothing")))
 def non_null(spark, sf_dir):
-    return B.orders(spark, sf_dir).agg(*(F.count(c).alias(c) for c in B.NUMERIC), F.count("*").alias("n"))
+    rows = B.orders(spark, sf_dir).withColumn("nothing", F.lit(None).cast("string"))
+    return Explorer(rows).non_null_counts([*B.NUMERIC, "nothing"])
+
+
+_SCREENED = ("o_orderpriority", "c_mktsegment", "n_name", "r_name", "c_name", "part_id", "clerk")
+
+
+def _screening(spark, sf_dir):
+    """Orders with levels below and above the bound of 60, and a name with "id" in it."""
+    o = B.orders(spark, sf_dir)
+    key = F.col("o_orderkey")
+    return o.withColumns({"c_name": (key % 61).cast("string"), "part_id": (key % 3).cast("string"), "clerk": (key % 60).cast("string")})
 
 
-@query("p9_screened_categories", "SELECT unnest(['c_mktsegment', 'n_name', 'o_orderpriority', 'r_name']) AS feature")
+@query("p9_screened_categories", f"""WITH {B.ORDERS}, w AS (SELECT o_orderpriority, c_mktsegment, n_name, r_name, CAST(o_orderkey % 61 AS VARCHAR) AS c_name, CAST(o_orderkey % 3 AS VARCHAR) AS part_id, CAST(o_orderkey % 60 AS VARCHAR) AS clerk FROM b),
+n AS (SELECT count(*) AS n FROM w), u AS (SELECT feature, count(DISTINCT level) AS levels FROM w UNPIVOT (level FOR feature IN (o_orderpriority, c_mktsegment, n_name, r_name, c_name, part_id, clerk)) GROUP BY feature)
+SELECT feature, levels, n AS \"rows\" FROM u, n WHERE feature NOT LIKE '%id%' AND levels <= 60 AND levels <= greatest(200, 0.5 * n)""".replace('\\"', '"'))
 def screened(spark, sf_dir):
-    found = scan.screened_categories(B.orders(spark, sf_dir), B.TEXT)
-    return spark.createDataFrame([(c,) for c in found], "feature string")
+    rows = _screening(spark, sf_dir)
+    found = scan.screened_categories(rows, _SCREENED)
+    return scan.level_numbers(rows, found)
+
+
+_STATUS = ["Graduated", "Degree Awarded", "Not Graduated", "Undergraduate", "Planned Degree", None]
+
+
+@query("f12_information_features", """WITH s AS (SELECT o_orderkey, round(o_totalprice / 100000, 2) AS g, (o_orderkey % 7) / 2.0::DOUBLE AS c, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 11) / 3.0::DOUBLE END AS h,
+  CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE o_orderkey % 6 END AS t, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderkey % 4 END AS w, o_orderkey % 3 AS l, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 9 - 3 END AS f, o_orderkey % 6 AS st FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS random_id, round(g - c, 6) AS cgpa_gap, CASE WHEN st IN (0, 1, 4) THEN 1 ELSE 0 END AS graduated_me, round(coalesce(w, 0) / nullif(t, 0), 6) AS warnings_per_term, round(l / nullif(t, 0), 6) AS low_gpa_term_rate_2_5,
+  round((l + 1) / nullif(t, 0), 6) AS low_gpa_term_rate_3_0, round(h - c, 6) AS peak_minus_etm, CASE WHEN f > 0 THEN 1 ELSE 0 END AS grade_forgiveness_used, CASE WHEN w > 0 THEN 1 ELSE 0 END AS multi_repeat_flag,
+  0 AS cgpa_at_etm_to_any_campus_is_missing, 0 AS graduating_cgpa_is_missing, CASE WHEN t IS NULL THEN 1 ELSE 0 END AS enrolled_terms_su_included_is_missing FROM s""")
+def information(spark, sf_dir):
+    k = F.col("o_orderkey")
+    some = lambda n, gap: F.when(k % n != gap, k % n)
+    sheet = B.read(spark, sf_dir, "orders").select(
+        k.cast("string").alias("random_id"), F.round(F.col("o_totalprice") / 100000, 2).alias("graduating_cgpa"), ((k % 7) / 2).alias("cgpa_at_etm_to_any_campus"),
+        F.when(k % 5 != 0, (k % 11) / 3).alias("highest_cgpa_during_credit_window"), some(6, 5).alias("enrolled_terms_su_included"), some(4, 3).alias("no_of_warning"),
+        (k % 3).alias("term_gpa25"), (k % 3 + 1).alias("term_gpa3"), F.when(k % 9 != 0, k % 9 - 3).alias("total_grade_forgiveness_credits_approved_before_etm_to_any_campus"),
+        some(4, 3).alias("courses_taken_3rd_time"), F.get(F.array(*(F.lit(x).cast("string") for x in _STATUS)), (k % 6).cast("int")).alias("me_bs_degree_status"),
+    )
+    new = ["cgpa_gap", "graduated_me", "warnings_per_term", "low_gpa_term_rate_2_5", "low_gpa_term_rate_3_0", "peak_minus_etm", "grade_forgiveness_used", "multi_repeat_flag"]
+    missing = [f"{c}_is_missing" for c in ("cgpa_at_etm_to_any_campus", "graduating_cgpa", "enrolled_terms_su_included")]
+    return rounded(features.info_features(sheet).select("random_id", *new, *missing))
 
 
 @query("p11_sanitize", f"WITH {B.ORDERS} SELECT y, o_totalprice, sum_qty, o_orderpriority FROM b")

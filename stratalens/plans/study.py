@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..functions.names import numeric_features, resolve_col, standardize_columns
+from ..functions.names import numeric_features, resolve_col, standardize_columns, std_col
 from ..operators import features, guard, keys, scan, synth, trajectory
+from ..operators.explore import Explorer
 from ..sources import tables, xlsx
 
 # Columns that a data report expects, and names under which the outcome may come.
 RECOMMENDED = ("random_id", "graduated_me", "cgpa_gap", "warnings_per_term", "mean_term_gpa", "gpa_trend_slope", "first_two_regular_mean_gpa")
 OUTCOME_ALIASES = ("ME_BS Degree Status", "me_bs_degree_status", "me_degree_awarded")
+CONFOUNDERS = ("credit_window", "first_term_label", "1st_math_course", "sat_verb_grouping")
+#: Name of the sanitized table beside a run's other results; it goes before the table it was made from.
+SANITIZED = "sanitized.csv"
 
 
 @dataclass
@@ -27,6 +31,9 @@ class Spec:
     cat_k: int = 12
     bucket_k: int = 5
     most: int = 100
+    min_n: int = scan.MIN_N
+    min_level_n: int = scan.MIN_N
+    plots: int = 10
     pass_rule: str = "substring"
 
 
@@ -70,35 +77,67 @@ def scans(df: DataFrame, spec: Spec, long: DataFrame | None = None, key: str = "
     numeric = numeric_features(df, skip)
     texts = scan.screened_categories(df, [c for c, kind in df.dtypes if kind == "string" and c not in skip])
     out = {
-        "effect_sizes": scan.effect_sizes(df, spec.outcome, numeric),
-        "risk_ratios": scan.risk_ratios(df, spec.outcome, texts),
+        "effect_sizes": scan.effect_sizes(df, spec.outcome, numeric, spec.min_n),
+        "risk_ratios": scan.risk_ratios(df, spec.outcome, texts, spec.min_level_n),
         "buckets": scan.bucket_summary(df, spec.outcome, numeric),
     }
     out["trends"] = synth.combined(out["effect_sizes"], out["risk_ratios"], out["buckets"], spec.num_k, spec.cat_k, spec.bucket_k)
+    out["selected_features"] = synth.selected_features(out["effect_sizes"], out["risk_ratios"], spec.plots, spec.plots)
     if long is not None:
         by_entity = trajectory.slopes(long, key).join(df.select(key, spec.outcome), key, "left")
         out |= {"slopes": by_entity, "slope_summary": trajectory.slope_summary(by_entity), "slope_by_outcome": trajectory.slope_by_outcome(by_entity, spec.outcome)}
     return out
 
 
+def source(spark: SparkSession, out: str, clean: str | None) -> str:
+    """The sanitized table of an earlier run where there is one, else the given table."""
+    return tables.first_existing(spark, f"{out}/{SANITIZED}", clean)
+
+
+def slices(df: DataFrame, spec: Spec, feature: str, confounders: Sequence[str] = CONFOUNDERS) -> DataFrame:
+    """Whether a feature's association holds inside the levels of each confounder that is there."""
+    df = with_outcome(df, spec.outcome)
+    there = [c for c in confounders if c in df.columns and c != feature]
+    return scan.slice_stability(df, spec.outcome, feature, there, feature in numeric_features(df, {spec.outcome}))
+
+
+def plot_data(df: DataFrame, spec: Spec, selected: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Histograms by outcome of the selected numeric features, and rates of the levels of the others (at most ``2 * plots`` features)."""
+    out: dict[str, DataFrame | None] = {"numeric": None, "categorical": None}
+    for r in selected.collect():
+        numeric = r["kind"] == "numeric"
+        part = Explorer(df).histogram_by_outcome(r["feature"], spec.outcome) if numeric else Explorer(df).level_rates(r["feature"], spec.outcome, 25)
+        part = part.withColumn("feature", F.lit(r["feature"]))
+        out[r["kind"]] = part if out[r["kind"]] is None else out[r["kind"]].unionByName(part)
+    return out["numeric"], out["categorical"]
+
+
+def write_insights(spark: SparkSession, main: DataFrame, terms: DataFrame | None, out: str, spec: Spec) -> None:
+    """The insight tables, the data of the plots and the ranked lines."""
+    found = scans(main, spec, terms)
+    for name, table in found.items():
+        if name != "buckets":
+            tables.write_csv(table, f"{out}/{name}", single=True)
+    edges = F.array_join(F.transform("edges", lambda e: e.cast("string")), "|")
+    tables.write_csv(found["buckets"].withColumn("edges", edges), f"{out}/buckets", single=True)
+    for name, table in zip(("histograms", "level_rates"), plot_data(with_outcome(main, spec.outcome), spec, found["selected_features"])):
+        if table is not None:
+            tables.write_csv(table, f"{out}/{name}", single=True)
+    lines = synth.bullets(found["trends"], found["buckets"], found.get("slope_by_outcome"), most=spec.most)
+    tables.write_text(spark, synth.markdown(lines), f"{out}/top_trends.md")
+
+
 def run_all(spark: SparkSession, wide: str, out: str, spec: Spec | None = None, long: str | None = None) -> None:
     """Sanitize, report, scan and summarise; any failing step fails the run."""
     spec = spec or Spec()
     df, terms = tables.load_frames(spark, wide, long)
     main, quarantine, report = guard.sanitize(with_outcome(df, spec.outcome), spec.outcome)
     main = main.cache()
-    tables.write_csv(main, f"{out}/sanitized")
+    tables.write_csv(main, f"{out}/{SANITIZED}")
     tables.write_csv(quarantine, f"{out}/quarantine")
     tables.write_json(spark, report.as_dict(), f"{out}/sanitizer_report.json")
     tables.write_text(spark, tables.data_report(main, RECOMMENDED, terms, guard.missing_rates), f"{out}/data_report.md")
-    found = scans(main, spec, terms)
-    for name, table in found.items():
-        if name != "buckets":
-            tables.write_csv(table, f"{out}/{name}", single=True)
-    edges = F.array_join(F.transform("edges", lambda e: e.cast("string")), "|")
-    tables.write_csv(found["buckets"].withColumn("edges", edges), f"{out}/buckets", single=True)
-    lines = synth.bullets(found["trends"], found["buckets"], found.get("slope_by_outcome"), most=spec.most)
-    tables.write_text(spark, synth.markdown(lines), f"{out}/top_trends.md")
+    write_insights(spark, main, terms, out, spec)
     main.unpersist()
 
 
@@ -108,22 +147,33 @@ def main(argv: Sequence[str] | None = None) -> None:
     b = commands.add_parser("build", help="features from a workbook")
     b.add_argument("--excel", required=True)
     b.add_argument("--out", required=True)
-    s = commands.add_parser("scan", help="insight tables of a wide table")
-    s.add_argument("--clean", required=True)
-    s.add_argument("--long")
-    s.add_argument("--out", required=True)
-    s.add_argument("--outcome", default=Spec.outcome)
+    scanning = argparse.ArgumentParser(add_help=False)
+    scanning.add_argument("--clean")
+    scanning.add_argument("--long")
+    scanning.add_argument("--out", required=True)
+    scanning.add_argument("--outcome", default=Spec.outcome)
+    for name in ("num_k", "cat_k", "bucket_k", "min_n", "min_level_n", "plots", "most"):
+        scanning.add_argument(f"--{name}", type=int, default=getattr(Spec, name))
+    commands.add_parser("scan", parents=[scanning], help="sanitize a wide table, and all its insight tables")
+    commands.add_parser("trends", parents=[scanning], help="insight tables of the sanitized table, if there is one, else of the given one")
+    c = commands.add_parser("slices", parents=[scanning], help="one feature inside the levels of confounders")
+    c.add_argument("--feature", required=True)
+    c.add_argument("--confounders", nargs="+", default=list(CONFOUNDERS))
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    if args.command == "scan":
-        run_all(spark, args.clean, args.out, Spec(outcome=args.outcome), args.long)
+    if args.command != "build":
+        spec = Spec(outcome=args.outcome, **{k: getattr(args, k) for k in ("num_k", "cat_k", "bucket_k", "min_n", "min_level_n", "plots", "most")})
+        if args.command == "scan":
+            run_all(spark, args.clean, args.out, spec, args.long)
+            return
+        df, terms = tables.load_frames(spark, source(spark, args.out, args.clean), args.long)
+        if args.command == "trends":
+            write_insights(spark, df, terms, args.out, spec)
+        else:
+            tables.write_csv(slices(df, spec, args.feature, args.confounders), f"{args.out}/slices", single=True)
         return
-    xlsx.register(spark)
-    sheets = xlsx.sheet_columns(args.excel)
-    from ..functions.names import std_col
-
-    named = {s: [std_col(c) for c in cols] for s, cols in sheets.items()}
-    open_sheet = lambda s: tables.without_nan(spark.read.format("xlsx").option("sheet", s).load(args.excel)).withColumn("row_in_sheet", F.monotonically_increasing_id())
+    named = {s: [std_col(c) for c in cols] for s, cols in xlsx.sheet_columns(spark, args.excel).items()}
+    open_sheet = lambda s: tables.without_nan(xlsx.read_sheet(spark, args.excel, s, "row_in_sheet"))
     grid = tables.find_term_sheet(named)
     wide, long = build(open_sheet(tables.find_sheet(named, ["random_id"])), open_sheet(grid) if grid else None, ["row_in_sheet"])
     tables.write_parquet(wide, f"{args.out}/wide")

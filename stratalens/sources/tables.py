@@ -39,10 +39,9 @@ def read(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
         reader = spark.read.option("header", True).option("nullValue", "")
         return without_nan(reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path))
     if kind == ".xlsx":
-        from .xlsx import register
+        from .xlsx import read_sheet
 
-        register(spark)
-        return without_nan(spark.read.format("xlsx").load(path))
+        return without_nan(read_sheet(spark, path))
     return without_nan(spark.read.parquet(path))
 
 

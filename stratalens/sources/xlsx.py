@@ -1,7 +1,7 @@
-"""A Python data source for sheets of XLSX workbooks: ``spark.read.format("xlsx").option("sheet", name).load(path)``.
+"""Sheets of XLSX workbooks as DataFrames, from any file system that Spark reads.
 
-A sheet is one compressed stream, so it is read by one task; workbooks hold at most a million rows a sheet.
-Rows are parsed as they stream. All columns are text; ``functions.expressions.number`` types them.
+Spark reads the file's bytes and a task parses them: a sheet is one compressed stream, so one task reads it;
+workbooks hold at most a million rows a sheet. All columns are text; ``functions.expressions.number`` types them.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
-from pyspark.sql.types import StringType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows in one Arrow batch.
+ROWS = 10_000
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -60,46 +63,51 @@ class Workbook:
         return self.shared[int(value.text)] if cell.get("t") == "s" else value.text
 
 
-def _bytes(path: str) -> bytes:
-    with open(path.removeprefix("file://").replace("file:/", "/"), "rb") as f:  # Python sources see the node's files only
-        return f.read()
-
+def _names(header: list[str | None]) -> list[str]:
+    return [name or f"column_{i}" for i, name in enumerate(header, 1)]
 
-class Sheet(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
 
-    def _open(self) -> tuple[Workbook, str]:
-        book = Workbook(_bytes(self.options["path"]))
-        return book, self.options.get("sheet") or next(iter(book.sheets))
+def _file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
 
-    def schema(self) -> StructType:
-        book, sheet = self._open()
-        header = next(book.rows(sheet), [])
-        return StructType([StructField(name or f"column_{i}", StringType()) for i, name in enumerate(header, 1)])
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return SheetReader(self, len(schema.fields))
+def sheet_columns(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Each sheet's header, in the order of the workbook; reads one row of each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                book = Workbook(content.as_py())
+                headers = [_names(next(book.rows(s), [])) for s in book.sheets]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(headers)), pa.int32()), pa.array(list(book.sheets)), pa.array(headers, pa.list_(pa.string()))], names=["nth", "sheet", "columns"])
 
-class SheetReader(DataSourceReader):
-    def __init__(self, source: Sheet, width: int):
-        self.source, self.width = source, width
+    found = _file(spark, path).mapInArrow(run, "nth int, sheet string, columns array<string>")
+    return {r["sheet"]: list(r["columns"]) for r in sorted(found.collect())}
 
-    def read(self, partition) -> Iterator[tuple]:
-        book, sheet = self.source._open()
-        rows = book.rows(sheet)
-        next(rows, None)
-        for row in rows:
-            yield tuple((row + [None] * self.width)[: self.width])
 
+def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, ordinal: str | None = None) -> DataFrame:
+    """A sheet (the first one, unless named) below its header; with each row's number in it as ``ordinal``."""
+    sheets = sheet_columns(spark, path)
+    sheet = sheet or next(iter(sheets))
+    names = sheets[sheet]
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Sheet)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(rows: list[list[str | None]], last: int) -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(range(last - len(rows), last), pa.int64())], names=[*(f"c{i}" for i in range(len(names))), "nth"])
 
+        for batch in batches:
+            for content in batch.column(0):
+                rows = Workbook(content.as_py()).rows(sheet)
+                next(rows, None)
+                part, n = [], 0
+                for row in rows:
+                    part.append((row + [None] * len(names))[: len(names)])
+                    n += 1
+                    if len(part) == ROWS:
+                        yield given(part, n)
+                        part = []
+                yield given(part, n)
 
-def sheet_columns(path: str) -> dict[str, list[str]]:
-    """Each sheet's header; reads one row of each."""
-    book = Workbook(_bytes(path))
-    return {s: [x or "" for x in next(book.rows(s), [])] for s in book.sheets}
+    found = _file(spark, path).mapInArrow(run, ", ".join([*(f"c{i} string" for i in range(len(names))), "nth long"]))
+    return found.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(names)), *([F.col("nth").alias(ordinal)] if ordinal else []))

@@ -162,3 +162,27 @@ def test_properties(spark, values):
     one, other = (scan.effect_sizes(df, c, ["x"], min_n=2).collect() for c in ("y", "z"))
     assert len(one) == len(other) and all(abs(a.cohens_d + b.cohens_d) < 1e-9 for a, b in zip(one, other))
     assert sum(r.n for r in scan.bucket_summary(df, "y", ["x"]).collect()) == len(values)
+
+
+def test_quantiles_are_those_of_numpy(spark):
+    """Ties, single values, constants and nulls; several partitions."""
+    import random
+
+    import numpy as np
+
+    from stratalens.operators.quantiles import quantiles
+
+    rng = random.Random(1)
+    values = {"a": [rng.random() for _ in range(101)], "b": [float(rng.randrange(4)) for _ in range(60)], "c": [2.5], "d": [7.0] * 9, "e": [1.0, 2.0]}
+    rows = [(f, v) for f, vs in values.items() for v in vs] + [("a", None), ("none", None)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "feature string, value double").repartition(5)
+    q = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["feature"]: r["quantiles"] for r in quantiles(frame, q).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == set(values)
+    assert all(np.allclose(got[f], np.quantile(vs, q)) for f, vs in values.items())
+    assert quantiles(frame.limit(0), q).collect() == []

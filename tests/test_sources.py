@@ -33,7 +33,7 @@ TERMS = [["Random ID", "1st Term", "1st Fall", "1st Spring", "1st Summer"], ["B-
 def test_build_from_a_workbook(spark, tmp_path):
     path = str(tmp_path / "book.xlsx")
     workbook(path, {"Info": INFO, "Terms": TERMS})
-    assert list(xlsx.sheet_columns(path)) == ["Info", "Terms"]
+    assert list(xlsx.sheet_columns(spark, path)) == ["Info", "Terms"]
     study.main(["build", "--excel", path, "--out", str(tmp_path / "out")])
     wide = {r["merge_id"]: r for r in spark.read.parquet(str(tmp_path / "out/wide")).collect()}
     a, b = wide["00998"], wide["12345"]
@@ -61,7 +61,14 @@ def test_run_all(spark, tmp_path):
     study.run_all(spark, str(tmp_path / "wide"), str(tmp_path / "out"), long=str(tmp_path / "long"))
     assert json.loads((tmp_path / "out/sanitizer_report.json").read_text())["na_heavy_cols"] == ["sparse"]
     text = (tmp_path / "out/top_trends.md").read_text()
-    assert "**score**" in text and "program" in text and "positive slope" in text
+    assert "`score`" in text and "program" in text and "rising series" in text
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/histograms")).filter("part = '1'").count() > 0
+    # The sanitized table goes before the given one, and thresholds come from the command.
+    study.main(["trends", "--clean", str(tmp_path / "none"), "--out", str(tmp_path / "out"), "--num_k", "1", "--cat_k", "0", "--bucket_k", "0"])
+    assert [r["kind"] for r in spark.read.option("header", True).csv(str(tmp_path / "out/trends")).collect()] == ["numeric_effect"]
+    study.main(["slices", "--out", str(tmp_path / "out"), "--feature", "score", "--confounders", "program"])
+    found = spark.read.option("header", True).csv(str(tmp_path / "out/slices")).collect()
+    assert found and {r["confounder"] for r in found} == {"program"} and {r["metric"] for r in found} == {"mean_diff"}
     assert spark.read.option("header", True).csv(str(tmp_path / "out/effect_sizes")).count() == 1
 
 
