@@ -12,12 +12,13 @@ only where repeats can differ:
 3. *Difference cover* over the distinct hulls left. Positions 1 and 2 modulo 3 are sampled. Their triples of
    ``CHAR``-byte characters are sorted across the cluster and named by rank; the names of three places
    ``STEP`` bytes apart are triples again, sorted and named in the recursion, which ends as names then cover
-   ``DEPTH`` bytes. The remaining positions are merged through the names of their sampled neighbours: any
-   two positions are compared at a shift of 0, 1 or 2 at which both are sampled. Neighbours in that order
-   with equal ``LENGTH``-byte prefixes repeat.
+   ``DEPTH`` bytes. The remaining positions are merged into the order through the ranks of their sampled
+   neighbours: any two positions are compared at a shift of 0, 1 or 2 at which both are sampled. Neighbours in
+   that order with equal ``LENGTH``-byte prefixes repeat, also over the edges of its partitions.
 
-Identity of texts, contexts and characters is by 64 to 128-bit hashes. Only hashes are shuffled; texts move
-once for each of the lookups in them, and only those that hold candidates.
+The orders are dealt out by ranges of key and place, so a key that is common to many places takes several partitions.
+Texts, contexts and hulls are told apart by 128 bits. Only hashes are shuffled; texts move once for each of the lookups
+in them, and only those that hold candidates.
 
 Defined cases: a null text is empty; texts of under ``LENGTH`` bytes lose nothing; rows with the same text
 are copies of each other, whatever their ids; an empty table gives no rows; other columns are passed over.
@@ -32,11 +33,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import discard, written
+from .common import discard, free_name, trim, written
 from .windows import GRAM, LENGTH
 
 BLOCK = 16
@@ -50,10 +51,37 @@ BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 1_000_000
 SEEN = 200_000
 ROWS_OUT = 200_000
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's bytes, and t, their 64-bit key."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select("doc_id", text.alias("text")).withColumn("t", F.xxhash64("text"))
+def _bytes(text: str = "text") -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+
+
+class Keys:
+    """64-bit keys of the texts of ``LENGTH`` bytes at least. Texts with the hash of another one go by a second hash, so that 128
+    bits tell texts apart; ``copies`` has the keys of texts with equal rows."""
+
+    def __init__(self, docs: DataFrame):
+        rows = self._hashed(docs.select(_bytes().alias("text")), "t", "t2").filter("t is not null")
+        counted = written(rows.groupBy("t", "t2").agg(F.count("*").alias("rows")), "texts")
+        self.twins = written(counted.groupBy("t").agg(F.count("*").alias("texts")).filter("texts > 1").select(F.col("t").alias("twin_")), "twins")
+        self.few = self.twins.count() <= BROADCAST_ROWS
+        self.copies = written(self._told_apart(counted.filter("rows > 1"), "t", "t2").select("t"), "copies")
+        discard(counted)
+        self.texts = self._told_apart(rows, "t", "t2").select("t", "text")
+
+    @staticmethod
+    def _hashed(df: DataFrame, first: str, second: str) -> DataFrame:
+        text = _bytes()
+        return df.withColumns({first: F.when(F.octet_length(text) >= LENGTH, F.xxhash64(text)), second: F.xxhash64(F.lit("second"), text)})
+
+    def _told_apart(self, df: DataFrame, first: str, second: str) -> DataFrame:
+        twins = self.twins.withColumnRenamed("twin_", twin := free_name("twin_", df.columns))
+        out = df.join(F.broadcast(twins) if self.few else twins, F.col(first) == F.col(twin), "left")
+        return out.withColumn(first, F.when(F.col(twin).isNotNull(), F.col(second)).otherwise(F.col(first))).drop(twin, second)
+
+    def of(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the key of its text as ``name``; null for shorter texts."""
+        second = free_name("second_", [*df.columns, name])
+        return self._told_apart(self._hashed(df, name, second), name, second)
 
 
 def _emit(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -87,7 +115,7 @@ def _runs(keyed: DataFrame) -> DataFrame:
             if size:
                 yield _emit(out, kinds)
 
-    return keyed.select("t", "text").filter(F.octet_length("text") >= LENGTH).mapInArrow(run, "m long, c1 long, c2 long, n int, t long, lo int")
+    return keyed.select("t", "text").mapInArrow(run, "m long, c1 long, c2 long, n int, t long, lo int")
 
 
 def _several(t: str, at: str) -> list:
@@ -151,89 +179,97 @@ def _blocks(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def _triples(keyed: DataFrame, hulls: DataFrame) -> DataFrame:
-    """Of each hull (h, t, lo, n) its sampled positions i, as the three triples (a, b, c) of characters at ``step`` 0 to 2,
-    and the two bytes on either side of what these name, under the number of the hull's positions (``beside``)."""
-    kinds = dict.fromkeys(("h", "i", "step", "beside", "a", "b", "c"), pa.int64())
+    """Of each hull (t, lo, n, asked) its sampled places (t, at), as the three triples (a, b, c) of characters at ``step``
+    0 to 2. ``at`` packs the hull's ``lo`` and the number of the place in it (16 bits); ``beside`` the two bytes on either side of what
+    the triples name, the hull's ``n`` (15 bits) and ``asked`` (the sign)."""
+    kinds = dict.fromkeys(("t", "at", "step", "beside", "a", "b", "c"), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {c: [] for c in kinds}
-            for text, places in zip(batch.column(1), batch.column(2)):
+            for t, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = np.frombuffer(text.as_py(), np.uint8)
-                h, lo, n = _places(places, ("h", "lo", "n"))
+                lo, n, asked = (x.astype(np.int64) for x in _places(places, ("lo", "n", "asked")))
                 chars = windows.gram_hashes(data, CHAR).view(np.int64)
-                owner, i = _spread(n.astype(np.int64) + 2)
-                owner, i = owner[i % 3 > 0], i[i % 3 > 0]
-                at = lo[owner].astype(np.int64) + i
+                owner, i = _spread(n + 2)
+                at = lo[owner] + i
+                owner, i, at = owner[at % 3 > 0], i[at % 3 > 0], at[at % 3 > 0]
                 wide = np.r_[np.zeros(2, np.int64), data, np.zeros(2, np.int64)]  # what lies outside is never compared
-                beside = n[owner].astype(np.int64)
-                for k in (-2, -1, DEPTH, DEPTH + 1):
-                    beside = beside << 8 | wide[at + k + 2]
+                beside = (asked[owner] << 31 | n[owner] << 16) << 32
+                for k, shift in zip((-2, -1, DEPTH, DEPTH + 1), (24, 16, 8, 0)):
+                    beside |= wide[at + k + 2] << shift
                 for step in range(3):
                     q = at + STEP * step
-                    for c, v in zip(kinds, (h[owner], i, np.full(len(q), step), beside if step == 0 else np.zeros_like(beside), chars[q], chars[q + CHAR], chars[q + 2 * CHAR])):
+                    for c, v in zip(kinds, (np.full(len(q), t), lo[owner] << 16 | i, np.full(len(q), step), beside if step == 0 else np.zeros_like(beside), chars[q], chars[q + CHAR], chars[q + 2 * CHAR])):
                         out[c].append(v)
             if len(batch):
                 yield _emit(out, kinds)
+        trim()
 
-    return _in_texts(keyed, hulls, ["h", "lo", "n"], run, "h long, i long, step long, beside long, a long, b long, c long")
+    return _in_texts(keyed, hulls, ["lo", "n", "asked"], run, "t long, at long, step long, beside long, a long, b long, c long")
 
 
-def _ranked(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` sorted by (a, b, c) across the cluster, with that triple's dense rank as ``name``."""
-    columns = [c for c in rows.columns if c not in ("a", "b", "c")]
+def _sorted(rows: DataFrame, by: tuple[str, ...], place: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (all longs) sorted by ``by`` and ``place`` across the cluster, with the number of their partition and the rank of
+    their ``by`` in it, as a written table; and a row for each partition: what its ranks begin at in the whole order, whether its
+    first key goes on from the partition before, and its last one in the next. Only the partitions' edges come to the driver."""
+    columns = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank, part = None, -1, TaskContext.get().partitionId()
         for batch in batches:
             if not len(batch):
                 continue
-            abc = np.column_stack([np.asarray(batch.column(c)) for c in ("a", "b", "c")])
-            new = np.ones(len(abc), bool)
-            new[1:] = (abc[1:] != abc[:-1]).any(axis=1)
-            new[0] = last is None or (abc[0] != last).any()
+            key = np.column_stack([np.asarray(batch.column(c)) for c in by])
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
+            new[0] = last is None or (key[0] != last).any()
             local = rank + np.cumsum(new)
-            last, rank = abc[-1], int(local[-1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.full(len(abc), part, np.int64)), pa.array(local)], names=[*columns, "part", "local"])
+            last, rank = key[-1], int(local[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(key), part, np.int64)), pa.array(local)], names=[*columns, "part", "local"])
 
     schema = ", ".join([*(f"{c} long" for c in columns), "part long", "local long"])
-    ordered = written(rows.repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c").mapInArrow(run, schema), "ranks", large=True)
-    total, offsets = 0, []
-    for part, top in sorted(ordered.groupBy("part").agg(F.max("local")).collect()):  # a row for each partition
-        offsets.append((part, total))
-        total += top + 1
-    at = rows.sparkSession.createDataFrame(offsets or [(0, 0)], "part long, begins long")
-    return ordered.join(F.broadcast(at), "part").select(*columns, (F.col("begins") + F.col("local")).alias(name))
+    ordered = written(rows.repartitionByRange(*by, *place).sortWithinPartitions(*by, *place).mapInArrow(run, schema), "order", large=True)
+    top = ordered.groupBy("part").agg(F.max("local").alias("top"))
+    key = F.struct(*by)
+    edge = ordered.join(F.broadcast(top), "part").filter("local = 0 or local = top")  # a partition's first and last key
+    edge = edge.groupBy("part", "top").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    total, offsets, before = 0, [], None
+    edges = sorted((r["part"], r["top"], tuple(r["first"]), tuple(r["last"])) for r in edge.collect())
+    for k, (part, most, first, last) in enumerate(edges):
+        goes_on = first == before
+        total -= goes_on
+        offsets.append((part, total, goes_on, k + 1 < len(edges) and edges[k + 1][2] == last, most))
+        total, before = total + most + 1, last
+    return ordered, rows.sparkSession.createDataFrame(offsets or [(0, 0, False, False, 0)], "part long, begins long, goes_on boolean, stays boolean, top long")
+
+
+def _ranked(rows: DataFrame, place: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the dense rank of their triple (a, b, c) in the whole order as ``name``."""
+    ordered, at = _sorted(rows, ("a", "b", "c"), place)
+    columns = [c for c in rows.columns if c not in ("a", "b", "c")]
+    return ordered.join(F.broadcast(at), "part").select(*columns, (F.col("begins") + F.col("local")).alias("name"))
 
 
 def _suffix_repeats(keyed: DataFrame, hulls: DataFrame) -> DataFrame:
-    """(h, i) of the positions of the hulls (h, t, lo, n) whose string starts at another position of them too."""
-    names = _ranked(_triples(keyed, hulls), "name")
-    # The recursion: a sampled position's three names are a triple of the reduced string.
-    reduced = names.groupBy("h", "i").agg(F.max("beside").alias("beside"), *(F.max(F.when(F.col("step") == k, F.col("name"))).alias(c) for k, c in enumerate("abc")))
-    deep = _ranked(reduced, "name")
-    # Merging: position i by the name at i + shift, with the bytes that complete its string before and after.
-    byte = lambda k: F.shiftright("beside", 8 * k).bitwiseAND(F.lit(255))
-    ways = [(0, byte(1), byte(0)), (1, byte(2), byte(1)), (2, byte(3), byte(2))]
-    placed = deep.withColumn("way", F.explode(F.array(*(F.struct(F.lit(s).alias("shift"), (a * 256 + b).cast("int").alias("rest")) for s, a, b in ways))))
-    placed = placed.select("h", (F.col("i") - F.col("way.shift")).alias("i"), "name", "way.shift", "way.rest", F.shiftright("beside", 32).alias("n")).filter("i >= 0 and i < n").drop("n")
-
-    def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # of the batch before: its last row, and whether that was given out
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("name", "shift", "rest", "h", "i")])
-            if last is not None:
-                rows = np.concatenate([last, rows])
-            same = (rows[1:, :3] == rows[:-1, :3]).all(axis=1)
-            hit = np.r_[False, same] | np.r_[same, False]
-            last = rows[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[hit, 3]), pa.array(rows[hit, 4])], names=["h", "i"])
-
-    order = "name", "shift", "rest"
-    ordered = placed.repartition("name").sortWithinPartitions(*order).select(*order, "h", "i")
-    return ordered.mapInArrow(adjacent, "h long, i long").distinct()
+    """(t, lo) of the places of the hulls (t, lo, n, asked) that are asked for and whose string starts at another of their places too."""
+    names = _ranked(_triples(keyed, hulls), ("t", "at", "step"))
+    # The recursion: a sampled place's three names are a triple of the reduced string.
+    reduced = names.groupBy("t", "at").agg(F.max(F.when(F.col("step") == 0, F.col("beside"))).alias("beside"), *(F.max(F.when(F.col("step") == k, F.col("name"))).alias(c) for k, c in enumerate("abc")))
+    deep = _ranked(reduced, ("t", "at"))
+    # Merging: each place by the rank at its shift to a sampled one, with the bytes that complete its string before and after.
+    part = lambda k, bits: F.shiftright("beside", k).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    rests = [part(8, 8) * 256 + part(0, 8), part(16, 8) * 256 + part(8, 8), part(24, 8) * 256 + part(16, 8)]
+    ways = F.explode(F.array(*(F.struct(F.lit(s).cast("long").alias("shift"), rest.alias("rest")) for s, rest in enumerate(rests))))
+    placed = deep.withColumn("way", ways).withColumn("i", F.col("at").bitwiseAND(F.lit(65535).cast("long")) - F.col("way.shift")).filter((F.col("i") >= 0) & (F.col("i") < part(48, 15)))
+    placed = placed.select("name", "way.shift", "way.rest", "t", (F.shiftright("at", 16) + F.col("i")).alias("at"), (F.col("beside") < 0).cast("long").alias("asked"))
+    ordered, at = _sorted(placed, ("name", "shift", "rest"), ("t", "at"))
+
+    # Adjacent in the order: a key of two places at least, or one that goes on over a partition's edge.
+    runs = ordered.groupBy("part", "local").agg(F.count("*").alias("places")).join(F.broadcast(at), "part")
+    same = runs.filter("places > 1 or goes_on and local = 0 or stays and local = top").select("part", "local")
+    found = ordered.filter("asked = 1").join(written(same, "same"), ["part", "local"], "left_semi")
+    return found.select("t", F.col("at").cast("int").alias("lo")).distinct()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,15 +283,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(t, copied, spans): for each distinct text with repeats, the (begin, end) byte ranges to remove, which
     may overlap; ``copied`` texts have equal rows and go wholly."""
-    keyed = _keyed(docs)
-    copies = keyed.filter(F.octet_length("text") >= LENGTH).groupBy("t").agg(F.count("*").alias("rows")).filter("rows > 1").select("t")
-    copies = written(copies, "copies")
+    return _spans(Keys(docs))
+
+
+def _spans(keys: Keys) -> DataFrame:
+    keyed, copies = keys.texts, keys.copies
     runs = written(_runs(keyed), "runs", large=True)
 
-    # Names with more than one place; open ones have different contexts.
-    several = runs.groupBy("m").agg(*_several("t", "lo"), (F.min("c1") != F.max("c1")).alias("open")).filter(_MANY).select("m", "open")
+    # Names with more than one place; open ones have different contexts. Both sides of each join are plain tables, so Spark can split a common name.
+    several = written(runs.groupBy("m").agg(*_several("t", "lo"), (F.min("c1") != F.max("c1")).alias("open")).filter(_MANY).select("m", "open"), "several")
     every, runs = runs, written(runs.join(several, "m"), "candidates", large=True)
-    discard(every)
+    discard(every, several)
     contexts = runs.groupBy("m", "c1", "c2", "n", "open").agg(*_several("t", "lo"))
     contexts = written(contexts.select("m", "c1", "c2", "n", "open", "t0", "at0", F.expr(_MANY).alias("copied")), "contexts")
     whole = runs.join(contexts.filter("copied").select("m", "c1", "c2", "n"), ["m", "c1", "c2", "n"], "left_semi").select("t", "lo", "n")
@@ -263,31 +301,35 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     discard(runs)
 
     cut = written(_blocks(keyed, contexts.filter("open").select(F.col("t0").alias("t"), F.col("at0").alias("lo"), "n", "m", "copied")), "blocks", large=True)
+    discard(contexts)
     hulls = cut.groupBy("core", "h1", "h2", "n").agg(*_several("t", "lo"), F.max("copied").alias("copied"))
     hulls = written(hulls.select("core", "h1", "h2", "n", "t0", "at0", F.expr(_MANY).alias("many"), "copied"), "hulls")
-    discard(contexts)
-    whole = whole.union(cut.join(hulls.filter("many").select("core", "h1", "h2", "n"), ["core", "h1", "h2", "n"], "left_semi").select("t", "lo", "n"))
+    blocks = written(cut.join(hulls.filter("many").select("core", "h1", "h2", "n"), ["core", "h1", "h2", "n"], "left_semi").select("t", "lo", "n"), "equal")
+    discard(cut)
 
     undecided = hulls.groupBy("core").agg((F.count("*") > 1).alias("several"), F.max(~F.col("many") & ~F.col("copied")).alias("asked")).filter("several and asked").select("core")
-    left = written(hulls.join(undecided, "core", "left_semi").select(F.col("h1").alias("h"), F.col("t0").alias("t"), F.col("at0").alias("lo"), "n", (~F.col("many") & ~F.col("copied")).alias("asked")), "left")
-    found = _suffix_repeats(keyed, left.select("h", "t", "lo", "n"))
-    single = found.join(left.filter("asked").select("h", "t", "lo"), "h").select("t", (F.col("lo") + F.col("i")).cast("int").alias("lo"), F.lit(1).alias("n"))
+    undecided = written(undecided, "undecided")
+    left = hulls.join(undecided, "core", "left_semi").select(F.col("t0").alias("t"), F.col("at0").alias("lo"), "n", (~F.col("many") & ~F.col("copied")).cast("int").alias("asked"))
+    left = written(left, "left")
+    discard(hulls, undecided)
+    single = written(_suffix_repeats(keyed, left).withColumn("n", F.lit(1)), "single")
 
-    places = whole.union(single).join(copies, "t", "left_anti")
+    places = whole.union(blocks).union(single).join(copies, "t", "left_anti")
     spans = places.groupBy("t").agg(F.collect_list(F.struct(F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("end"))).alias("spans"))
     spans = spans.mapInArrow(_joined, "t long, spans array<struct<begin:int,end:int>>")
     none = F.lit(None).cast("array<struct<begin:int,end:int>>")
     return spans.select("t", F.lit(False).alias("copied"), "spans").union(copies.select("t", F.lit(True), none))
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``_t``, ``_copied`` and ``_spans``."""
-    spans = written(repeated_spans(docs), "spans")
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The rows of ``docs`` with two more columns, and their names: whether the text goes wholly, and the spans to remove."""
+    keys = Keys(docs)
+    spans = written(_spans(keys), "spans")
     size = spans.agg(F.count("*"), F.sum(F.coalesce(F.size("spans"), F.lit(0)))).first()
     small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_SPANS
-    spans = spans.select(F.col("t").alias("_t"), F.col("copied").alias("_copied"), F.col("spans").alias("_spans"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.withColumn("_t", F.xxhash64(text)).join(F.broadcast(spans) if small else spans, "_t", "left")
+    key, other, copied, found = (free_name(x, docs.columns) for x in ("key_", "t_", "copied_", "spans_"))
+    spans = spans.select(F.col("t").alias(other), F.col("copied").alias(copied), F.col("spans").alias(found))
+    return keys.of(docs, key).join(F.broadcast(spans) if small else spans, F.col(key) == F.col(other), "left").drop(key, other), copied, found
 
 
 def merged(size: int, copied: bool | None, spans: list | None) -> list[tuple[int, int]]:
@@ -323,9 +365,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append(kept(data, removed).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    rows = _with_spans(docs)
-    changed = F.coalesce(F.col("_copied") | (F.size("_spans") > 0), F.lit(False))
-    rows = rows.withColumn("text", F.when(changed & F.col("text").isNotNull(), cut(F.coalesce(F.col("text").cast("string"), F.lit("")), "_copied", "_spans")).otherwise(F.col("text")))
+    rows, copied, found = _with_spans(docs)
+    changed = F.coalesce(F.col(copied) | (F.size(found) > 0), F.lit(False))
+    rows = rows.withColumn("text", F.when(changed & F.col("text").isNotNull(), cut(F.coalesce(F.col("text").cast("string"), F.lit("")), copied, found)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -345,5 +387,6 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = _with_spans(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), "_copied", "_spans")
+    rows, copied, found = _with_spans(docs)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), copied, found)
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
