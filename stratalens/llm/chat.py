@@ -20,7 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,17 +99,14 @@ def formatted(conversations: DataFrame) -> DataFrame:
     """One row per turn, in order within each partition: conv_id, piece (the rendered turn), loss_begin, loss_end
     (code points of the piece under the loss mask; null for other turns). Pieces of a conversation join to its text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in frames:
-            out = [round_trip(r, t) for r, t in zip(rows["role"], rows["text"])]
-            spoken = rows["role"] == ASSISTANT
-            yield pd.DataFrame(
-                {
-                    "conv_id": rows["conv_id"],
-                    "piece": pd.Series([p for p, _, _ in out], dtype=object),
-                    "loss_begin": pd.Series([b for _, b, _ in out], dtype="Int64").where(spoken.to_numpy(bool)),
-                    "loss_end": pd.Series([e for *_, e in out], dtype="Int64").where(spoken.to_numpy(bool)),
-                }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roles = batch.column(1).to_pylist()
+            out = [round_trip(r, t) for r, t in zip(roles, batch.column(2).to_pylist())]
+            begins, ends = ([x[k] if r == ASSISTANT else None for r, x in zip(roles, out)] for k in (1, 2))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([p for p, _, _ in out], pa.string()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())],
+                names=["conv_id", "piece", "loss_begin", "loss_end"],
             )
 
     rows = conversations.select(
@@ -119,45 +116,45 @@ def formatted(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInPandas(run, "conv_id long, piece string, loss_begin long, loss_end long")
+    return ordered.mapInArrow(run, "conv_id long, piece string, loss_begin long, loss_end long")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """One row per conversation, read back from its formatted text: conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
 
-        def finished(key: tuple, s: list) -> dict:
-            return {"conv_id": key[0], "n_turns": s[0], "turns_sha256": s[1].hexdigest(), "loss_chars": s[2], "loss_sha256": s[3].hexdigest(), "formatted_chars": s[4]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = state = None
 
-        for rows in frames:
+        def given(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+
+        def finished() -> tuple:
+            return now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
+
+        for batch in batches:
             done = []
-            for conv, piece, begin, end in zip(rows["conv_id"], rows["piece"], rows["loss_begin"], rows["loss_end"]):
-                key = (None if pd.isna(conv) else int(conv),)
-                if key != now:
+            for conv, piece, begin, end in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or conv != now:
                     if state:
-                        done.append(finished(now, state))
-                    now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                        done.append(finished())
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text in parse(piece):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                if not pd.isna(begin):
-                    loss = unescape(piece[int(begin) : int(end)])
+                if begin is not None:
+                    loss = unescape(piece[begin:end])
                     state[2] += len(loss)
                     state[3].update(loss.encode())
                 state[4] += len(piece)
-            yield _frame(done)
+            yield given(done)
         if state:
-            yield _frame([finished(now, state)])
-
-    return formatted(conversations).mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-
+            yield given([finished()])
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    return pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+    return formatted(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def oracle() -> str:

@@ -17,8 +17,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +42,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts from a byte-level BPE tokenizer file.
 
-    Where the file's ids are in merge order, tiktoken merges its vocabulary (some five times as fast, same
-    ids). Texts with the tokenizer's special strings, and other files, are left to tokenizers.
+    Where the file is plain byte-level BPE with its ids in merge order, tiktoken merges its vocabulary (some five
+    times as fast, same ids). Texts with the tokenizer's special strings, and other files, are left to tokenizers.
     """
 
     def __init__(self, path: str):
@@ -61,12 +61,18 @@ class Encoder:
 
 
 def merger(path: str):
-    """tiktoken's encoder over the vocabulary of a tokenizers file, or None where ids aren't in merge order."""
+    """tiktoken's encoder over the vocabulary of a tokenizers file, or None where that would give other ids."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    words = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    after = (file.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
+    if not (plain and words and after) or file.get("normalizer") or file.get("truncation") or file.get("padding"):
+        return None
     vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
         return None
@@ -81,24 +87,28 @@ def tokenised(docs: DataFrame, path: str, capacity: int, groups: int) -> DataFra
     """Per row of ``docs``: doc_id, doc_tokens, the checksum of each piece, and its random group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, end = Encoder(path), 0, np.array([END_ID], "<u4").tobytes()
-        part = TaskContext.get().partitionId()
+        encoder, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
+        part = np.uint64(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts, row = batch.column(0), batch.column(1).to_pylist(), np.asarray(batch.column(2)).view(np.uint64)
             tokens, crcs = [], []
             for text in texts:
                 data = (encoder.encode(text) if text else b"") + end
                 tokens.append(len(data) // 4)
                 crcs.append([zlib.crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])
-            row = np.arange(seen, seen + len(texts), dtype=np.uint64) + np.uint64(part << 40)
-            seen += len(texts)
+            # The group comes from what the row holds, whatever order a task meets its rows in; equal rows are told apart by number.
+            order = np.argsort(row, kind="stable")
+            begins = np.r_[True, row[order][1:] != row[order][:-1]]
+            nth = np.empty(len(row), np.uint64)
+            nth[order] = np.arange(len(row)) - np.maximum.accumulate(np.where(begins, np.arange(len(row)), 0))
+            row = mix64(row) + mix64(nth + part)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array((mix64(row) % np.uint64(groups)).astype(np.int64))],
                 names=["doc_id", "doc_tokens", "crcs", "grp"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, grp long")
+    return rows.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, grp long")
 
 
 class Tournament:
@@ -140,9 +150,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     path = tokenizer or default_tokenizer()
     groups = max(1, -(-docs.count() // group_docs))
 
-    def of_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_tokens", "doc_id"], kind="stable")
-        tokens = rows["doc_tokens"].to_numpy(np.int64)
+    def of_group(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_tokens", "ascending"), ("doc_id", "ascending")]))
+        tokens = rows["doc_tokens"].to_numpy()
         full, rest = tokens // capacity, tokens % capacity
         with_rest = np.flatnonzero(rest)
         bins, offsets = first_fit_decreasing(rest[with_rest], capacity)
@@ -154,16 +164,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         sequence, offset = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
         sequence[is_full] = used + np.arange(int(is_full.sum()))
         sequence[~is_full], offset[~is_full] = bins, offsets
-        return pd.DataFrame(
+        return pa.table(
             {
-                "doc_id": rows["doc_id"].array.take(doc),
+                "doc_id": rows["doc_id"].take(pa.array(doc)),
                 "start": nth * capacity,
                 "length": np.where(is_full, capacity, rest[doc]),
-                "ids_crc32": np.concatenate(rows["crcs"].to_list()),
+                "ids_crc32": pc.list_flatten(rows["crcs"]),
                 "doc_tokens": tokens[doc],
-                "sequence_id": sequence + (int(key[0]) << 32),
+                "sequence_id": sequence + (key[0].as_py() << 32),
                 "offset": offset,
             }
         )
 
-    return tokenised(docs, path, capacity, groups).groupBy("grp").applyInPandas(of_group, _PIECES)
+    return tokenised(docs, path, capacity, groups).groupBy("grp").applyInArrow(of_group, _PIECES)
