@@ -1,21 +1,22 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Word n-grams of the benchmark items are looked for in every document, and each place that holds one, however
-frequent it is, joins a passage to its items. A passage with too few of an item's words to reach the threshold goes;
+frequent it is, joins a passage to its items (a bound on a seed's frequency loses the copies of items that are edited and
+frequent). A passage with too few of an item's words to reach the threshold goes;
 every other one is aligned with its item word by word, and the local alignment's score, as a share of a verbatim
 copy's, finds edited and paraphrased copies.
 
-The benchmark goes to the tasks in blocks of a bounded number of items; a larger benchmark takes more passes.
+The benchmark goes to the tasks in blocks of ``CHARS_A_PASS`` characters; a larger benchmark takes more passes, each
+written before the next one's block is sent.
 
 Defined cases: words are runs of letters, digits and underscores of the lower-cased text; a null or empty
 text has none; items without words match nothing; items shorter than the n-gram are one seed; repeated
-items or documents give a row each; empty tables give no rows.
+items or documents give a row each, whatever their ids; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, trim, written
 
-NGRAM = 4
+NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a verbatim copy's score from which a passage is a copy.
 THRESHOLD = 0.5
-#: Items in one pass over the documents; their words and seeds are sent to each task.
-ITEMS_A_PASS = 20_000
+#: Characters of items in one pass over the documents (more if one item is longer); their words and seeds are sent to each task.
+CHARS_A_PASS = 4_000_000
+#: Places of seeds in a text handled at once.
+PLACES = 1 << 18
 #: Cells of an alignment table handled at once.
 CELLS = 1 << 20
 
@@ -38,24 +41,22 @@ _WORD = re.compile(r"\w+")
 
 
 class Index:
-    """Words and seeds of a block of items."""
+    """Words and seeds of a block of items: seeds sorted by hash, with their item and place there."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         texts = [_WORD.findall((t or "").lower()) for _, t in items]
         self.words = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}), 1)}
         self.items = [np.array([self.words[w] for w in t], np.int64) for t in texts]
-        places = defaultdict(list)
-        for k, words in enumerate(self.items):
-            size = min(NGRAM, len(words))
-            for at, seed in enumerate(self.hashes(words, size) if size else ()):
-                places[size, int(seed)].append((k, at))
-        self.seeds = sorted(places)
-        self.places = [places[s] for s in self.seeds]
-        self.by_size = {}
-        for size in {s for s, _ in self.seeds}:
-            at = [j for j, (s, _) in enumerate(self.seeds) if s == size]
-            self.by_size[size] = np.array([self.seeds[j][1] for j in at], np.uint64), np.array(at)
+        self.lengths = np.array([len(x) for x in self.items], np.int64)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in {min(NGRAM, n) for n in self.lengths.tolist() if n}:
+            mine = [k for k, n in enumerate(self.lengths.tolist()) if min(NGRAM, n) == size]
+            seeds = [self.hashes(self.items[k], size) for k in mine]
+            counts = [len(x) for x in seeds]
+            seed, item, at = np.concatenate(seeds), np.repeat(mine, counts), np.concatenate([np.arange(n) for n in counts])
+            order = np.argsort(seed, kind="stable")
+            self.seeds[size] = seed[order], item[order], at[order]
 
     @staticmethod
     def hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -73,36 +74,39 @@ class Index:
         get = self.words.get
         return np.array([get(w, 0) for w in _WORD.findall(text.lower())], np.int64)
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, seed number) of each seed in a text."""
-        at, seeds = [], []
-        for size, (sorted_, numbers) in self.by_size.items():
+    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item number, where the item's first word would lie) of the seeds in a text, a bounded number at once."""
+        for size, (seeds, item, at) in self.seeds.items():
             h = self.hashes(words, size)
             where = np.flatnonzero(h)
-            found = np.minimum(np.searchsorted(sorted_, h[where]), len(sorted_) - 1)
-            equal = sorted_[found] == h[where]
-            at.append(where[equal])
-            seeds.append(numbers[found[equal]])
-        return (np.concatenate(at), np.concatenate(seeds)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            low, high = (np.searchsorted(seeds, h[where], side) for side in ("left", "right"))
+            where, low, counts = where[high > low], low[high > low], (high - low)[high > low]
+            ends = np.cumsum(counts)
+            begin = 0
+            while begin < len(where):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PLACES, "right")))
+                n = counts[begin:end]
+                places = np.repeat(low[begin:end] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                yield item[places], np.repeat(where[begin:end], n) - at[places]
+                begin = end
 
     def passages(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item number, begin, end) of the stretches of a text around seeds."""
-        spans = defaultdict(list)
-        for at, seed in zip(*(x.tolist() for x in self.hits(words))):
-            for k, offset in self.places[seed]:
-                pad = len(self.items[k]) // 4 + NGRAM
-                spans[k].append((max(0, at - offset - pad), min(len(words), at - offset + len(self.items[k]) + pad)))
-        out = []
-        for k, found in spans.items():
-            found.sort()
-            begin, end = found[0]
-            for b, e in found[1:]:
-                if b > end or e - begin > 8 * (len(self.items[k]) + NGRAM):  # a new passage
-                    out.append((k, begin, end))
-                    begin, end = b, e
-                end = max(end, e)
-            out.append((k, begin, end))
-        return [x for x in out if self.reachable(x[0], words[x[1] : x[2]])]
+        spans = np.zeros((0, 2), np.int64)
+        for item, first in self.hits(words):  # seeds of one diagonal ask for the same stretch
+            spans = np.unique(np.concatenate([spans, np.column_stack([item, first])]), axis=0)
+        if not len(spans):
+            return []
+        item, first = spans.T
+        pad = self.lengths[item] // 4 + NGRAM
+        begins, ends = np.maximum(0, first - pad), np.minimum(len(words), first + self.lengths[item] + pad)
+        out, now = [], None
+        for k, b, e in zip(item.tolist(), begins.tolist(), ends.tolist()):
+            if now is None or k != now[0] or b > now[2] or e - now[1] > 8 * (int(self.lengths[k]) + NGRAM):  # a new passage
+                out.append(now)
+                now = [k, b, e]
+            now[2] = max(now[2], e)
+        return [tuple(x) for x in [*out[1:], now] if self.reachable(x[0], words[x[1] : x[2]])]
 
     def reachable(self, k: int, passage: np.ndarray) -> bool:
         """Whether the item's words in a passage could score enough, were they all matched."""
@@ -128,54 +132,87 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _copies(docs: DataFrame, shared) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-
-        for batch in batches:
-            best, found, cells = {}, [], 0
-
-            def score() -> None:
-                for (row, k, _), points in zip(found, align([index.items[k] for _, k, _ in found], [w for *_, w in found])):
-                    share = float(points) / (MATCH * len(index.items[k]))
-                    if share >= THRESHOLD:
-                        best[row, k] = max(best.get((row, k), share), share)
-
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                words = index.coded(text) if text else np.zeros(0, np.int64)
-                for k, begin, end in index.passages(words) if len(words) else ():
-                    found.append((row, k, words[begin:end]))
-                    cells += end - begin
-                    if cells * 64 > CELLS:
-                        score()
-                        found, cells = [], 0
-            if found:
+def _found(index: Index, texts: list[str | None]) -> list[tuple[int, int, float]]:
+    """(number of the text, number of the item, score) of each text that holds a copy of an item."""
+    best: dict[tuple[int, int], float] = {}
+    waiting: list[tuple[int, int, np.ndarray]] = []
+    widest = 0
+
+    def score() -> None:
+        for (row, k, _), points in zip(waiting, align([index.items[k] for _, k, _ in waiting], [w for *_, w in waiting])):
+            share = float(points) / (MATCH * len(index.items[k]))
+            if share >= THRESHOLD:
+                best[row, k] = max(best.get((row, k), share), share)
+        waiting.clear()
+
+    for row, text in enumerate(texts):
+        words = index.coded(text) if text else np.zeros(0, np.int64)
+        for k, begin, end in index.passages(words) if len(words) else ():
+            widest = max(widest, end - begin)
+            if waiting and (len(waiting) + 1) * (widest + 1) > CELLS:  # a table has a row of the widest passage for each pair
                 score()
-            out = [(row, k, share) for (row, k), share in best.items()]
-            rows, items, scores = zip(*out) if out else ((), (), ())
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for k in items], pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
+                widest = end - begin
+            waiting.append((row, k, words[begin:end]))
+    if waiting:
+        score()
+    return [(row, k, share) for (row, k), share in sorted(best.items())]
+
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, item_id long, score double")
+def _blocks(benchmark: DataFrame) -> Iterator[tuple]:
+    """Broadcast indexes of the benchmark's blocks, and whether there is only one."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    blocks = max(1, -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // CHARS_A_PASS))
+    for block in range(blocks):
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # a block's items
+        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine])), blocks == 1
 
 
 def copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score) of each document that holds a copy of an item; score is 1 for a verbatim one."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    blocks = max(1, -(-items.count() // ITEMS_A_PASS))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def of(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                found = _found(index, batch.column(1).to_pylist())
+                rows, items, scores = zip(*found) if found else ((), (), ())
+                ids = batch.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for k in items], pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
+            trim()
+
+        return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, item_id long, score double")
+
     out = None
-    for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine]))
-        found = _copies(docs, shared)
+    for shared, only in _blocks(benchmark):
+        found = of(shared)
+        if not only:
+            found = written(found, "copies")
+            shared.unpersist()
         out = found if out is None else out.union(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a copy of a benchmark item (rows with a null id stay)."""
-    return docs.join(copies(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` without the rows that hold a copy of a benchmark item."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at = docs.columns.index("text")
+
+    def of(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                stays = np.ones(len(batch), bool)
+                stays[[row for row, *_ in _found(index, batch.column(at).cast(pa.string()).to_pylist())]] = False
+                yield batch.filter(pa.array(stays))
+            trim()
+
+        return rows.mapInArrow(run, schema)
+
+    for shared, only in _blocks(benchmark):
+        docs = of(docs, shared)
+        if not only:
+            docs = written(docs, "clean", large=True)
+            shared.unpersist()
+    return docs
