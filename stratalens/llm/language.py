@@ -3,7 +3,8 @@
 Texts are cut into fixed-length windows of UTF-8 bytes. Filters of several widths slide over each window;
 their outputs are max-pooled, and a softmax over the pooled features gives the window's languages. A
 document's probabilities are the mean over all its windows, weighted by their bytes. Training is plain
-numpy on a bounded sample of labelled rows; inference scores the windows of many documents at once.
+numpy on a bounded sample of labelled rows, as many of each language, and of windows spread over their whole texts;
+inference scores the windows of many documents at once.
 
 A filter over one-hot bytes is a table lookup, so the first layer costs a few gathers a byte: filters of
 even width read tables of byte pairs.
@@ -19,16 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import free_name, held_out, stratified_sample, trim
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
 FILTERS = 16
-#: Labelled rows that training reads at most, and the bytes it takes from each.
-TRAIN_ROWS, TRAIN_BYTES = 2_000, 1_024
+#: Labelled rows that training reads at most, and the windows it takes from each.
+TRAIN_ROWS, TRAIN_WINDOWS = 2_000, 4
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Windows scored at once.
 WINDOWS_AT_ONCE = 256
@@ -96,7 +97,7 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 0) -> Network:
     """Adam on the cross-entropy of windows; deterministic for the same rows."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
-    x, owner, _ = windows([t[:TRAIN_BYTES] for t in texts])
+    x, owner, _ = windows(texts)
     y = np.array([languages.index(v) for v in labels])[owner]
     net = Network(
         languages,
@@ -151,17 +152,24 @@ def _train_pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, list[np.ndar
     return np.concatenate(out, axis=1), at
 
 
+def spread(text: Column) -> Column:
+    """``TRAIN_WINDOWS`` windows of a text's bytes from its beginning to its end; all of a shorter text."""
+    data = text.cast("binary")
+    size = F.octet_length(data)
+    starts = [F.floor((size - WINDOW) * k / (TRAIN_WINDOWS - 1)).cast("int") + 1 for k in range(TRAIN_WINDOWS)]
+    return F.when(size <= TRAIN_WINDOWS * WINDOW, data).otherwise(F.concat(*(F.substring(data, at, F.lit(WINDOW)) for at in starts)))
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
-    """Learn from at most ``rows`` labelled rows that aren't held out, spread over the languages by hash order."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    start = F.substring(F.col("text").cast("string"), 1, TRAIN_BYTES).alias("text")
-    sample = bounded_sample(labelled.select("doc_id", "lang", start), "doc_id", rows, "lang", "text")
-    sample = sample.filter(F.col("text").rlike(r"\p{L}")).select("lang", F.col("text").cast("binary").alias("text")).collect()
+    """Learn from at most ``rows`` labelled rows that aren't held out, an even share for each language, in hash order."""
+    text = F.col("text").cast("string")
+    labelled = docs.filter(F.col("lang").isNotNull() & text.rlike(r"\p{L}") & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), spread(text).alias("text"))
+    sample = stratified_sample(labelled, "lang", "doc_id", rows, "text").select("lang", "text").collect()
     return fit([bytes(r["text"]) for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
-def identify(docs: DataFrame, model: Network | None) -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred`` and ``lang_score``."""
+def identify(docs: DataFrame, model: Network | None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The rows of ``docs`` with the predicted language and its score, under names that ``docs`` has no column of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,15 +185,16 @@ def identify(docs: DataFrame, model: Network | None) -> DataFrame:
                         if texts[i]:
                             langs[i], scores[i] = model.languages[int(row.argmax())], min(1.0, float(row.max()))
                     begin, size = end, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *names])
+        trim()
 
-    columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in columns))
+    if {c.lower() for c in docs.columns} & {c.lower() for c in names}:
+        raise ValueError(f"columns of the input are called {names}")
     if model is None:
-        return rows.withColumn("lang_pred", F.lit("und")).withColumn("lang_score", F.lit(0.0))
+        return docs.withColumn(names[0], F.lit("und")).withColumn(names[1], F.lit(0.0))
     text = F.col("text").cast("string")
-    scored = rows.withColumn("_text", F.when(text.rlike(r"\p{L}"), text.cast("binary")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "lang_pred string", "lang_score double"])
+    scored = docs.withColumn(free_name("text_", docs.columns), F.when(text.rlike(r"\p{L}"), text.cast("binary")))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` string", f"`{names[1]}` double"])
     return scored.mapInArrow(run, schema)
 
 
@@ -197,5 +206,6 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 def recognised(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows in which no language is recognised, under their own columns."""
-    out = identify(docs, train(docs))
-    return out.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= ACCEPT)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    lang, score = (free_name(x, docs.columns) for x in ("lang_pred", "lang_score"))
+    out = identify(docs, train(docs), (lang, score))
+    return out.filter((F.col(lang) != "und") & (F.col(score) >= ACCEPT)).select(*(F.col(f"`{c}`") for c in docs.columns))
