@@ -1,8 +1,10 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for what they leave open.
 
 The trees learn from labelled URLs: those that a rule decides and that are not held out. Features are the
-lengths, depth, digit ratio, character entropy and parameter counts of the URL, and the smoothed share of
-blocked training URLs under its host's last label and last two labels. Training reads a bounded sample in
+lengths, depth, digit ratio, character entropy and parameter counts of the URL, and the share of
+blocked training URLs under its host's last two labels and, with equal weight for each two, under the last one. Shares are
+shrunk towards that of all, and a training row's own fold has no part in its shares, so that they don't give its label
+away: folds of rows for the two labels, folds of hosts for the last one. Training reads a bounded sample in
 hash order; scoring is a projection and two joins with the sample's suffixes (at most a row for each
 training row), all with DataFrame functions and Spark's own boosted trees.
 
@@ -26,6 +28,8 @@ from .common import bounded_sample, held_out, written
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Labelled rows that training reads at most; the trees' number and depth.
 TRAIN_ROWS, TREES, DEPTH = 8_000, 12, 3
+#: Rows (or hosts) that the share of all counts for in a suffix's share, and folds of the training rows.
+SHRINKAGE, FOLDS = 5.0, 5
 FEATURES = [
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "secure", "last_share", "two_share",
 ]
@@ -82,27 +86,42 @@ def _lexical(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_suffixes(rows: DataFrame, sample: DataFrame) -> DataFrame:
-    """``rows`` with the smoothed share of blocked URLs of the sample under each suffix."""
-    for key in ("last", "two"):
-        shares = sample.groupBy(F.col(key).alias("_suffix")).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"{key}_share"))
-        rows = rows.join(F.broadcast(shares), F.col(key) == F.col("_suffix"), "left").drop("_suffix")  # at most TRAIN_ROWS rows
-        rows = rows.withColumn(f"{key}_share", F.coalesce(f"{key}_share", F.lit(0.5)))
-    return rows
+def _with_shares(rows: DataFrame, sample: DataFrame, overall: float, fold: int | None = None) -> DataFrame:
+    """``rows`` with two_share and last_share, of the sample without a fold; a suffix without a training row has the share of all."""
+    others = sample if fold is None else sample.filter(F.col("row_fold") != fold)
+    hosts = (sample if fold is None else sample.filter(F.col("host_fold") != fold)).groupBy("last", "two").agg(F.avg("label").alias("label"))
+    for key, of in (("two", others), ("last", hosts)):
+        share = (F.sum("label") + SHRINKAGE * overall) / (F.count("*") + SHRINKAGE)
+        shares = of.groupBy(F.col(key).alias("suffix_")).agg(share.alias(f"{key}_share"))
+        rows = rows.join(F.broadcast(shares), F.col(key) == F.col("suffix_"), "left").drop("suffix_")  # at most TRAIN_ROWS rows
+    return rows.withColumns({c: F.coalesce(c, F.lit(overall)) for c in ("two_share", "last_share")})
+
+
+def _training(sample: DataFrame, overall: float) -> DataFrame:
+    """The sample with the shares of the other folds."""
+    out = None
+    for fold in range(FOLDS):
+        two = _with_shares(sample.filter(F.col("row_fold") == fold), sample, overall, fold).drop("last_share")
+        host = _with_shares(sample.filter(F.col("host_fold") == fold), sample, overall, fold).select("number", "last_share")
+        out = (two, host) if out is None else (out[0].unionByName(two), out[1].union(host))
+    return out[0].join(out[1], "number")
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
     rows = _lexical(ruled(parsed(pages.select("page_id", "url")), rules))
     sample = rows.filter(F.col("ruled").isNotNull() & ~held_out("page_id")).withColumn("label", (F.col("ruled") == "block").cast("double"))
-    sample = written(bounded_sample(sample.drop("rule", "ruled"), "page_id", TRAIN_ROWS, "page_id", "url"), "labelled_urls")
-    labels = [r["label"] for r in sample.select("label").distinct().collect()]  # at most two rows
-    if len(labels) < 2:
-        by_method = F.lit("block" if labels == [1.0] else "allow")
+    sample = bounded_sample(sample.drop("rule", "ruled"), "page_id", TRAIN_ROWS, "page_id", "url").withColumn("number", F.monotonically_increasing_id())
+    folds = {"row_fold": F.pmod(F.xxhash64("page_id", "url", "number"), F.lit(FOLDS)), "host_fold": F.pmod(F.xxhash64("two"), F.lit(FOLDS))}
+    sample = written(sample.withColumns(folds), "labelled_urls")
+    overall = sample.agg(F.avg("label")).first()[0]  # the share of all
+    if overall in (None, 0.0, 1.0):
+        by_method = F.lit("block" if overall else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    training = assembler.transform(_with_suffixes(sample, sample).coalesce(1).sortWithinPartitions("page_id", "url"))
+    training = written(_training(sample, overall).select(*FEATURES, "label", "page_id", "url"), "training_urls")
+    training = assembler.transform(training.coalesce(1).sortWithinPartitions("page_id", "url"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(training.select("features", "label"))
-    scored = model.transform(assembler.transform(_with_suffixes(rows, sample)))
+    scored = model.transform(assembler.transform(_with_shares(rows, sample, overall)))
     by_method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"))
