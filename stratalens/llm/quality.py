@@ -2,12 +2,14 @@
 
 Each line is good or bad; its evidence is what its bytes look like, what the neighbouring lines look like,
 and whether it repeats an earlier line. The field is fitted on documents labelled as a whole (each line takes
-its document's label). A document's quality is the mean of its lines' forward-backward marginals, weighted by
-their lengths and calibrated on the fitted documents.
+its document's label), on runs of lines spread over each whole text. A document's quality is the mean of its lines'
+forward-backward marginals, weighted by their lengths and calibrated on the sampled documents' whole texts. The tasks
+turn a sampled text into the features of at most ``TRAIN_LINES`` lines, so some 10 MB at most come to the driver.
 
 Defined cases: a null text is one empty line, and an empty text is too; lines of over ``PIECE`` bytes are
 taken in pieces; without labels of both kinds every score is the share of label 1 (0.5 without any); rows of
-``labels`` without a document or a quality teach nothing; repeated label rows count again.
+``labels`` without a document or a quality teach nothing; repeated label rows and repeated ids count once, with
+one of the id's texts.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, written
 
-#: Labelled documents that training reads at most, and the lines it takes from each.
-TRAIN_ROWS, TRAIN_LINES = 3_000, 32
+#: Labelled documents that training reads at most, the lines it takes from each, and how many of these follow each other.
+TRAIN_ROWS, TRAIN_LINES, RUN = 3_000, 24, 8
 STEPS, RATE, PENALTY = 150, 0.1, 1e-3
 PIECE = 32_768
 THRESHOLD = 0.3
@@ -152,57 +154,80 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.base, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Field:
-    """Full-batch Adam on the penalised log-likelihood; deterministic for the same rows."""
-    y = np.array(labels, np.float64)
-    texts = [b"\n".join(t.split(b"\n")[:TRAIN_LINES]) for t in texts]
-    x, counts, _ = line_features(texts) if texts else (np.zeros((0, 1)), np.zeros(0, int), None)
+def chains(text: bytes) -> list[np.ndarray]:
+    """Features of runs of lines spread over a whole text; all lines of a short one."""
+    x = line_features([text])[0]
+    if len(x) <= TRAIN_LINES:
+        return [x]
+    starts = np.linspace(0, len(x) - RUN, TRAIN_LINES // RUN).astype(np.int64)
+    return [x[i : i + RUN] for i in starts]
+
+
+def gradient(z: np.ndarray, counts: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, moves: np.ndarray) -> list[np.ndarray]:
+    """Of the mean negative log-likelihood of the lines (without penalty): by weights, bias and moves. z: lines' features; counts and
+    y: the lines and the label of each chain."""
+    steps = int(counts.max())
+    row, col = np.repeat(np.arange(len(y)), counts), np.arange(len(z)) - np.repeat(np.cumsum(counts) - counts, counts)
+    pair = np.arange(1, steps)[None, :] < counts[:, None]
+    score = np.zeros((len(y), steps))
+    score[row, col] = np.clip(z @ w + b, -30, 30)
+    a = np.zeros((len(y), steps, 2))  # normalised forward messages, (bad, good)
+    back = np.ones((len(y), steps, 2))
+    unary = np.stack([np.ones_like(score), np.exp(score)], axis=2)
+    unary /= unary.sum(axis=2, keepdims=True)
+    m = np.exp(moves)
+    a[:, 0] = unary[:, 0]
+    for t in range(1, steps):
+        a[:, t] = (a[:, t - 1] @ m) * unary[:, t]
+        a[:, t] /= a[:, t].sum(axis=1, keepdims=True)
+    for t in range(steps - 2, -1, -1):
+        back[:, t] = (unary[:, t + 1] * back[:, t + 1]) @ m.T
+        back[:, t] = np.where(pair[:, t, None], back[:, t] / back[:, t].sum(axis=1, keepdims=True), 1)
+    p = a * back
+    p /= p.sum(axis=2, keepdims=True)
+    joint = a[:, :-1, :, None] * m[None, None] * (unary * back)[:, 1:, None, :]
+    joint /= joint.sum(axis=(2, 3), keepdims=True)
+    expected = (joint * pair[:, :, None, None]).sum(axis=(0, 1))
+    observed = np.diag([(pair.sum(axis=1) * (1 - y)).sum(), (pair.sum(axis=1) * y).sum()])
+    off = p[row, col, 1] - y[row]
+    return [z.T @ off / len(z), np.array([off.mean()]), (expected - observed) / len(z)]
+
+
+def fit_chains(x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Field:
+    """Full-batch Adam on the penalised log-likelihood of chains of lines; deterministic for the same rows."""
+    y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Field(np.zeros(1), np.ones(1), np.zeros(1), 0.0, np.zeros((2, 2)), constant=float(y.mean()) if len(y) else 0.5)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = (x - mean) / scale
-    steps = int(counts.max())
-    row, col = np.repeat(np.arange(len(y)), counts), np.arange(len(z)) - np.repeat(np.cumsum(counts) - counts, counts)
-    there = np.arange(steps)[None, :] < counts[:, None]
-    pair = there[:, 1:]
-    w, b, moves = np.zeros(z.shape[1]), np.zeros(1), np.zeros((2, 2))
-    params = [w, b, moves]
+    params = [np.zeros(z.shape[1]), np.zeros(1), np.zeros((2, 2))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    line_y, total = y[row], float(len(z))
     for step in range(1, STEPS + 1):
-        score = np.zeros((len(y), steps))
-        score[row, col] = np.clip(z @ w + b[0], -30, 30)
-        a = np.zeros((len(y), steps, 2))  # normalised forward messages, (bad, good)
-        back = np.ones((len(y), steps, 2))
-        unary = np.stack([np.ones_like(score), np.exp(score)], axis=2)
-        unary /= unary.sum(axis=2, keepdims=True)
-        m = np.exp(moves)
-        a[:, 0] = unary[:, 0]
-        for t in range(1, steps):
-            a[:, t] = (a[:, t - 1] @ m) * unary[:, t]
-            a[:, t] /= a[:, t].sum(axis=1, keepdims=True)
-        for t in range(steps - 2, -1, -1):
-            back[:, t] = (unary[:, t + 1] * back[:, t + 1]) @ m.T
-            back[:, t] = np.where(pair[:, t, None], back[:, t] / back[:, t].sum(axis=1, keepdims=True), 1)
-        p = a * back
-        p /= p.sum(axis=2, keepdims=True)
-        joint = a[:, :-1, :, None] * m[None, None] * (unary * back)[:, 1:, None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        expected = (joint * pair[:, :, None, None]).sum(axis=(0, 1))
-        observed = np.diag([(pair.sum(axis=1) * (1 - y)).sum(), (pair.sum(axis=1) * y).sum()])
-        off = p[row, col, 1] - line_y
-        grads = [z.T @ off / total + PENALTY * w, np.array([off.mean()]), (expected - observed) / total + PENALTY * moves]
+        grads = gradient(z, counts, y, params[0], float(params[1][0]), params[2])
+        grads = [grads[0] + PENALTY * params[0], grads[1], grads[2] + PENALTY * params[2]]
         for q, g, (m1, m2) in zip(params, grads, moments):
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
             q -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    field = Field(mean, scale, w, float(b[0]), moves)
-    raw = field.raw(texts)
-    for _ in range(100):  # Newton steps of a logistic calibration
+    return Field(mean, scale, params[0], float(params[1][0]), params[2])
+
+
+def calibrate(field: Field, raw: np.ndarray, labels: np.ndarray) -> None:
+    """Newton steps of a logistic calibration on whole documents' log odds."""
+    y = np.asarray(labels, np.float64)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(field.slope * raw + field.base, -30, 30)))
         d = np.column_stack([raw, np.ones_like(raw)])
         h = (d * (p * (1 - p))[:, None]).T @ d + 1e-3 * np.eye(2)
         field.slope, field.base = np.array([field.slope, field.base]) - np.linalg.solve(h, d.T @ (p - y) + 1e-3 * np.array([field.slope - 1, field.base]))
+
+
+def fit(texts: list[bytes], labels: list[int]) -> Field:
+    """The field of a few texts at hand, as ``train`` fits it of a table."""
+    parts = [(x, label) for text, label in zip(texts, labels) for x in chains(text)]
+    field = fit_chains(np.concatenate([x for x, _ in parts]), np.array([len(x) for x, _ in parts]), np.array([label for _, label in parts]))
+    if field.constant is None:
+        calibrate(field, field.raw(texts), np.array(labels))
     return field
 
 
@@ -211,9 +236,32 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     sample = bounded_sample(known, "doc_id", rows, "doc_id", "quality")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    got = texts.join(F.broadcast(sample), "doc_id").collect()
-    got = sorted((r["doc_id"], bytes(r["text"]), r["quality"]) for r in got)[: 2 * rows]
-    return fit([r[1] for r in got], [r[2] for r in got])
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    one = written(one, "labelled")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(q, len(x), x.astype("<f4").tobytes()) for q, t in zip(batch.column(0).to_pylist(), batch.column(1)) for x in chains(t.as_py())]
+            columns = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["quality", "lines", "features"])
+
+    got = sorted((r["quality"], r["lines"], bytes(r["features"])) for r in one.select("quality", "text").mapInArrow(spread, "quality int, lines int, features binary").collect())
+    if not got:
+        return fit_chains(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0))
+    counts = np.array([n for _, n, _ in got])
+    x = np.frombuffer(b"".join(f for *_, f in got), "<f4").reshape(int(counts.sum()), -1).astype(np.float64)
+    field = fit_chains(x, counts, np.array([q for q, _, _ in got]))
+    if field.constant is not None:
+        return field
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [float(field.raw([t.as_py()])[0]) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], names=["quality", "raw"])
+
+    pairs = np.array(sorted((r["quality"], r["raw"]) for r in one.select("quality", "text").mapInArrow(judge, "quality int, raw double").collect()))
+    calibrate(field, pairs[:, 1], pairs[:, 0])
+    return field
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -87,3 +87,48 @@ def smith_waterman(a: list[str], b: list[str], match: int = 2, mismatch: int = -
             now.append(max(0, last[j - 1] + (match if x == y else mismatch), last[j] + gap, now[-1] + gap))
         best, last = max(best, max(now)), now
     return best
+
+
+def mcd(x, starts):
+    """Rescaled squared distances of the rows from the reweighted estimate of the least determinant, from (number, centre, factor) starts."""
+    import numpy as np
+
+    from stratalens.llm import quality_rules as q
+
+    floor = np.diag([s**2 for _, s in q.VECTOR.values()])
+
+    def distances(m, low):
+        return (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
+
+    def bins(d2):
+        return np.floor(np.log(np.maximum(d2, 1e-9)) * q.BINS).astype(int)
+
+    def upto(b, share):
+        return next(v for v in np.unique(b) if (b <= v).sum() >= share * len(b))
+
+    def estimate(rows):
+        return rows.mean(axis=0), np.linalg.cholesky(np.cov(rows.T, bias=True) + floor)
+
+    def logdet(low):
+        return 2 * np.log(np.diag(low)).sum()
+
+    def step(m, low):
+        b = bins(distances(m, low))
+        return estimate(x[b <= upto(b, q.KEEP)])
+
+    now = [(k, *step(m, low)) for k, m, low in starts]
+    for _ in range(q.FIRST_STEPS - 1):
+        now = [(k, *step(m, low)) for k, m, low in now]
+    now = sorted(now, key=lambda s: (round(logdet(s[2]), 9), s[0]))[: q.GO_ON]
+    for _ in range(q.LAST_STEPS):
+        before, now = now, [(k, *step(m, low)) for k, m, low in now]
+        if max(abs(logdet(a[2]) - logdet(b[2])) for a, b in zip(before, now)) < 1e-9:
+            break
+    _, m, low = min(now, key=lambda s: (round(logdet(s[2]), 9), s[0]))
+
+    def rescaled(m, low):
+        d2 = distances(m, low)
+        return d2 * q.MEDIAN / np.exp((upto(bins(d2), 0.5) + 1) / q.BINS)
+
+    m, low = estimate(x[rescaled(m, low) <= q.WITHIN])
+    return rescaled(m, low)

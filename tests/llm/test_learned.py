@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratalens.llm import decontamination, language, quality
-from stratalens.llm.common import bounded_sample
+from stratalens.llm.common import bounded_sample, stratified_sample
 
-from .brute import near_duplicates, repeats
+from .brute import near_duplicates, repeats, smith_waterman
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +86,70 @@ def test_long_documents_stay_finite():
     assert field.score(texts[:1])[0] > 0.5 > field.score(texts[1:2])[0]
 
 
+def test_training_sees_whole_texts(spark):
+    """Junk that begins after any prefix teaches as much; both ends of a text are in the samples."""
+    good, bad = (b"good line of plain words\n" * 40, b"good line of plain words\n" * 32 + b"### $$$ ||| %%%\n" * 200)
+    parts = quality.chains(bad)
+    assert sum(map(len, parts)) <= quality.TRAIN_LINES and not np.allclose(parts[0][0], parts[-1][-2])
+    field = quality.fit([good, bad] * 30, [1, 0] * 30)
+    assert field.score([good])[0] > 0.7 and field.score([bad])[0] < 0.3
+    text = "a" * 5000 + "z" * 5000
+    cut = bytes(spark.createDataFrame([(text,)], "text string").select(language.spread(F.col("text"))).first()[0])
+    assert len(cut) == language.WINDOW * language.TRAIN_WINDOWS and cut.count(b"z") == len(cut) / 2
+
+
+def test_rare_languages_enter_the_sample(spark):
+    rows = [(i, "en", f"text {i}") for i in range(3000)] + [(9000, "xx", "rare"), (9001, "xx", "rare too")]
+    sample = stratified_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), "lang", "doc_id", 100, "text").collect()
+    assert sum(r["lang"] == "xx" for r in sample) == 2 and 40 <= len(sample) <= 100
+
+
+def test_gradient_is_that_of_all_labellings():
+    """Finite differences of the log-likelihood, with the normaliser summed over every labelling."""
+    rng = np.random.default_rng(4)
+    counts, y = np.array([1, 3, 4, 2]), np.array([1.0, 0.0, 1.0, 0.0])
+    z, w, b, moves = rng.normal(size=(10, 3)), rng.normal(size=3), 0.3, rng.normal(size=(2, 2))
+
+    def loss(w, b, moves):
+        total, at = 0.0, 0
+        for n, label in zip(counts.tolist(), y.tolist()):
+            u = z[at : at + n] @ w + b
+            at += n
+            score = lambda code: sum(v * s for v, s in zip(code, u)) + sum(moves[i, j] for i, j in zip(code, code[1:]))  # noqa: B023, E731
+            total += np.log(sum(np.exp(score([k >> i & 1 for i in range(n)])) for k in range(1 << n))) - score([int(label)] * n)
+        return total / len(z)
+
+    got = quality.gradient(z, counts, y, w, b, moves)
+    eps = 1e-6
+    for i in range(3):
+        e = np.eye(3)[i] * eps
+        assert np.isclose(got[0][i], (loss(w + e, b, moves) - loss(w - e, b, moves)) / (2 * eps), atol=1e-6)
+    assert np.isclose(got[1][0], (loss(w, b + eps, moves) - loss(w, b - eps, moves)) / (2 * eps), atol=1e-6)
+    for i in range(4):
+        e = np.eye(4)[i].reshape(2, 2) * eps
+        assert np.isclose(got[2].flat[i], (loss(w, b, moves + e) - loss(w, b, moves - e)) / (2 * eps), atol=1e-6)
+
+
+def test_document_scores_by_enumeration(spark):
+    """Scores of a table are the calibrated, length-weighted marginals over all labellings of each text's lines."""
+    texts = ["plain words here\nand more of them\n\nlast", "### |||\nplain words\n$$$", "", "one line"]
+    docs = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 1)) for i in range(40)], "doc_id long, quality int")
+    field = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.scores(docs, labels).collect()}
+    for i in range(4):
+        x, _, length = quality.line_features([texts[i].encode()])
+        u, n = field.evidence(x), len(x)
+        total, good = 0.0, np.zeros(n)
+        for code in range(1 << n):
+            label = [code >> k & 1 for k in range(n)]
+            weight = np.exp(np.dot(label, u) + sum(field.moves[a, b] for a, b in zip(label, label[1:])))
+            total, good = total + weight, good + weight * np.array(label)
+        p = np.clip(np.dot(good / total, length) / length.sum(), 1e-6, 1 - 1e-6)
+        want = 1 / (1 + np.exp(-np.clip(field.slope * np.log(p / (1 - p)) + field.base, -30, 30)))
+        assert np.isclose(got[i], want, atol=1e-9)
+
+
 def test_quality_edge_cases(spark):
     schema, labelled = "doc_id long, text string, score double", "doc_id long, quality int, toxic int"
     none = spark.createDataFrame([], labelled)
@@ -129,7 +193,7 @@ def test_copies_of_items(spark):
     assert found[103, 0] == found[102, 2] == 1.0
     kept = decontamination.clean(frame, items)
     assert kept.columns == frame.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - set(want) - {102, 103}
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(i) for i, _ in rows if i not in {*want, 102, 103, None})
     assert decontamination.copies(frame.limit(0), items).collect() == [] and decontamination.copies(frame, items.limit(0)).collect() == []
 
 
@@ -151,8 +215,41 @@ def test_more_passes_find_the_same(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"w{i} {ITEMS[i % 3]} z{i}") for i in range(9)], "doc_id long, text string")
     items = spark.createDataFrame([*enumerate(ITEMS)], "item_id long, text string")
     once = sorted(map(tuple, decontamination.copies(rows, items).collect()))
-    monkeypatch.setattr(decontamination, "ITEMS_A_PASS", 1)
+    monkeypatch.setattr(decontamination, "CHARS_A_PASS", 60)
+    monkeypatch.setattr(decontamination, "PLACES", 2)
+    monkeypatch.setattr(decontamination, "CELLS", 50)
     assert sorted(map(tuple, decontamination.copies(rows, items).collect())) == once and len(once) == 9
+    assert decontamination.clean(rows, items).collect() == []
+
+
+@pytest.mark.parametrize("percent", [10, 20, 25, 30])
+def test_every_text_aligned_with_every_item(spark, percent):
+    """Each text with each item, whole, by plain Smith-Waterman: what is found is what reaches the threshold, for edits of
+    each share of the words; several copies of one item, none of them verbatim."""
+    rng, vocabulary = random.Random(percent), [f"word{i}" for i in range(300)]
+    items = [[f"i{k}w{rng.randrange(60)}" if rng.random() < 0.7 else rng.choice(vocabulary) for _ in range(rng.randrange(12, 50))] for k in range(8)]
+    texts = []
+    for n in range(60):
+        words = list(items[n % 8])
+        for at in rng.sample(range(len(words)), round(len(words) * percent / 100)):
+            words[at] = rng.choice(vocabulary)
+        texts.append([*rng.choices(vocabulary, k=rng.randrange(40)), *words, *rng.choices(vocabulary, k=rng.randrange(40))])
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.copies(frame, bench).collect()}
+    want = {(i, k): smith_waterman(item, t) / (2 * len(item)) for i, t in enumerate(texts) for k, item in enumerate(items)}
+    want = {pair: score for pair, score in want.items() if score >= 0.5}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) > 40
+    assert all(np.isclose(got[pair], want[pair]) for pair in got)
+
+
+def test_ids_do_not_matter_to_what_leaks(spark):
+    """Rows that share an id, or have none, are judged by their own text; one long text with many hits."""
+    many = " filler ".join([ITEMS[0]] * 300)
+    rows = [(1, "innocent text of some words"), (1, f"x {ITEMS[1]} y"), (None, ITEMS[0]), (None, "no leak here at all"), (2**53 + 1, many), (2**53 + 3, "fine")]
+    frame, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(ITEMS)], "item_id long, text string")
+    assert sorted(map(str, decontamination.clean(frame, items).collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in (rows[0], rows[3], rows[5]))
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in decontamination.copies(frame, items).collect()} == {(1, 1, 1.0), (None, 0, 1.0), (2**53 + 1, 0, 1.0)}
 
 
 def test_samples_are_bounded(spark):

@@ -13,7 +13,7 @@ import pytest
 
 from stratalens.llm import chat, licenses, packing, quality_rules, queries, url_filter
 
-from .brute import judge_url, smith_waterman, statistics
+from .brute import judge_url, mcd, smith_waterman, statistics
 
 
 def test_a_turn_survives_its_round_trip():
@@ -47,6 +47,13 @@ def test_chat_edge_cases(spark):
     assert got == {None: (1, 0), 2: (2, 600_000), 3: (1, 0)}
 
 
+def test_chat_ids_are_exact_beside_nulls(spark):
+    ids = [2**53, 2**53 + 1, 2**53 + 3, None, 2**63 - 1]
+    rows = [(i, t, "user", "x") for i in ids for t in range(2)]
+    got = chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(((r["conv_id"], r["n_turns"]) for r in got), key=str) == sorted(((i, 2) for i in ids), key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_duckdb(spark, sf_dir, name):
     con = duckdb.connect()
@@ -113,14 +120,52 @@ def test_outliers_go_and_plain_texts_stay(spark):
     assert all(kept[i] for i in range(400))
 
 
+def vectors(spark, x, grp="g"):
+    return spark.createDataFrame([(grp, i, *map(float, v)) for i, v in enumerate(x)], "grp string, at long, v0 double, v1 double, v2 double, v3 double, v4 double")
+
+
+def rejected(spark, frame):
+    far = quality_rules._distances(frame, quality_rules.robust(frame))
+    return {(r["grp"], r["at"]) for r in far.withColumn("scaled", quality_rules._rescaled()).filter(f"scaled > {quality_rules.CUTOFF}").collect()}
+
+
 def test_distances_are_those_of_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5))
-    frame = spark.createDataFrame([("g", *map(float, v)) for v in x], "grp string, v0 double, v1 double, v2 double, v3 double, v4 double")
-    got = sorted(r["d2"] for r in quality_rules._distances(frame, quality_rules._estimates(frame)).collect())
+    frame = vectors(spark, x)
+    estimates = quality_rules._estimates(frame.groupBy("grp").agg(*quality_rules._moments()), "grp")
+    got = sorted(r["d2"] for r in quality_rules._distances(frame, estimates).collect())
     scatter = np.cov(x.T, bias=True) + np.diag([s**2 for _, s in quality_rules.VECTOR.values()])
     off = x - x.mean(axis=0)
     assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off)))
+    assert np.allclose(estimates.first()["logdet"], np.linalg.slogdet(scatter)[1])
+
+
+@pytest.mark.parametrize(("far", "spread"), [(10, 0.3), (12, 1.0)])
+def test_a_masked_cluster_is_rejected(spark, far, spread):
+    """24 % of the rows are a cluster that pulls the moments to itself."""
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(size=(760, 5)), rng.normal(size=(240, 5)) * spread + far / 5**0.5 * np.array([1, -1, 1, 1, -1])] * 3
+    got = {at for _, at in rejected(spark, vectors(spark, x))}
+    assert got & set(range(760)) == set() and len(got) >= 0.99 * 240
+
+
+def test_the_estimate_is_that_of_numpy(spark):
+    """Everything after the starts, and the least determinant, in plain numpy; groups do not touch each other."""
+    rng = np.random.default_rng(9)
+    groups = {g: rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) * 2 for g, n in (("a", 300), ("b", 170))}
+    groups["b"][:30] += 40
+    frame = vectors(spark, groups["a"], "a").union(vectors(spark, groups["b"], "b")).persist()
+    starts = defaultdict(list)
+    for r in quality_rules._starts(frame).collect():
+        low = np.zeros((5, 5))
+        low[np.tril_indices(5)] = r["l"]
+        starts[r["grp"]].append((r["start"], np.array(r["m"]), low))
+    want = set()
+    for g, x in groups.items():
+        assert len(starts[g]) >= 6
+        want |= {(g, i) for i in np.flatnonzero(mcd(x, sorted(starts[g], key=lambda s: s[0])) > quality_rules.CUTOFF)}
+    assert rejected(spark, frame) == want and {("b", i) for i in range(30)} <= want
 
 
 def test_quality_rules_edge_cases(spark):
@@ -178,7 +223,7 @@ def test_first_fit_decreasing():
 def test_packing_keeps_every_id(spark, sf_dir):
     from tokenizers import Tokenizer
 
-    odd = [(-1, None), (-2, ""), (-3, "<|endoftext|> x"), (-4, "z " * 50_000), (-5, "same"), (-5, "same"), (None, "no id")]
+    odd = [(-1, None), (-2, ""), (-3, "<|endoftext|> x"), (-4, "z " * 50_000), (-5, "same"), (-5, "same"), (None, "no id"), (None, "no id"), (2**53 + 1, "large"), (2**53 + 3, "large")]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     rows = packing.pack(docs.selectExpr("*", "1 AS grp", "'x' AS crcs")).collect()
     tokenizer, want = Tokenizer.from_file(packing.default_tokenizer()), defaultdict(int)
@@ -198,6 +243,24 @@ def test_packing_keeps_every_id(spark, sf_dir):
     assert packing.pack(docs.limit(0)).collect() == []
 
 
+def test_groups_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(7, "again")] * 30
+    frames = [spark.createDataFrame(x, "doc_id long, text string").coalesce(1) for x in (rows, rows[::-1])]
+    got = [sorted(map(tuple, packing.pack(f, group_docs=10).select("doc_id", "start", "length", "sequence_id", "offset").collect())) for f in frames]
+    assert got[0] == got[1] and len({x[3] >> 32 for x in got[0] if x[0] == 7}) > 1
+
+
+def test_other_tokenizer_files_are_left_to_tokenizers(tmp_path):
+    import json
+
+    file = json.loads(Path(packing.default_tokenizer()).read_text("utf-8"))
+    assert packing.merger(packing.default_tokenizer()) is not None
+    for name, change in enumerate(({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": None})):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(file | change), "utf-8")
+        assert packing.merger(str(path)) is None
+
+
 def test_alignment_is_smith_waterman():
     from stratalens.llm.decontamination import align
 
