@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import decontamination, language, near_duplicates, packing, suffix_dedup
-from stratalens.llm.common import shared_dir, table
+from stratalens.llm.common import free_name, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat; a document of nothing else goes."""
-    out = suffix_dedup.remove_repeats(docs.withColumn("_had", F.length("text") > 0))
-    return out.filter(~F.coalesce(F.col("_had"), F.lit(False)) | (F.length("text") > 0)).drop("_had")
+    had = free_name("had_", docs.columns)
+    out = suffix_dedup.remove_repeats(docs.withColumn(had, F.length("text") > 0))
+    return out.filter(~F.coalesce(F.col(had), F.lit(False)) | (F.length("text") > 0)).drop(had)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
