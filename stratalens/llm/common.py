@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,31 @@ def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     (df if large else df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     spark.sparkContext._jvm.System.gc()  # Spark removes a finished job's shuffle files as the driver collects its garbage
     return out
 
 
+#: Of each open ``scratch``, the tables written in it.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables written inside as it ends, but for those put on its list: what a result still reads."""
+    _scopes.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        made = _scopes.pop()
+        at = {df.written_at for df in kept}
+        discard(*(df for df in made if df.written_at not in at))
+        if _scopes:  # what is kept goes with the scope around
+            _scopes[-1].extend(df for df in made if df.written_at in at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete ``written`` tables that nothing reads any more."""
     for df in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,8 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     round; their number grows with the logarithm of the number of nodes. Null ends are ignored.
     """
     now, was = written(edges.filter("u <> v").distinct(), "edges"), None
-    while True:
+    while True:  # a table is deleted as the next one is written
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == was or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        was, now = mark, written(_star(_star(now, True), False), "star")
+        before, was = now, mark
+        now = written(_star(_star(before, True), False), "star")
+        discard(before)

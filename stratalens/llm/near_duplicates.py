@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix64, trim, written
+from .common import free_name, mix64, scratch, trim, written
 from .components import components
 from .shingles import Shingler
 
@@ -436,13 +436,16 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Documents without words are classes of their own.
     """
-    classes = written(_classes(docs).filter("n_shingles > 0").groupBy("doc_id", "th", "component_id", "root").agg(F.count("*").alias("rows")), "classes")
-    chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("chosen"))
-    rows = classes.join(_small(written(chosen, "chosen")), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("chosen")))
-    rows = written(rows.filter("not stays or rows > 1").select("doc_id", "th", "stays"), "changed")
-    hashed, one, other = (free_name(x, docs.columns) for x in ("th", "id", "hash"))
-    gone, again = (_small(written(rows.filter(F.col("stays") == stays).select(F.col("doc_id").alias(one), F.col("th").alias(other)), "gone")) for stays in (False, True))
-    out = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    with scratch() as kept:
+        classes = written(_classes(docs).filter("n_shingles > 0").groupBy("doc_id", "th", "component_id", "root").agg(F.count("*").alias("rows")), "classes")
+        chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("chosen"))
+        rows = classes.join(_small(written(chosen, "chosen")), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("chosen")))
+        rows = written(rows.filter("not stays or rows > 1").select("doc_id", "th", "stays"), "changed")
+        hashed, one, other = (free_name(x, docs.columns) for x in ("th", "id", "hash"))
+        gone, again = (written(rows.filter(F.col("stays") == stays).select(F.col("doc_id").alias(one), F.col("th").alias(other)), "gone") for stays in (False, True))
+        kept += [gone, again]
+        out = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    gone, again = _small(gone), _small(again)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.col(hashed) == F.col(other))
     left = out.join(gone, same, "left_anti")
     once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", hashed])
@@ -488,22 +491,24 @@ def _buckets(shared: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, th (hash of its text), n_shingles, component_id, root (that names its class)."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
-    shared = written(_shared(_signed(docs, common)), "shared", large=True)
-    rows = shared.filter("more.n is not null").select("key", "more.k2", "more.doc_id", "more.th", F.col("more.n").cast("long").alias("n_shingles"))
-    # One row for each set; sets with the key of another set go by their second one.
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
-    first = written(rows.filter("n_shingles > 0").groupBy("key", "k2").agg(one.alias("one"), (F.count("*") > 1).alias("several")), "first")
-    twins = _small(written(first.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "twins"))
-    first = first.join(twins, "key", "left").select("key", "k2", "one.doc_id", "one.th", "several", F.when(F.col("sets") > 1, F.col("k2")).otherwise(F.col("key")).alias("id"))
-
-    buckets = _buckets(shared)
-    nodes = buckets.select(F.col("leader").alias("key")).union(buckets.select("key")).distinct()
-    edges = _links(_sets(docs, written(first.join(nodes, "key", "left_semi"), "needed")), buckets)
-
-    named = _roots(first.select("key", "k2", "doc_id", "id"), "id", components(edges), "root")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_key = _small(written(named.join(smallest, "root").select(F.col("key").alias("_key"), F.col("k2").alias("_k2"), "component_id", "root"), "named"))
-    out = rows.filter("n_shingles > 0").join(by_key, (F.col("key") == F.col("_key")) & (F.col("k2") == F.col("_k2")))
+    with scratch() as kept:
+        common = docs.sparkSession.sparkContext.broadcast(_common(docs))
+        shared = written(_shared(_signed(docs, common)), "shared", large=True)
+        rows = shared.filter("more.n is not null").select("key", "more.k2", "more.doc_id", "more.th", F.col("more.n").cast("long").alias("n_shingles"))
+        # One row for each set; sets with the key of another set go by their second one.
+        one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
+        first = written(rows.filter("n_shingles > 0").groupBy("key", "k2").agg(one.alias("one"), (F.count("*") > 1).alias("several")), "first")
+        twins = _small(written(first.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "twins"))
+        first = first.join(twins, "key", "left").select("key", "k2", "one.doc_id", "one.th", "several", F.when(F.col("sets") > 1, F.col("k2")).otherwise(F.col("key")).alias("id"))
+
+        buckets = _buckets(shared)
+        nodes = buckets.select(F.col("leader").alias("key")).union(buckets.select("key")).distinct()
+        edges = _links(_sets(docs, written(first.join(nodes, "key", "left_semi"), "needed")), buckets)
+
+        named = _roots(first.select("key", "k2", "doc_id", "id"), "id", components(edges), "root")
+        smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        by_key = written(named.join(smallest, "root").select(F.col("key").alias("_key"), F.col("k2").alias("_k2"), "component_id", "root"), "named")
+        kept += [shared, by_key]
+    out = rows.filter("n_shingles > 0").join(_small(by_key), (F.col("key") == F.col("_key")) & (F.col("k2") == F.col("_k2")))
     columns = "doc_id", "th", "n_shingles", "component_id", "root"
     return out.select(*columns).union(rows.filter("n_shingles = 0").select("doc_id", "th", "n_shingles", "doc_id", F.lit(None).cast("long")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, written
+from .common import bounded_sample, discard, held_out, written
 
 #: Labelled documents that training reads at most, the lines it takes from each, and how many of these follow each other.
 TRAIN_ROWS, TRAIN_LINES, RUN = 3_000, 24, 8
@@ -261,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
 
     pairs = np.array(sorted((r["quality"], r["raw"]) for r in one.select("quality", "text").mapInArrow(judge, "quality int, raw double").collect()))
     calibrate(field, pairs[:, 1], pairs[:, 0])
+    discard(one)
     return field
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, discard, written
+from .common import SPACES, discard, scratch, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -209,12 +209,14 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the statistics, base_failed and kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    stats = written(statistics(docs.select("doc_id", "lang", "source", "text")), "statistics")
-    vectors = stats.withColumns({v: F.expr(e) for v, (e, _) in VECTOR.items()})
-    asked = written(_grouped(vectors.filter(~F.col("base_failed"))).withColumn("at", F.xxhash64("doc_id")), "vectors")
-    rows = asked.select("grp", "at", *DIMS)
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("rows"))
-    estimates = written(robust(rows).join(sizes, "grp").select("grp", "m", "l", "middle", (F.col("rows") >= MIN_ROWS).alias("enough")), "robust")
+    with scratch() as tables:
+        stats = written(statistics(docs.select("doc_id", "lang", "source", "text")), "statistics")
+        vectors = stats.withColumns({v: F.expr(e) for v, (e, _) in VECTOR.items()})
+        asked = written(_grouped(vectors.filter(~F.col("base_failed"))).withColumn("at", F.xxhash64("doc_id")), "vectors")
+        rows = asked.select("grp", "at", *DIMS)
+        sizes = rows.groupBy("grp").agg(F.count("*").alias("rows"))
+        estimates = written(robust(rows).join(sizes, "grp").select("grp", "m", "l", "middle", (F.col("rows") >= MIN_ROWS).alias("enough")), "robust")
+        tables += [stats, asked, estimates]
     kept = ~(F.col("enough") & (_rescaled() > CUTOFF))
     far = _distances(asked, _small(estimates))
     failed = stats.filter("base_failed").select("doc_id", *names, F.lit(False).alias("kept"))

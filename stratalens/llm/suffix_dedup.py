@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import discard, free_name, trim, written
+from .common import discard, free_name, scratch, trim, written
 from .windows import GRAM, LENGTH
 
 BLOCK = 16
@@ -323,8 +323,10 @@ def _spans(keys: Keys) -> DataFrame:
 
 def _with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """The rows of ``docs`` with two more columns, and their names: whether the text goes wholly, and the spans to remove."""
-    keys = Keys(docs)
-    spans = written(_spans(keys), "spans")
+    with scratch() as kept:
+        keys = Keys(docs)
+        spans = written(_spans(keys), "spans")
+        kept += [keys.twins, spans]
     size = spans.agg(F.count("*"), F.sum(F.coalesce(F.size("spans"), F.lit(0)))).first()
     small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_SPANS
     key, other, copied, found = (free_name(x, docs.columns) for x in ("key_", "t_", "copied_", "spans_"))

@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, written
+from .common import bounded_sample, discard, held_out, written
 
 #: (verdict, rule): the rule's host, then its path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -119,9 +119,10 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFram
         by_method = F.lit("block" if overall else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    training = written(_training(sample, overall).select(*FEATURES, "label", "page_id", "url"), "training_urls")
-    training = assembler.transform(training.coalesce(1).sortWithinPartitions("page_id", "url"))
+    stored = written(_training(sample, overall).select(*FEATURES, "label", "page_id", "url"), "training_urls")
+    training = assembler.transform(stored.coalesce(1).sortWithinPartitions("page_id", "url"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(training.select("features", "label"))
+    discard(stored)
     scored = model.transform(assembler.transform(_with_shares(rows, sample, overall)))
     by_method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"))

@@ -283,3 +283,21 @@ def test_pipeline(spark, sf_dir):
     pieces = stages["sequences"](spark, left, sf_dir)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in left.collect()}
     assert corpus_pipeline.run(spark, sf_dir).count() == pieces.count()
+
+
+def test_stages_with_any_columns_and_null_ids(spark, sf_dir):
+    """Rows without ids, repeated rows, a very long text and names that the operators use themselves."""
+    rng, names = random.Random(12), ["_had", "had_", "lang_pred", "lang_score", "_key", "th", "_t", "text_", "spans_"]
+    prose = lambda n: " ".join(f"word{rng.randrange(400)}" for _ in range(n))
+    texts = [prose(60) for _ in range(12)] + [prose(30_000)]
+    rows = [(None if i % 3 else i, t, "en", "web", len(t)) for i, t in enumerate(texts)] + [(0, texts[0], "en", "web", len(texts[0]))] * 2 + [(None, None, None, None, None), (2**53 + 1, "", "en", "web", 0)]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    columns, left = docs.columns, sorted((str(r[0]), r[1]) for r in rows[: len(texts)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns and [docs.first()[n] for n in names] == names
+        docs = docs.persist()
+        got = sorted((str(r["doc_id"]), r["text"]) for r in docs.collect() if r["text"])
+        assert (got == left) if name != "language_id" else ({x for _, x in got} == set(texts))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
