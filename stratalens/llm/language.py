@@ -31,8 +31,8 @@ FILTERS = 16
 #: Labelled rows that training reads at most, and the windows it takes from each.
 TRAIN_ROWS, TRAIN_WINDOWS = 2_000, 4
 EPOCHS, BATCH, RATE = 6, 64, 0.01
-#: Windows scored at once.
-WINDOWS_AT_ONCE = 256
+#: Windows scored at once, and bytes of text cut into windows at once.
+WINDOWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 19
 #: Share of the probability under which a document's language counts as not recognised.
 ACCEPT = 0.35
 
@@ -171,20 +171,29 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
 def identify(docs: DataFrame, model: Network | None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """The rows of ``docs`` with the predicted language and its score, under names that ``docs`` has no column of."""
 
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            texts = [x.as_py() or b"" for x in column]
-            langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-            begin = size = 0
-            for end in range(1, len(texts) + 1):
-                size += len(texts[end - 1])
-                if size >= 1 << 20 or end == len(texts):
-                    p = model.score(texts[begin:end])
-                    for i, row in enumerate(p, begin):
-                        if texts[i]:
-                            langs[i], scores[i] = model.languages[int(row.argmax())], min(1.0, float(row.max()))
-                    begin, size = end, 0
+            asked = batch.column(batch.num_columns - 1).to_pylist()
+            langs, scores = ["und"] * len(asked), np.zeros(len(asked))
+            rows, texts, size = [], [], 0
+
+            def judge() -> None:
+                for i, p in zip(rows, model.score(texts)):
+                    langs[i], scores[i] = model.languages[int(p.argmax())], min(1.0, float(p.max()))
+
+            for i, text in enumerate(batch.column(at)):
+                if not asked[i]:
+                    continue
+                rows.append(i)
+                texts.append(str(text.as_py()).encode())
+                size += len(texts[-1])
+                if size >= BYTES_AT_ONCE:
+                    judge()
+                    rows, texts, size = [], [], 0
+            if rows:
+                judge()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *names])
         trim()
 
@@ -193,7 +202,7 @@ def identify(docs: DataFrame, model: Network | None, names: tuple[str, str] = ("
     if model is None:
         return docs.withColumn(names[0], F.lit("und")).withColumn(names[1], F.lit(0.0))
     text = F.col("text").cast("string")
-    scored = docs.withColumn(free_name("text_", docs.columns), F.when(text.rlike(r"\p{L}"), text.cast("binary")))
+    scored = docs.withColumn(free_name("letters_", docs.columns), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` string", f"`{names[1]}` double"])
     return scored.mapInArrow(run, schema)
 

@@ -62,7 +62,7 @@ PARTS, SPARE = 3, 1
 #: Common shingles that are sent to each task at most, counters of a task's summary, and rows from which a shingle is common.
 COMMON, COUNTERS, COMMON_ROWS = 1 << 20, 1 << 19, 64
 #: Shingles that a task adds to its summary at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 
 class PartEnum:
