@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -357,22 +356,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Further columns stay as they are; a null text stays null.
     """
+    rows, copied, found = _with_spans(docs)
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, copied: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for x, c, s in zip(text, copied, spans):
-            data = x.encode()
-            removed = merged(len(data), bool(c), None if s is None else list(s))
-            out.append(kept(data, removed).decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-2]
+            wholly, spans, text = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1), columns[at]
+            changed = {}
+            for i, (whole, cut) in enumerate(zip(wholly, spans)):
+                if text[i].is_valid and (whole or len(cut or ())):
+                    data = str(text[i].as_py()).encode()
+                    changed[i] = kept(data, merged(len(data), whole, cut.as_py())).decode("utf-8", "ignore")
+            if changed:
+                columns[at] = pa.array([changed[i] if i in changed else x.as_py() for i, x in enumerate(text)], text.type)
+                if chars is not None:
+                    columns[chars] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(columns[chars].to_pylist())], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        trim()
 
-    rows, copied, found = _with_spans(docs)
-    changed = F.coalesce(F.col(copied) | (F.size(found) > 0), F.lit(False))
-    rows = rows.withColumn("text", F.when(changed & F.col("text").isNotNull(), cut(F.coalesce(F.col("text").cast("string"), F.lit("")), copied, found)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), copied, found).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
