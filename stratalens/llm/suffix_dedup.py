@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             wholly, spans, text = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1), columns[at]
             changed = {}
             for i, (whole, cut) in enumerate(zip(wholly, spans)):
-                if text[i].is_valid and (whole or len(cut or ())):
+                if text[i].is_valid and (whole or cut.is_valid and len(cut)):
                     data = str(text[i].as_py()).encode()
                     changed[i] = kept(data, merged(len(data), whole, cut.as_py())).decode("utf-8", "ignore")
             if changed:
