@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, licenses, near_duplicates, packing, quality, quality_rules, suffix_dedup, url_filter
+from . import chat, decontamination, filter_audit, language, licenses, near_duplicates, packing, quality, quality_rules, suffix_dedup, url_filter
 from .common import table
 
 #: A conversation of control strings that every run of the chat query formats besides the table's.
@@ -55,13 +55,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_chat_formatting, op3_url_filter, op4_decontamination, op5_suffix_dedup, op6_quality_rules, op7_ngram_jaccard,
-        op8_packing, op9_quality_classifier, op10_license_scan,
+        op8_packing, op9_quality_classifier, op10_license_scan, op11_filter_audit,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.oracle(), "op10_license_scan": licenses.oracle()}
+    return {"op2_chat_formatting": chat.oracle(), "op10_license_scan": licenses.oracle(), "op11_filter_audit": filter_audit.oracle()}
