@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, filter_audit, language, licenses, near_duplicates, packing, quality, quality_rules, simhash, suffix_dedup, url_filter
+from . import chat, decontamination, filter_audit, language, licenses, near_duplicates, packing, prefix_trie, quality, quality_rules, simhash, suffix_dedup, url_filter
 from .common import table
 
 #: A conversation of control strings that every run of the chat query formats besides the table's.
@@ -59,6 +59,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,10 +70,12 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_chat_formatting, op3_url_filter, op4_decontamination, op5_suffix_dedup, op6_quality_rules, op7_ngram_jaccard,
-        op8_packing, op9_quality_classifier, op10_license_scan, op11_filter_audit, op13_simhash,
+        op8_packing, op9_quality_classifier, op10_license_scan, op11_filter_audit, op12_prefix_trie, op13_simhash,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.oracle(), "op10_license_scan": licenses.oracle(), "op11_filter_audit": filter_audit.oracle()}
+    return {
+        "op2_chat_formatting": chat.oracle(), "op10_license_scan": licenses.oracle(), "op11_filter_audit": filter_audit.oracle(), "op12_prefix_trie": prefix_trie.oracle(),
+    }
