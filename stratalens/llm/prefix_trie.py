@@ -127,8 +127,11 @@ def _paths(turns: DataFrame) -> tuple[DataFrame, int]:
     rows = written(rows, "rows", large=True)
     cuts, levels = _cut_names(rows)
     rows = rows.join(_small(cuts), ["conv_id", "row"], "left").withColumn("above", F.coalesce("name", F.lit(ROOT)))
+    rows = rows.join(_small(cuts.select("conv_id", (F.col("row") - 1).alias("row"), F.col("name").alias("below"))), ["conv_id", "row"], "left")
     chain = F.aggregate("turns", F.array("above"), lambda names, t: F.concat(names, F.array(_name(F.element_at(names, -1), t["token"]))))
-    paths = rows.select("conv_id", "length", "row", "above", F.slice(chain, 2, BASE).alias("names"), F.transform("turns", lambda t: t["bytes"]).alias("bytes"))
+    names = F.slice(chain, 2, BASE)
+    names = F.when(F.col("below").isNull(), names).otherwise(F.concat(F.slice(names, 1, BASE - 1), F.array("below")))  # the node at a cut has the cut's name
+    paths = rows.select("conv_id", "length", "row", "above", names.alias("names"), F.transform("turns", lambda t: t["bytes"]).alias("bytes"))
     return written(paths, "paths", large=True), levels
 
 
