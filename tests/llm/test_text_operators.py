@@ -57,7 +57,7 @@ def test_chat_ids_are_exact_beside_nulls(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_duckdb(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     theirs, ours = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, sf_dir)
     assert sorted(ours.columns) == sorted(theirs.columns)
