@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Files for each core of the cluster in a table between steps.
 FILES_A_CORE = 2
@@ -87,26 +88,35 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, *order: str) -> DataFrame:
-    """About ``rows`` rows, never more, spread by the hash of a key: the same rows for the same table.
+    """About ``rows`` rows, never more, spread by the hash of a key and of ``order``: the same rows for the same table.
 
-    Rows whose hash is out of reach go before the sort, so each task sends few to the driver at any size.
+    Rows whose hash is out of reach go before the sort, so each task sends few to the driver at any size, also where keys are null.
     """
     total = df.count()
-    place = F.xxhash64(F.col(key).cast("string"))
+    place = _place(key, *order)
     reach = min(1.0, 2 * (rows + 50) / max(1, total))
     near = df.filter(F.pmod(place, F.lit(1 << 20)) <= int(reach * (1 << 20))) if reach < 1 else df
     return near.orderBy(place, *order).limit(rows)
 
 
 def stratified_sample(df: DataFrame, by: str, key: str, rows: int, *order: str) -> DataFrame:
-    """At most ``rows`` rows, as many of each value of ``by`` as there are or as is its even share, in hash order of a key."""
-    counts = written(df.groupBy(by).agg(F.count("*").alias("rows_")), "strata")
+    """At most ``rows`` rows, as many of each value of ``by`` as there are or as is its even share, in hash order of a key and of ``order``.
+
+    Rows that are equal in these count once, so that a window holds a few times a share. If ``by`` has more than ``rows`` values, those whose
+    first row comes first have one row each. The sample reads a written table: collect it inside a ``scratch``.
+    """
+    placed = df.withColumn("place_", _place(key, *order))
+    counts = written(placed.select(by, "place_").distinct().groupBy(by).agg(F.count("*").alias("rows_")), "strata")
     strata = counts.count()
-    share, place = max(1, rows // max(1, strata)), F.xxhash64(F.col(key).cast("string"))
+    share = max(1, rows // max(1, strata))
     counts = counts.withColumn("reach_", F.least(F.lit(1.0), F.lit(2.0 * (share + 50)) / F.col("rows_")))
-    near = df.join(F.broadcast(counts) if strata <= 100_000 else counts, by).filter(F.pmod(place, F.lit(1 << 20)) <= F.col("reach_") * (1 << 20))
-    rank = F.row_number().over(W.partitionBy(by).orderBy(place, *order))
-    return near.withColumn("rank_", rank).filter(F.col("rank_") <= share).orderBy(place, *order).limit(rows).select(*df.columns)
+    near = placed.join(F.broadcast(counts) if strata <= 100_000 else counts, by).filter(F.pmod("place_", F.lit(1 << 20)) <= F.col("reach_") * (1 << 20)).dropDuplicates([by, "place_"])
+    rank = F.row_number().over(W.partitionBy(by).orderBy("place_", *order))
+    return near.withColumn("rank_", rank).filter(F.col("rank_") <= share).orderBy("place_", *order).limit(rows).select(*df.columns)
+
+
+def _place(*columns: str) -> Column:
+    return F.xxhash64(*(F.col(c).cast("string") for c in columns))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -128,6 +138,22 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL wants it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any names, which it can't name itself: inside they are numbered."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+
+    kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(numbered, kinds).toDF(*schema.names)
+
+
 def trim() -> None:
     """Give a Python worker's freed memory back, as the worker goes on to the next task."""
     pa.default_memory_pool().release_unused()

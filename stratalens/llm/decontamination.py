@@ -6,8 +6,11 @@ frequent). A passage with too few of an item's words to reach the threshold goes
 every other one is aligned with its item word by word, and the local alignment's score, as a share of a verbatim
 copy's, finds edited and paraphrased copies.
 
-The benchmark goes to the tasks in blocks of ``CHARS_A_PASS`` characters; a larger benchmark takes more passes, each
-written before the next one's block is sent.
+The benchmark's distinct texts go to the tasks in blocks of ``CHARS_A_PASS`` characters; a larger benchmark takes more passes, each
+written before the next one's block is sent. Items of one text meet its finds in a join.
+
+A passage is a union of whole stretches, and each stretch holds all that the alignment around one diagonal may use (the item's length
+and a quarter on both sides), so where a passage ends (at eight lengths of the item) no alignment within a stretch is cut.
 
 Defined cases: words are runs of letters, digits and underscores of the lower-cased text; a null or empty
 text has none; items without words match nothing; items shorter than the n-gram are one seed; repeated
@@ -23,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix64, trim, written
+from .common import discard, in_arrow, mix64, trim, written
 
 NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -32,6 +36,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Characters of items in one pass over the documents (more if one item is longer); their words and seeds are sent to each task.
 CHARS_A_PASS = 4_000_000
+#: Items up to which their ids are broadcast (40 bytes each); beyond it finds and ids are shuffled.
+BROADCAST_ROWS = 200_000
 #: Places of seeds in a text handled at once.
 PLACES = 1 << 18
 #: Cells of an alignment table handled at once.
@@ -43,9 +49,9 @@ _WORD = re.compile(r"\w+")
 class Index:
     """Words and seeds of a block of items: seeds sorted by hash, with their item and place there."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        texts = [_WORD.findall((t or "").lower()) for _, t in items]
+    def __init__(self, items: list[tuple[bytes, str]]):
+        self.keys = [key for key, _ in items]
+        texts = [_WORD.findall(t.lower()) for _, t in items]
         self.words = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}), 1)}
         self.items = [np.array([self.words[w] for w in t], np.int64) for t in texts]
         self.lengths = np.array([len(x) for x in self.items], np.int64)
@@ -158,19 +164,36 @@ def _found(index: Index, texts: list[str | None]) -> list[tuple[int, int, float]
     return [(row, k, share) for (row, k), share in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple]:
-    """Broadcast indexes of the benchmark's blocks, and whether there is only one."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    blocks = max(1, -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // CHARS_A_PASS))
-    for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # a block's items
-        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine])), blocks == 1
+def _texts(benchmark: DataFrame) -> DataFrame:
+    """(text_key, item_id, text) of the items with a text."""
+    text = F.col("text").cast("string")
+    return benchmark.select(F.unhex(F.sha2(text, 256)).alias("text_key"), F.col("item_id").cast("long").alias("item_id"), text.alias("text")).filter("text is not null")
+
+
+def _blocks(items: DataFrame) -> Iterator[tuple]:
+    """Broadcast indexes of blocks of distinct texts, and whether there is only one.
+
+    Texts are dealt to buckets by hash, many for each block, and buckets go to blocks in order until one is full.
+    """
+    spark = items.sparkSession
+    texts = items.groupBy("text_key").agg(F.first("text").alias("text"))
+    chars = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
+    bucket = F.pmod(F.xxhash64("text_key"), F.lit(64 * max(1, -(-chars // CHARS_A_PASS))))
+    blocks, full = [[]], 0
+    for nth, size in sorted(texts.groupBy(bucket.alias("bucket")).agg(F.sum(F.length("text")).alias("chars")).collect()):  # 64 rows a pass
+        if full and full + size > CHARS_A_PASS:
+            blocks, full = [*blocks, []], 0
+        blocks[-1].append(nth)
+        full += size
+    for mine in filter(None, blocks):
+        rows = texts.filter(bucket.between(mine[0], mine[-1])).orderBy("text_key").collect()  # a block's texts
+        yield spark.sparkContext.broadcast(Index([(bytes(r["text_key"]), r["text"]) for r in rows])), len(blocks) == 1
 
 
 def copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score) of each document that holds a copy of an item; score is 1 for a verbatim one."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", id_kind), T.StructField("text_key", T.BinaryType()), T.StructField("score", T.DoubleType())])
 
     def of(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,24 +202,26 @@ def copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = _found(index, batch.column(1).to_pylist())
                 rows, items, scores = zip(*found) if found else ((), (), ())
                 ids = batch.column(0).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for k in items], pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([index.keys[k] for k in items], pa.binary()), pa.array(scores, pa.float64())], names=["doc_id", "text_key", "score"])
             trim()
 
-        return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, item_id long, score double")
+        return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
-    out = None
-    for shared, only in _blocks(benchmark):
+    items = _texts(benchmark)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared, only in _blocks(items):
         found = of(shared)
         if not only:
             found = written(found, "copies")
             shared.unpersist()
-        out = found if out is None else out.union(found)
-    return out
+        out = found if only else out.union(found)
+    named = items.select("text_key", "item_id")
+    named = F.broadcast(named) if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else named
+    return out.join(named, "text_key").select("doc_id", "item_id", "score")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a copy of a benchmark item."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index("text")
 
     def of(rows: DataFrame, shared) -> DataFrame:
@@ -208,11 +233,15 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(stays))
             trim()
 
-        return rows.mapInArrow(run, schema)
+        return in_arrow(rows, run, docs.schema)
 
-    for shared, only in _blocks(benchmark):
+    last = None
+    for shared, only in _blocks(_texts(benchmark)):
         docs = of(docs, shared)
-        if not only:
+        if not only:  # a pass's table goes as the next one stands
             docs = written(docs, "clean", large=True)
             shared.unpersist()
+            if last is not None:
+                discard(last)
+            last = docs
     return docs

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, held_out, stratified_sample, trim
+from .common import free_name, held_out, in_arrow, quoted, scratch, stratified_sample, trim
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -164,7 +165,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
     """Learn from at most ``rows`` labelled rows that aren't held out, an even share for each language, in hash order."""
     text = F.col("text").cast("string")
     labelled = docs.filter(F.col("lang").isNotNull() & text.rlike(r"\p{L}") & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), spread(text).alias("text"))
-    sample = stratified_sample(labelled, "lang", "doc_id", rows, "text").select("lang", "text").collect()
+    with scratch():
+        sample = stratified_sample(labelled, "lang", "doc_id", rows, "text").select("lang", "text").collect()
     return fit([bytes(r["text"]) for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
@@ -203,8 +205,7 @@ def identify(docs: DataFrame, model: Network | None, names: tuple[str, str] = ("
         return docs.withColumn(names[0], F.lit("und")).withColumn(names[1], F.lit(0.0))
     text = F.col("text").cast("string")
     scored = docs.withColumn(free_name("letters_", docs.columns), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` string", f"`{names[1]}` double"])
-    return scored.mapInArrow(run, schema)
+    return in_arrow(scored, run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
@@ -214,7 +215,13 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows in which no language is recognised, under their own columns."""
+    """``docs`` without the rows in which no language is recognised, under their own columns.
+
+    Where no row has a language to learn from, none can be told: all rows stay.
+    """
     lang, score = (free_name(x, docs.columns) for x in ("lang_pred", "lang_score"))
-    out = identify(docs, train(docs), (lang, score))
-    return out.filter((F.col(lang) != "und") & (F.col(score) >= ACCEPT)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    model = train(docs)
+    if model is None:
+        return docs
+    out = identify(docs, model, (lang, score))
+    return out.filter((F.col(lang) != "und") & (F.col(score) >= ACCEPT)).select(*(F.col(quoted(c)) for c in docs.columns))

@@ -128,11 +128,11 @@ class PartEnum:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def set_keys(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits for equal sets: the key that routes a set, and a second one."""
+def set_keys(shingles: np.ndarray, others: np.ndarray) -> tuple[int, int]:
+    """128 bits for equal sets: the key that routes a set, and a second one of the shingles' other hashes."""
     n = np.uint64(len(shingles))
     first = mix64(shingles).sum(dtype=np.uint64) + n
-    second = mix64(shingles ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) - n
+    second = mix64(others).sum(dtype=np.uint64) - n
     return tuple(mix64(np.array([first, second], np.uint64)).view(np.int64).tolist())
 
 
@@ -251,8 +251,8 @@ def _signed(docs: DataFrame, common) -> DataFrame:
         for batch in batches:
             k1, k2, sizes = (np.zeros(len(batch), t) for t in (np.int64, np.int64, np.int32))
             for i, text in enumerate(batch.column(2)):
-                shingles = shingler.of(text.as_py())
-                k1[i], k2[i] = key = set_keys(shingles)
+                shingles, others = shingler.both(text.as_py())
+                k1[i], k2[i] = key = set_keys(shingles, others)
                 sizes[i] = len(shingles)
                 if not len(shingles) or key in seen:
                     continue
@@ -319,8 +319,8 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             for text, key, k2, one in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 if one in done:
                     continue
-                shingles = shingler.of(text.as_py())
-                if set_keys(shingles) != (key, k2):  # another text of the same hash
+                shingles, others = shingler.both(text.as_py())
+                if set_keys(shingles, others) != (key, k2):  # another text of the same hash
                     continue
                 if len(done) >= SEEN:
                     done.clear()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, discard, scratch, written
+from .common import SPACES, discard, quoted, scratch, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -52,7 +52,7 @@ BINS, FINE = 16, 16
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and without its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rest = [F.col(quoted(c)) for c in docs.columns if c != "text"]
     rows = docs.select(
         *rest,
         F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"),

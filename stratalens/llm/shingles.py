@@ -1,7 +1,8 @@
 """Word shingles of whole texts as sorted 64-bit hashes.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, as bytes of UTF-8. A text of fewer words than a
-shingle has one shingle, all its words; a null text or one without words has none.
+Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, as bytes of UTF-8; each is hashed to 128 bits by XXH3, whatever
+its length. Shingles are made of the first 64 bits, and a second hash of each of the others. A text of fewer words than
+a shingle has one shingle, all its words; a null text or one without words has none.
 """
 
 from __future__ import annotations
@@ -9,46 +10,47 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import SPACES, mix64
+from .common import mix64
 
 WORDS = 5
-_BASE = 0x9E3779B97F4A7C15
-_LOWER = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
-_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class Shingler:
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.powers = np.array([pow(_BASE, words - 1 - i, 1 << 64) for i in range(words)], np.uint64)
-        self.places = np.ones(1, np.uint64)
+        self.powers = [np.array([pow(base, words - 1 - i, 1 << 64) for i in range(words)], np.uint64) for base in (_BASE, _OTHER)]
 
     def word_hashes(self, text: bytes) -> np.ndarray:
-        """A polynomial in each word's bytes, mixed."""
-        data = np.frombuffer(text, np.uint8)
-        edge = np.diff(_SPACE[data], prepend=True, append=True)
-        begin, end = np.flatnonzero(edge)[::2], np.flatnonzero(edge)[1::2]
-        if not len(begin):
-            return np.zeros(0, np.uint64)
-        size = end - begin
-        longest = int(size.max())
-        if longest > len(self.places):
-            self.places = np.cumprod(np.full(longest, _BASE, np.uint64))
-        first = np.cumsum(size) - size
-        nth = np.arange(int(size.sum())) - np.repeat(first, size)
-        sums = np.add.reduceat(_LOWER[data[nth + np.repeat(begin, size)]] * self.places[nth], first)
-        return mix64(sums + size.astype(np.uint64))
+        """Two hashes of each word."""
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, text.lower().split())), "<u8").reshape(-1, 2)  # bytes: ASCII letters and spaces
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Sorted distinct hashes of the text's shingles."""
-        words = self.word_hashes(text or b"")
+    def _sums(self, words: np.ndarray, k: int) -> np.ndarray:
+        """The k-th hash of each shingle, in order."""
+        words, powers = np.ascontiguousarray(words[:, k]), self.powers[k]
         n, size = len(words), self.words
-        if not n:
-            return words
         if n < size:  # the count keeps a short sequence apart from longer ones
-            return mix64(np.array([(words * self.powers[-n:]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
-        sums = words[: n - size + 1] * self.powers[0]
+            return mix64(np.array([(words * powers[size - n :]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
+        sums = words[: n - size + 1] * powers[0]
         for i in range(1, size):
-            sums += words[i : n - size + 1 + i] * self.powers[i]
-        sums = np.sort(mix64(sums))
+            sums += words[i : n - size + 1 + i] * powers[i]
+        return mix64(sums)
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Sorted distinct hashes of the text's shingles."""
+        words = self.word_hashes(text or b"")
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        sums = np.sort(self._sums(words, 0))
         return sums[np.r_[True, sums[1:] != sums[:-1]]]
+
+    def both(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and the second hash of each."""
+        words = self.word_hashes(text or b"")
+        if not len(words):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        sums = self._sums(words, 0)
+        order = np.argsort(sums)
+        sums = sums[order]
+        first = np.r_[True, sums[1:] != sums[:-1]]
+        return sums[first], self._sums(words, 1)[order[first]]

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import discard, free_name, scratch, trim, written
+from .common import discard, free_name, in_arrow, quoted, scratch, trim, written
 from .windows import GRAM, LENGTH
 
 BLOCK = 16
@@ -376,8 +376,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
         trim()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), copied, found).mapInArrow(run, schema)
+    return in_arrow(rows.select(*(F.col(quoted(c)) for c in docs.columns), copied, found), run, docs.schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Language ID, the quality field, decontamination and the pipeline: held-out accuracy and plain versions."""
 
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalens.llm import decontamination, language, quality
+from stratalens.llm import common, decontamination, language, quality
 from stratalens.llm.common import bounded_sample, stratified_sample
 
 from .brute import near_duplicates, repeats, smith_waterman
@@ -301,3 +303,47 @@ def test_stages_with_any_columns_and_null_ids(spark, sf_dir):
         assert (got == left) if name != "language_id" else ({x for _, x in got} == set(texts))
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_samples_reach_few_rows_without_ids(spark):
+    """Null ids: the sample is as bounded as with ids, in rows and in what a window gets."""
+    rows = [(None, "en" if k % 3 else "de", f"text {k}") for k in range(3000)] + [(None, "en", "again")] * 3000
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    with common.scratch():
+        got = stratified_sample(frame, "lang", "doc_id", 100, "text")
+        assert Counter(r["lang"] for r in got.collect()) == {"en": 50, "de": 50}
+    reach = common._place("doc_id", "text")
+    assert frame.select(reach.alias("p")).distinct().count() == 3001
+    assert bounded_sample(frame, "doc_id", 100, "text").count() == 100
+
+
+def test_equal_items_take_one_pass(spark, monkeypatch):
+    """Many items of one text are one entry of one block, and all of them come out."""
+    monkeypatch.setattr(decontamination, "CHARS_A_PASS", 1000)
+    items = spark.createDataFrame([(k, "alpha beta gamma de") for k in range(5000)], "item_id long, text string")
+    assert [len(shared.value.items) for shared, _ in decontamination._blocks(decontamination._texts(items))] == [1]
+    docs = spark.createDataFrame([(1, "x alpha beta gamma de y"), (2, "alpha alpha")], "doc_id long, text string")
+    found = decontamination.copies(docs, items).collect()
+    assert len(found) == 5000 and {r["doc_id"] for r in found} == {1} and {r["item_id"] for r in found} == set(range(5000))
+    many = spark.createDataFrame([(k, f"word{k} other{k} third{k}") for k in range(200)], "item_id long, text string")
+    sizes = [sum(len(t) for t in shared.value.items) for shared, _ in decontamination._blocks(decontamination._texts(many))]
+    assert sum(sizes) == 600 and 4 <= len(sizes) <= 8
+
+
+def test_unlabelled_corpus_passes_the_language_stage(spark):
+    docs = spark.createDataFrame([(k, f"words of text {k}", None) for k in range(20)], "doc_id long, text string, lang string")
+    assert language.recognised(docs).count() == 20
+
+
+def test_odd_column_names_pass_the_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).withColumn("a`b c", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert "a`b c" in docs.columns and docs.count() > 0, name
+
+
+def test_a_run_leaves_its_result_only(spark, sf_dir):
+    place = Path(common.shared_dir(spark).removeprefix("file:")) / "stratalens"
+    before = {p.name for p in place.iterdir()} if place.exists() else set()
+    corpus_pipeline.run(spark, sf_dir)
+    assert [p.name.rsplit("-", 1)[0] for p in place.iterdir() if p.name not in before] == ["pipeline-4-sequences"]

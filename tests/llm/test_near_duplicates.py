@@ -123,3 +123,23 @@ def test_equal_routing_keys_of_different_sets(spark, monkeypatch):
     monkeypatch.setattr(nd, "_shared", one_key)
     got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_words_that_collide_under_any_base_are_two(spark):
+    """Words of 1,024 letters that every polynomial modulo a power of two confuses."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    hashes = Shingler().word_hashes(f"{one} {two}".encode())
+    assert len({tuple(h) for h in hashes.tolist()}) == 2
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame([(1, f"x y {one} z w"), (2, f"x y {two} z w")], SCHEMA)).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_second_keys_are_of_other_hashes():
+    """Equal first hashes of different texts still give two keys."""
+    import numpy as np
+
+    shingler = Shingler()
+    (a, x), (b, y) = (shingler.both(t.encode()) for t in ("a b c d e f", "a b c d e g"))
+    assert np.array_equal(shingler.of(b"a b c d e f"), a) and len(x) == len(a)
+    assert nd.set_keys(a, x)[1] != nd.set_keys(a, y)[1] and nd.set_keys(a, x)[0] == nd.set_keys(a, y)[0]
