@@ -6,13 +6,11 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import decontamination, language, near_duplicates, packing, suffix_dedup
-from stratalens.llm.common import free_name, shared_dir, table
+from stratalens.llm.common import discard, free_name, scratch, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
-    docs, place = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/stratalens/pipeline-{uuid.uuid4().hex}"
+    """Apply all stages to ``documents``. What a stage writes and reads goes as its result stands."""
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{place}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{place}/{k}-{name}")
+        with scratch() as kept:
+            out = written(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}", large=True)
+            kept.append(out)
+        if k:
+            discard(docs)
+        docs = out
     return docs
