@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions.names import histogram_bins
+from . import wide
 from .trajectory import band
 
 MISSING = "<NA>"
@@ -47,21 +48,17 @@ class Explorer:
         """(metric, outcome_1, outcome_0) with the count and the means as rows."""
         y = F.col(outcome)
         of = lambda k: [F.count_if(y == k).cast("double").alias(f"count_{k}"), *(F.avg(F.when(y == k, E.plain(F.col(c)))).alias(f"{c}_{k}") for c in means)]
-        wide = self.df.agg(*of(1), *of(0))
+        one = self.df.agg(*of(1), *of(0))
         rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_1").alias("outcome_1"), F.col(f"{m}_0").alias("outcome_0")) for m in ("count", *means))))
-        return wide.select(rows.alias("r")).select("r.*")
+        return one.select(rows.alias("r")).select("r.*")
 
     def correlations(self, columns: Sequence[str]) -> DataFrame:
         """(col1, col2, corr), pairwise complete; null where a column is constant."""
-        x = {c: E.plain(F.col(c)) for c in columns}
+        return wide.correlations(self.df, columns)
 
-        def corr(a: str, b: str):
-            return F.try_divide(F.regr_sxy(x[b], x[a]), F.sqrt(F.regr_sxx(x[b], x[a]) * F.regr_syy(x[b], x[a])))
-
-        pairs = [(a, b) for a in columns for b in columns]
-        wide = self.df.agg(*(corr(*sorted(p)).alias(f"c{i}") for i, p in enumerate(pairs)))
-        rows = F.explode(F.array(*(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs))))
-        return wide.select(rows.alias("r")).select("r.*")
+    def scatter(self, x: str, y: str, key: str, k: int, by: str | None = None) -> DataFrame:
+        """At most ``k`` points (for each level of ``by``), the same ones on every run."""
+        return wide.scatter(self.df, x, y, key, k, by)
 
     def levels(self, column: str, k: int) -> DataFrame:
         """(level, n) of the k most frequent levels, a missing one among them."""
@@ -91,13 +88,7 @@ class Explorer:
 
     def histogram_by_outcome(self, column: str, outcome: str, bins: int | None = None) -> DataFrame:
         """Histograms of all rows and of each outcome, with edges of their own; a missing outcome counts as 0."""
-        y = F.coalesce(F.col(outcome), F.lit(0.0))
-        parts = [("all", self.df), ("1", self.df.filter(y == 1)), ("0", self.df.filter(y == 0))]
-        out = None
-        for name, rows in parts:
-            part = Explorer(rows).histogram(column, bins).withColumn("part", F.lit(name))
-            out = part if out is None else out.unionByName(part)
-        return out
+        return wide.histograms(self.df, [column], outcome, bins).drop("feature")
 
     def binned(self, x: str, y: str, ends: Sequence[float] = GRADE_ENDS, low: float = 0.0) -> DataFrame:
         """Band of y in fixed bins ``(low, ends[0]], ..`` of x; empty bins count 0."""
@@ -118,12 +109,12 @@ class Explorer:
             ever = mean(f"{c}_ever_passed") if f"{c}_ever_passed" in have else none if label is None else F.avg(E.flag(label.contains("Pass")))
             tries = mean(f"{c}_total_attempts") if f"{c}_total_attempts" in have else none
             out.append((c, first, ever, tries))
-        wide = self.df.agg(*(F.struct(F.lit(c.upper()).alias("course"), F.first(F.lit(1)).alias("_"), a.alias("pass_1st"), b.alias("ever_pass"), d.alias("mean_attempts")).alias(c) for c, a, b, d in out))
-        return wide.select(F.explode(F.array(*(F.col(c) for c, *_ in out))).alias("r")).select("r.course", "r.pass_1st", "r.ever_pass", "r.mean_attempts")
+        one = self.df.agg(*(F.struct(F.lit(c.upper()).alias("course"), F.first(F.lit(1)).alias("_"), a.alias("pass_1st"), b.alias("ever_pass"), d.alias("mean_attempts")).alias(c) for c, a, b, d in out))
+        return one.select(F.explode(F.array(*(F.col(c) for c, *_ in out))).alias("r")).select("r.course", "r.pass_1st", "r.ever_pass", "r.mean_attempts")
 
     def distinct_counts(self, columns: Sequence[str]) -> DataFrame:
-        """(column, distinct, rows): exact numbers of values, without missing ones."""
-        return self._by_column(columns, lambda c: F.count_distinct(c), "distinct")
+        """(column, distinct, rows): exact numbers of values, without missing ones; computed at once."""
+        return self.df.sparkSession.createDataFrame(wide.level_numbers(self.df, columns), "column string, distinct long, rows long")
 
     def non_null_counts(self, columns: Sequence[str]) -> DataFrame:
         """(column, non_null, rows, all_null) of each column."""
@@ -131,9 +122,9 @@ class Explorer:
 
     def _by_column(self, columns: Sequence[str], of: Callable[[Column], Column], name: str) -> DataFrame:
         """One aggregation of all columns, turned into a row for each."""
-        wide = self.df.agg(F.count("*").alias("rows"), *(of(E.plain(F.col(f"`{c}`")) if dict(self.df.dtypes)[c] == "double" else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)))
+        one = self.df.agg(F.count("*").alias("rows"), *(of(E.plain(F.col(f"`{c}`")) if dict(self.df.dtypes)[c] == "double" else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)))
         each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias(name)) for i, c in enumerate(columns))))
-        return wide.select(each.alias("r"), "rows").select("r.column", f"r.{name}", "rows")
+        return one.select(each.alias("r"), "rows").select("r.column", f"r.{name}", "rows")
 
     def types(self) -> DataFrame:
         """(column, dtype, missing_pct) by name."""

@@ -74,12 +74,27 @@ def rollups(df: DataFrame, courses: Sequence[str] = COURSES) -> DataFrame:
     )
 
 
-def info_features(df: DataFrame) -> DataFrame:
-    """The kept columns, typed, with gaps, rates, flags and missingness indicators."""
+def with_features(df: DataFrame, rule: str = "substring") -> DataFrame:
+    """``df`` with the features of its own rows, one projection; where names meet, ``df``'s columns stay, then the courses' features.
+
+    No key is needed, so rows without an identifier have theirs too.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    courses = course_features(df.select(row, "*"), ["_row"], rule=rule)
+    new = [c for c in courses.columns if c != "_row"]
+    both = info_features(courses.select("_row", F.struct(*new).alias("_courses"), "_row.*"), ["_row", "_courses"])
+    out = {c: F.col(f"_row.`{c}`") for c in df.columns}
+    out |= {c: F.col(f"_courses.`{c}`") for c in new if c not in out}
+    out |= {c: F.col(f"`{c}`") for c in both.columns if c not in out and c not in ("_row", "_courses")}
+    return both.select(*(x.alias(c) for c, x in out.items()))
+
+
+def info_features(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The kept columns, typed, with gaps, rates, flags and missingness indicators (and ``keys`` as they are)."""
     found = {k: resolve_col(df.columns, *spellings) for k, spellings in ALIASES.items()}
     optional = [c for c in dict.fromkeys(found.values()) if c and c not in KEPT]
     numeric = {*NUMERIC, *(c for c in found.values() if c)}
-    base = df.select(*((E.number(F.col(f"`{c}`")).alias(c) if c in numeric else F.col(f"`{c}`")) for c in (*KEPT, *optional) if c in df.columns))
+    base = df.select(*keys, *((E.number(F.col(f"`{c}`")).alias(c) if c in numeric else F.col(f"`{c}`")) for c in (*KEPT, *optional) if c in df.columns))
     x = lambda c: column_or_null(base, c, "double")
     forgiven = "total_grade_forgiveness_credits_approved_before_etm_to_any_campus"
     terms, warnings = x(found["enrolled"]), found["warnings"]

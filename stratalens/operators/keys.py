@@ -13,10 +13,14 @@ BROADCAST_ROWS = 200_000
 
 
 def keep_first(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each key in the given order; rows without a key all stay."""
-    first = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    with_key = df.filter(F.col(key).isNotNull()).withColumn("_nth", first).filter("_nth = 1").drop("_nth")
-    return with_key.unionByName(df.filter(F.col(key).isNull()))
+    """The first row of each key in the given order (nulls first); rows without a key all stay.
+
+    A partial aggregation: each task sends one row for each key, however often it occurs. ``order`` may be columns that aren't in ``df``, as ``sources.order.file_order()``.
+    """
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())  # a number for each row without a key
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    ranked = df.select(F.col(key).alias("_key"), alone.alias("_alone"), F.struct(*order).alias("_order"), row.alias("_row"))
+    return ranked.groupBy("_key", "_alone").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def first_rows(df: DataFrame, key: str, order: Sequence[str | Column], k: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Outcome scans: effect sizes, risk ratios, quantile buckets and slice stability.
 
-Each scan is one plan: features are unpivoted to (feature, value) rows and aggregated by feature, with
-partial aggregation before the shuffle; nothing loops over features or levels.
+Each scan is one plan: moments of numeric features are one aggregation with a slot for each (``wide``); levels are unpivoted
+to (feature, level) rows and aggregated, with partial aggregation before the shuffle; nothing loops over features or levels.
 """
 
 from __future__ import annotations
@@ -13,23 +13,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from . import wide
 from .quantiles import quantiles
+from .wide import outcome_moments
 
 MIN_N, MAX_LEVELS, QUANTILES = 25, 60, (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def unpivot_numeric(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
     """(keep.., feature, value) with values as doubles and without missing ones."""
-    wide = df.select(*keep, *(E.plain(F.col(f"`{c}`")).alias(c) for c in features))
-    ids = [c for c in wide.columns if c not in features]
-    return wide.unpivot(ids, list(features), "feature", "value").filter(F.col("value").isNotNull())
+    rows = df.select(*keep, *(E.plain(F.col(f"`{c}`")).alias(c) for c in features))
+    ids = [c for c in rows.columns if c not in features]
+    return rows.unpivot(ids, list(features), "feature", "value").filter(F.col("value").isNotNull())
 
 
 def unpivot_text(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
     """(keep.., feature, level) with levels as strings and without missing ones."""
-    wide = df.select(*keep, *(F.col(f"`{c}`").cast("string").alias(c) for c in features))
-    ids = [c for c in wide.columns if c not in features]
-    return wide.unpivot(ids, list(features), "feature", "level").filter(F.col("level").isNotNull())
+    rows = df.select(*keep, *(F.col(f"`{c}`").cast("string").alias(c) for c in features))
+    ids = [c for c in rows.columns if c not in features]
+    return rows.unpivot(ids, list(features), "feature", "level").filter(F.col("level").isNotNull())
 
 
 def _moments(y: str = "y", value: str = "value") -> list[Column]:
@@ -42,7 +44,7 @@ def _moments(y: str = "y", value: str = "value") -> list[Column]:
 
 def effect_sizes(df: DataFrame, outcome: str, features: Sequence[str], min_n: int = MIN_N) -> DataFrame:
     """Cohen's d of each numeric feature between outcomes 1 and 0, by |d| * sqrt(n)."""
-    m = unpivot_numeric(df, features, [F.col(outcome).alias("y")]).groupBy("feature").agg(*_moments())
+    m = outcome_moments(df, outcome, features)
     c = {k: F.col(k) for k in ("m1", "m0", "v1", "v0", "n1", "n0")}
     d = m.filter((c["n1"] >= min_n) & (c["n0"] >= min_n)).withColumn("cohens_d", E.pooled_d(**c)).filter("cohens_d is not null")
     d = d.withColumn("abs_d", F.abs("cohens_d")).withColumn("score", F.col("abs_d") * F.sqrt(c["n1"] + c["n0"]))
@@ -52,7 +54,7 @@ def effect_sizes(df: DataFrame, outcome: str, features: Sequence[str], min_n: in
 
 def standardised_gaps(df: DataFrame, outcome: str, features: Sequence[str], min_n: int = 20, top: int = 12) -> DataFrame:
     """Mean gaps over the root mean of both variances, which group sizes don't weight."""
-    m = unpivot_numeric(df, features, [F.col(outcome).alias("y")]).groupBy("feature").agg(*_moments()).filter((F.col("n1") >= min_n) & (F.col("n0") >= min_n))
+    m = outcome_moments(df, outcome, features).filter((F.col("n1") >= min_n) & (F.col("n0") >= min_n))
     gap = (F.col("m1") - F.col("m0")) / F.nullif(F.sqrt((F.col("v1") + F.col("v0")) / 2), F.lit(0.0))
     out = m.select("feature", gap.alias("std_gap"), F.col("m1").alias("mean_graduated"), F.col("m0").alias("mean_not"))
     return out.orderBy(F.abs("std_gap").desc_nulls_last(), "feature").limit(top)
@@ -63,18 +65,22 @@ def level_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return unpivot_text(df, features).groupBy("feature", "level").agg(F.count("*").alias("n")).orderBy("feature", F.desc("n"), "level")
 
 
+def level_rates(df: DataFrame, outcome: str, features: Sequence[str], k: int) -> DataFrame:
+    """(feature, level, n, rate): the k most frequent levels of each feature (ties to the smaller one) and their mean outcome, in one plan."""
+    t = unpivot_text(df, features, [F.col(outcome).alias("y")]).groupBy("feature", "level").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
+    nth = F.row_number().over(W.partitionBy("feature").orderBy(F.desc("n"), "level"))  # a row for each level
+    return t.withColumn("_nth", nth).filter(F.col("_nth") <= k).drop("_nth")
+
+
 def screened_categories(df: DataFrame, features: Sequence[str], max_levels: int = MAX_LEVELS) -> list[str]:
-    """Of the features, those that aren't identifiers and have at most ``max_levels`` levels; one aggregate job."""
+    """Of the features, those that aren't identifiers and have at most ``max_levels`` levels; one pass that holds no more levels than that."""
     named = [c for c in features if "id" not in c.lower()]
-    counts = {r["feature"]: r for r in level_numbers(df, named).collect()} if named else {}  # a row for each feature
-    return [c for c in named if counts[c]["levels"] <= max(200, 0.5 * counts[c]["rows"]) and counts[c]["levels"] <= max_levels]
+    return [c for c, levels, rows in wide.level_numbers(df, named, max_levels) if levels is not None and levels <= max(200, 0.5 * rows)]
 
 
 def level_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, levels, rows): exact numbers of levels, in one aggregation."""
-    wide = df.agg(F.count("*").alias("rows"), *(F.count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(features)))
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("levels")) for i, c in enumerate(features))))
-    return wide.select(each.alias("r"), "rows").select("r.feature", "r.levels", "rows")
+    """(feature, levels, rows): exact numbers of levels, computed at once (``wide.level_numbers``)."""
+    return df.sparkSession.createDataFrame(wide.level_numbers(df, features), "feature string, levels long, rows long")
 
 
 def risk_ratios(df: DataFrame, outcome: str, features: Sequence[str], min_level_n: int = MIN_N) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as E
-from ..operators import features, guard, keys, scan, synth, trajectory
+from ..operators import features, guard, keys, scan, synth, trajectory, wide
 from ..operators.explore import GRADE_ENDS, Explorer
+from ..sources.order import file_order, with_row_numbers
 from . import bindings as B
+from . import study
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -508,3 +510,75 @@ def information(spark, sf_dir):
 def sanitized(spark, sf_dir):
     o = B.orders(spark, sf_dir).select("y", "o_totalprice", "sum_qty", "o_orderpriority", F.col("y").alias("copy"), F.when(F.col("o_orderkey") % 3 == 0, F.col("n_lines")).alias("sparse"), F.col("n_lines").alias("degree_lines"))
     return guard.sanitize(o, "y")[0]
+
+
+# -- many columns at once --------------------------------------------------------------------------------------
+
+#: More features than one native aggregation takes: remainders of the orders' numbers.
+_MANY = {f"{c}_mod_{k}": (c, k) for c in B.NUMERIC for k in range(2, 12)}
+_MANY_SQL = "long AS (" + " UNION ALL ".join(f"SELECT '{name}' AS feature, floor({c} * 100) % {k} AS value, y FROM b WHERE {c} IS NOT NULL" for name, (c, k) in _MANY.items()) + ")"
+
+
+def _many(spark, sf_dir):
+    return B.orders(spark, sf_dir).select("y", *((F.floor(F.col(c) * 100) % k).alias(name) for name, (c, k) in _MANY.items()))
+
+
+@query("a5_effect_sizes_of_many", f"WITH {B.ORDERS}, {_MANY_SQL}, {_MOMENTS}, d AS (SELECT *, (m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0) AS d FROM g WHERE n1 >= 25 AND n0 >= 25) SELECT feature, round(d, 6) AS cohens_d, n1, n0 FROM d WHERE d IS NOT NULL")
+def effect_sizes_of_many(spark, sf_dir):
+    return rounded(scan.effect_sizes(_many(spark, sf_dir), "y", list(_MANY)).select("feature", "cohens_d", "n1", "n0"))
+
+
+_PAIRS = ["o_totalprice", "sum_qty", "avg_discount", "avg_tax", "n_lines", "odd_lines", "nothing", "same"]
+
+
+@query("a20_correlations_pairwise", f"WITH {B.ORDERS}, w AS (SELECT *, CASE WHEN n_lines % 2 = 1 THEN n_lines END AS odd_lines, CAST(NULL AS DOUBLE) AS nothing, 5.0 AS same FROM b) " + " UNION ALL ".join(f"SELECT '{a}' AS col1, '{c}' AS col2, round(CASE WHEN isnan(corr({a}, {c})) THEN NULL ELSE corr({a}, {c}) END, 6) AS corr FROM w" for a in _PAIRS for c in _PAIRS))
+def correlations_pairwise(spark, sf_dir):
+    odd = F.when(F.col("n_lines") % 2 == 1, F.col("n_lines"))
+    rows = B.orders(spark, sf_dir).withColumns({"odd_lines": odd, "nothing": F.lit(None).cast("double"), "same": F.lit(5.0)})
+    return rounded(Explorer(rows).correlations(_PAIRS))
+
+
+_SHOWN = ["o_totalprice", "sum_qty", "avg_discount"]
+
+
+@query("v2_histograms_of_features", f"WITH {B.ORDERS} " + " UNION ALL ".join(f"SELECT *, '{c}' AS feature, '{p}' AS part FROM (WITH f AS (SELECT {c} FROM b WHERE {w}), {_hist('f', c, f'greatest(10, least(60, floor(sqrt(count({c})))))')})" for c in _SHOWN for p, w in (("all", "true"), ("1", "y = 1"), ("0", "y = 0"))))
+def histograms_of_features(spark, sf_dir):
+    return rounded(wide.histograms(B.orders(spark, sf_dir), _SHOWN, "y"))
+
+
+@query("v4_level_rates_of_features", f"WITH {B.ORDERS}, {B.LEVELS} SELECT feature, level, n, rate FROM (SELECT feature, level, count(*) AS n, round(avg(y), 6) AS rate, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, level) AS r FROM lev GROUP BY 1, 2) WHERE r <= 10")
+def level_rates_of_features(spark, sf_dir):
+    return rounded(scan.level_rates(B.orders(spark, sf_dir), "y", B.TEXT, 10))
+
+
+@query("v7_scatter", f"WITH {B.ORDERS} SELECT o_orderkey, sum_qty, o_totalprice, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), sum_qty, o_totalprice) AS r FROM b WHERE sum_qty IS NOT NULL AND o_totalprice IS NOT NULL) WHERE r <= 25")
+def scatter(spark, sf_dir):
+    return Explorer(B.orders(spark, sf_dir)).scatter("sum_qty", "o_totalprice", "o_orderkey", 25, "o_orderpriority")
+
+
+# -- whole builds and file order -------------------------------------------------------------------------------
+
+
+@query("w1_file_order", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY place) AS r FROM (SELECT *, row_number() OVER () AS place FROM lineitem)) WHERE r = 1")
+def first_in_files(spark, sf_dir):
+    return keys.keep_first(B.read(spark, sf_dir, "lineitem"), "l_suppkey", [file_order()]).select("l_orderkey", "l_partkey", "l_linenumber")
+
+
+@query("w1_row_numbers", "SELECT event_id, row_number() OVER () - 1 AS place FROM events")
+def numbers_in_files(spark, sf_dir):
+    return with_row_numbers(B.read(spark, sf_dir, "events"), "place").select("event_id", "place")
+
+
+@query("j2_build_features", f"""WITH {B.MEANING}, s AS (SELECT o_orderkey, round(o_totalprice / 100000, 2) AS g, (o_orderkey % 7) / 2.0::DOUBLE AS c, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE o_orderkey % 6 END AS t, o_orderkey % 6 AS st FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'S' || (10000000 + o_orderkey) END AS random_id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(10000000 + o_orderkey AS VARCHAR) END AS merge_id, round(g - c, 6) AS cgpa_gap, CASE WHEN st IN (0, 1, 4) THEN 1 ELSE 0 END AS graduated_me,
+  CASE WHEN t IS NULL THEN 1 ELSE 0 END AS enrolled_terms_su_included_is_missing, CAST(chem_a AS DOUBLE) AS chem_110_attempts_to_abc, chem_label AS chem_110_outcome_label, CAST(math_n AS BIGINT) AS math_140_total_attempts,
+  CAST(coalesce(chem_a, 0) + coalesce(math_a, 0) AS DOUBLE) AS etm_total_attempts_to_abc FROM s JOIN c USING (o_orderkey)""")
+def build_features(spark, sf_dir):
+    """The whole build over a sheet in which a third of the rows have no identifier."""
+    k = F.col("o_orderkey")
+    sheet = B.read(spark, sf_dir, "orders").select(
+        k, F.when(k % 3 > 0, F.concat(F.lit("S"), (k + 10000000).cast("string"))).alias("Random ID"), F.round(F.col("o_totalprice") / 100000, 2).alias("Graduating CGPA"),
+        ((k % 7) / 2).alias("CGPA at ETM to any campus"), F.when(k % 6 != 5, k % 6).alias("Enrolled Terms SU included"), F.get(F.array(*(F.lit(x).cast("string") for x in _STATUS)), (k % 6).cast("int")).alias("ME_BS Degree Status"),
+    )
+    out = study.build(sheet.join(B.courses(spark, sf_dir), "o_orderkey"), None)[0]
+    return rounded(out.select("o_orderkey", "random_id", "merge_id", "cgpa_gap", "graduated_me", "enrolled_terms_su_included_is_missing", "chem_110_attempts_to_abc", "chem_110_outcome_label", "math_140_total_attempts", "etm_total_attempts_to_abc"))

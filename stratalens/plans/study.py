@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions.names import numeric_features, resolve_col, standardize_columns, std_col
-from ..operators import features, guard, keys, scan, synth, trajectory
-from ..operators.explore import Explorer
+from ..operators import features, guard, keys, scan, synth, trajectory, wide
 from ..sources import tables, xlsx
 
 # Columns that a data report expects, and names under which the outcome may come.
@@ -54,9 +53,7 @@ def build(info: DataFrame, grid: DataFrame | None, order: Sequence[str] = (), ru
     info = standardize_columns(info)
     info = info.withColumn("random_id", E.stripped(F.col("random_id"))).withColumn("merge_id", E.merge_id(F.col("random_id")))
     info = keys.keep_first(info, "merge_id", [*order, "random_id"])
-    own = features.info_features(info)
-    wide = keys.merge_nondup(info, features.course_features(info, ["merge_id"], rule=rule), "merge_id")
-    wide = keys.merge_nondup(wide, own.withColumn("merge_id", E.merge_id(F.col("random_id"))).drop("random_id"), "merge_id")
+    wide = features.with_features(info, rule)
     if grid is None:
         return wide, None
     grid = standardize_columns(grid)
@@ -103,13 +100,9 @@ def slices(df: DataFrame, spec: Spec, feature: str, confounders: Sequence[str] =
 
 def plot_data(df: DataFrame, spec: Spec, selected: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Histograms by outcome of the selected numeric features, and rates of the levels of the others (at most ``2 * plots`` features)."""
-    out: dict[str, DataFrame | None] = {"numeric": None, "categorical": None}
-    for r in selected.collect():
-        numeric = r["kind"] == "numeric"
-        part = Explorer(df).histogram_by_outcome(r["feature"], spec.outcome) if numeric else Explorer(df).level_rates(r["feature"], spec.outcome, 25)
-        part = part.withColumn("feature", F.lit(r["feature"]))
-        out[r["kind"]] = part if out[r["kind"]] is None else out[r["kind"]].unionByName(part)
-    return out["numeric"], out["categorical"]
+    chosen = selected.collect()
+    numeric, texts = ([r["feature"] for r in chosen if r["kind"] == kind] for kind in ("numeric", "categorical"))
+    return wide.histograms(df, numeric, spec.outcome) if numeric else None, scan.level_rates(df, spec.outcome, texts, 25) if texts else None
 
 
 def write_insights(spark: SparkSession, main: DataFrame, terms: DataFrame | None, out: str, spec: Spec) -> None:
