@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..functions.names import histogram_bins
 from . import wide
-from .trajectory import band
+from .keys import with_cohort
+from .trajectory import band, cohort_trajectory
 
 MISSING = "<NA>"
 # Edges and labels of the fixed grade bins.
@@ -18,24 +19,34 @@ GRADE_ENDS = (2.0, 2.5, 3.0, 3.25, 3.5, 3.75, 4.1)
 
 
 class Explorer:
-    """A table behind a chain of filters. Every method returns a lazy DataFrame or a new Explorer."""
+    """A table behind a chain of filters. Every method returns a DataFrame or a new Explorer.
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+    Filters narrow the view; what describes the cohort as such (correlations, trajectories, mastery) is of the whole table unless
+    ``scope`` is "view".
+    """
+
+    def __init__(self, df: DataFrame, whole: DataFrame | None = None):
+        self.df, self.whole = df, df if whole is None else whole
+
+    def _where(self, condition: Column) -> Explorer:
+        return Explorer(self.df.filter(condition), self.whole)
+
+    def _of(self, scope: str) -> DataFrame:
+        return {"whole": self.whole, "view": self.df}[scope]
 
     def matching(self, column: str, pattern: str) -> Explorer:
-        return Explorer(self.df.filter(F.col(column).cast("string").rlike(pattern)))
+        return self._where(F.col(column).cast("string").rlike(pattern))
 
     def equal(self, column: str, value: str) -> Explorer:
-        return Explorer(self.df.filter(F.col(column).cast("string") == value))
+        return self._where(F.col(column).cast("string") == value)
 
     def between(self, column: str, lo: float, hi: float) -> Explorer:
         """Inclusive; rows without a value go."""
-        return Explorer(self.df.filter(E.plain(F.col(column)).between(lo, hi)))
+        return self._where(E.plain(F.col(column)).between(lo, hi))
 
     def among(self, column: str, levels: Sequence[str]) -> Explorer:
         """Levels as text, ``<NA>`` for a missing one; no levels, no filter."""
-        return Explorer(self.df.filter(F.coalesce(F.col(column).cast("string"), F.lit(MISSING)).isin(*levels))) if levels else self
+        return self._where(F.coalesce(F.col(column).cast("string"), F.lit(MISSING)).isin(*levels)) if levels else self
 
     def bounds(self, column: str) -> DataFrame:
         x = E.plain(F.col(column))
@@ -52,9 +63,15 @@ class Explorer:
         rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_1").alias("outcome_1"), F.col(f"{m}_0").alias("outcome_0")) for m in ("count", *means))))
         return one.select(rows.alias("r")).select("r.*")
 
-    def correlations(self, columns: Sequence[str]) -> DataFrame:
+    def correlations(self, columns: Sequence[str], scope: str = "whole") -> DataFrame:
         """(col1, col2, corr), pairwise complete; null where a column is constant."""
-        return wide.correlations(self.df, columns)
+        return wide.correlations(self._of(scope), columns)
+
+    def trajectories(self, long: DataFrame, cohort: str, key: str, scope: str = "whole") -> DataFrame:
+        """Bands of the long table's terms by cohort, of the entities in scope."""
+        of = self._of(scope)
+        rows = long if scope == "whole" else long.join(of.select(key).distinct(), key, "left_semi")
+        return cohort_trajectory(with_cohort(rows, of, [cohort], [key]), cohort)
 
     def scatter(self, x: str, y: str, key: str, k: int, by: str | None = None) -> DataFrame:
         """At most ``k`` points (for each level of ``by``), the same ones on every run."""
@@ -98,9 +115,10 @@ class Explorer:
         t = every.join(rows.groupBy("bin").agg(*band(F.col("y"))), "bin", "left")
         return t.withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
 
-    def mastery(self, courses: Sequence[str]) -> DataFrame:
+    def mastery(self, courses: Sequence[str], scope: str = "whole") -> DataFrame:
         """(course, pass_1st, ever_pass, mean_attempts) of each course with a column here; from labels where flags are absent."""
-        have, out = {*self.df.columns}, []
+        df, out = self._of(scope), []
+        have = {*df.columns}
         none = F.lit(None).cast("double")
         for c in (c for c in courses if any(x.startswith(c) for x in have)):
             label = F.col(f"{c}_outcome_label") if f"{c}_outcome_label" in have else None
@@ -109,7 +127,7 @@ class Explorer:
             ever = mean(f"{c}_ever_passed") if f"{c}_ever_passed" in have else none if label is None else F.avg(E.flag(label.contains("Pass")))
             tries = mean(f"{c}_total_attempts") if f"{c}_total_attempts" in have else none
             out.append((c, first, ever, tries))
-        one = self.df.agg(*(F.struct(F.lit(c.upper()).alias("course"), F.first(F.lit(1)).alias("_"), a.alias("pass_1st"), b.alias("ever_pass"), d.alias("mean_attempts")).alias(c) for c, a, b, d in out))
+        one = df.agg(*(F.struct(F.lit(c.upper()).alias("course"), F.first(F.lit(1)).alias("_"), a.alias("pass_1st"), b.alias("ever_pass"), d.alias("mean_attempts")).alias(c) for c, a, b, d in out))
         return one.select(F.explode(F.array(*(F.col(c) for c, *_ in out))).alias("r")).select("r.course", "r.pass_1st", "r.ever_pass", "r.mean_attempts")
 
     def distinct_counts(self, columns: Sequence[str]) -> DataFrame:

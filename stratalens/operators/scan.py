@@ -23,6 +23,8 @@ MIN_N, MAX_LEVELS, QUANTILES = 25, 60, (0.0, 0.25, 0.5, 0.75, 1.0)
 def unpivot_numeric(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
     """(keep.., feature, value) with values as doubles and without missing ones."""
     rows = df.select(*keep, *(E.plain(F.col(f"`{c}`")).alias(c) for c in features))
+    if not features:
+        return rows.select("*", F.lit("").alias("feature"), F.lit(0.0).alias("value")).limit(0)
     ids = [c for c in rows.columns if c not in features]
     return rows.unpivot(ids, list(features), "feature", "value").filter(F.col("value").isNotNull())
 
@@ -30,6 +32,8 @@ def unpivot_numeric(df: DataFrame, features: Sequence[str], keep: Sequence[str |
 def unpivot_text(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
     """(keep.., feature, level) with levels as strings and without missing ones."""
     rows = df.select(*keep, *(F.col(f"`{c}`").cast("string").alias(c) for c in features))
+    if not features:
+        return rows.select("*", F.lit("").alias("feature"), F.lit("").alias("level")).limit(0)
     ids = [c for c in rows.columns if c not in features]
     return rows.unpivot(ids, list(features), "feature", "level").filter(F.col("level").isNotNull())
 

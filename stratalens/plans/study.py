@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..functions.names import numeric_features, resolve_col, standardize_columns, std_col
 from ..operators import features, guard, keys, scan, synth, trajectory, wide
-from ..sources import tables, xlsx
+from ..sources import results, tables, typed, xlsx
+from ..sources.sorted import write_sorted
 
 # Columns that a data report expects, and names under which the outcome may come.
 RECOMMENDED = ("random_id", "graduated_me", "cgpa_gap", "warnings_per_term", "mean_term_gpa", "gpa_trend_slope", "first_two_regular_mean_gpa")
@@ -86,9 +87,10 @@ def scans(df: DataFrame, spec: Spec, long: DataFrame | None = None, key: str = "
     return out
 
 
-def source(spark: SparkSession, out: str, clean: str | None) -> str:
-    """The sanitized table of an earlier run where there is one, else the given table."""
-    return tables.first_existing(spark, f"{out}/{SANITIZED}", clean)
+def source(spark: SparkSession, out: str, clean: str | None, upload: str | None = None) -> str:
+    """An uploaded table where there is one, else the sanitized table of the last complete scan, else the given table."""
+    last = results.current(spark, f"{out}/scan")
+    return tables.first_existing(spark, upload, f"{last}/{SANITIZED}" if last else None, clean)
 
 
 def slices(df: DataFrame, spec: Spec, feature: str, confounders: Sequence[str] = CONFOUNDERS) -> DataFrame:
@@ -121,17 +123,31 @@ def write_insights(spark: SparkSession, main: DataFrame, terms: DataFrame | None
 
 
 def run_all(spark: SparkSession, wide: str, out: str, spec: Spec | None = None, long: str | None = None) -> None:
-    """Sanitize, report, scan and summarise; any failing step fails the run."""
+    """Sanitize, report, scan and summarise, as one run under ``out``/scan; a failing step fails the run and leaves the last one whole."""
     spec = spec or Spec()
-    df, terms = tables.load_frames(spark, wide, long)
-    main, quarantine, report = guard.sanitize(with_outcome(df, spec.outcome), spec.outcome)
-    main = main.cache()
-    tables.write_csv(main, f"{out}/{SANITIZED}")
-    tables.write_csv(quarantine, f"{out}/quarantine")
-    tables.write_json(spark, report.as_dict(), f"{out}/sanitizer_report.json")
-    tables.write_text(spark, tables.data_report(main, RECOMMENDED, terms, guard.missing_rates), f"{out}/data_report.md")
-    write_insights(spark, main, terms, out, spec)
-    main.unpersist()
+    with results.run(spark, f"{out}/scan") as place:
+        df, fit = tables.read_checked(spark, wide)
+        terms = tables.read(spark, long) if long and tables.exists(spark, long) else None
+        main = sanitize(spark, df, place, spec).cache()
+        try:
+            report(spark, main, terms, place, fit)
+            write_insights(spark, main, terms, place, spec)
+        finally:
+            main.unpersist()
+
+
+def sanitize(spark: SparkSession, df: DataFrame, place: str, spec: Spec) -> DataFrame:
+    """Write the sanitized table, what went to quarantine, and why; returns the sanitized table."""
+    main, quarantine, found = guard.sanitize(with_outcome(df, spec.outcome), spec.outcome)
+    tables.write_csv(main, f"{place}/{SANITIZED}")
+    tables.write_csv(quarantine, f"{place}/quarantine")
+    tables.write_json(spark, found.as_dict(), f"{place}/sanitizer_report.json")
+    return main
+
+
+def report(spark: SparkSession, df: DataFrame, terms: DataFrame | None, place: str, fit: typed.Fit | None = None) -> None:
+    """Write the data report."""
+    tables.write_text(spark, tables.data_report(df, RECOMMENDED, terms, guard.missing_rates, fit=fit), f"{place}/data_report.md")
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -142,6 +158,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     b.add_argument("--out", required=True)
     scanning = argparse.ArgumentParser(add_help=False)
     scanning.add_argument("--clean")
+    scanning.add_argument("--upload", help="a table that goes before all others")
     scanning.add_argument("--long")
     scanning.add_argument("--out", required=True)
     scanning.add_argument("--outcome", default=Spec.outcome)
@@ -149,6 +166,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         scanning.add_argument(f"--{name}", type=int, default=getattr(Spec, name))
     commands.add_parser("scan", parents=[scanning], help="sanitize a wide table, and all its insight tables")
     commands.add_parser("trends", parents=[scanning], help="insight tables of the sanitized table, if there is one, else of the given one")
+    commands.add_parser("sanitize", parents=[scanning], help="the sanitized table and the quarantine only")
+    commands.add_parser("report", parents=[scanning], help="the data report only")
     c = commands.add_parser("slices", parents=[scanning], help="one feature inside the levels of confounders")
     c.add_argument("--feature", required=True)
     c.add_argument("--confounders", nargs="+", default=list(CONFOUNDERS))
@@ -157,21 +176,28 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.command != "build":
         spec = Spec(outcome=args.outcome, **{k: getattr(args, k) for k in ("num_k", "cat_k", "bucket_k", "min_n", "min_level_n", "plots", "most")})
         if args.command == "scan":
-            run_all(spark, args.clean, args.out, spec, args.long)
+            run_all(spark, args.upload or args.clean, args.out, spec, args.long)
             return
-        df, terms = tables.load_frames(spark, source(spark, args.out, args.clean), args.long)
-        if args.command == "trends":
-            write_insights(spark, df, terms, args.out, spec)
-        else:
-            tables.write_csv(slices(df, spec, args.feature, args.confounders), f"{args.out}/slices", single=True)
+        raw = args.command in ("sanitize", "report")
+        df, fit = tables.read_checked(spark, tables.first_existing(spark, args.upload, args.clean) if raw else source(spark, args.out, args.clean, args.upload))
+        terms = tables.read(spark, args.long) if args.long and tables.exists(spark, args.long) else None
+        with results.run(spark, f"{args.out}/{args.command}") as place:
+            if args.command == "trends":
+                write_insights(spark, df, terms, place, spec)
+            elif args.command == "sanitize":
+                sanitize(spark, df, place, spec)
+            elif args.command == "report":
+                report(spark, df, terms, place, fit)
+            else:
+                tables.write_csv(slices(df, spec, args.feature, args.confounders), f"{place}/slices", single=True)
         return
     named = {s: [std_col(c) for c in cols] for s, cols in xlsx.sheet_columns(spark, args.excel).items()}
-    open_sheet = lambda s: tables.without_nan(xlsx.read_sheet(spark, args.excel, s, "row_in_sheet"))
+    open_sheet = lambda s: tables.without_nan(xlsx.load(spark, args.excel, s, "row_in_sheet"))
     grid = tables.find_term_sheet(named)
     wide, long = build(open_sheet(tables.find_sheet(named, ["random_id"])), open_sheet(grid) if grid else None, ["row_in_sheet"])
     tables.write_parquet(wide, f"{args.out}/wide")
     if long is not None:
-        tables.write_parquet(long, f"{args.out}/terms_long")
+        write_sorted(long, f"{args.out}/terms_long", "random_id", ["term_index"])
 
 
 if __name__ == "__main__":

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import typed
+
 # Texts that mean "missing" in a CSV file.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -33,11 +35,12 @@ def without_nan(df: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table by its extension: .csv (typed by inference unless a schema is given), .xlsx, else Parquet."""
+    """A table by its extension: .csv (typed by its first rows unless a schema is given), .xlsx, else Parquet."""
     kind = PurePosixPath(path).suffix
+    if kind == ".csv" and schema is None:
+        return read_checked(spark, path)[0]
     if kind == ".csv":
-        reader = spark.read.option("header", True).option("nullValue", "")
-        return without_nan(reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path))
+        return without_nan(spark.read.option("header", True).option("nullValue", "").schema(schema).csv(path))
     if kind == ".xlsx":
         from .xlsx import read_sheet
 
@@ -45,6 +48,14 @@ def read(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
     return without_nan(spark.read.parquet(path))
 
 
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, typed.Fit | None]:
+    """The same, and for CSV what doesn't fit the inferred types, known once the table has been read."""
+    if PurePosixPath(path).suffix != ".csv":
+        return read(spark, path), None
+    df, fit = typed.read_csv(spark, path, NA_TOKENS)
+    return without_nan(df), fit
+
+
 def load_frames(spark: SparkSession, wide: str, long: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The wide table, and the long one where it exists."""
     return read(spark, wide), read(spark, long) if long and exists(spark, long) else None
@@ -94,11 +105,13 @@ def export(filtered: DataFrame, path: str, columns: Sequence[str] | None = None)
     write_csv(filtered.select(*columns) if columns else filtered, path)
 
 
-def data_report(df: DataFrame, recommended: Sequence[str], long: DataFrame | None, missing: Callable[[DataFrame], DataFrame], top: int = 20) -> str:
-    """Rows, columns, the sparsest columns and the recommended ones present, as Markdown."""
+def data_report(df: DataFrame, recommended: Sequence[str], long: DataFrame | None, missing: Callable[[DataFrame], DataFrame], top: int = 20, fit: typed.Fit | None = None) -> str:
+    """Rows, columns, the sparsest columns, the recommended ones present and what didn't fit its column's type, as Markdown."""
     rates = missing(df).orderBy(F.desc("missing_pct"), "column").limit(top).collect()
     lines = ["# Data report", "", f"**Rows**: {df.count()}  **Cols**: {len(df.columns)}", "", f"## Missingness (top {top})", ""]
     lines += [f"- {r['column']}: {r['missing_pct']:.1%}" for r in rates] + ["", "## Recommended columns present", ""]
     lines += [f"- {c}: {'present' if c in df.columns else 'missing'}" for c in recommended]
+    if fit is not None:
+        lines += ["", "## Values that did not fit", ""] + ([f"- {c}: {n} not {fit.kinds[c]}" for c, n in fit.misfits().items()] or ["None."])
     lines.append(f"\n**Long table**: {long.count()} rows, cols={long.columns}" if long is not None else "\n**Long table**: not found")
     return "\n".join(lines)
