@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -51,10 +52,25 @@ def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     out.written_at = path
     if _scopes:
         _scopes[-1].append(out)
-    spark.sparkContext._jvm.System.gc()  # Spark removes a finished job's shuffle files as the driver collects its garbage
+    _collect(spark)
     return out
 
 
+#: Seconds between two collections of the driver's garbage, at least, and when the last one was.
+GC_S = 15
+_collected = [0.0]
+
+
+def _collect(spark: SparkSession) -> None:
+    """Spark removes a finished job's shuffle files as the driver collects its garbage, which a driver of little garbage seldom does.
+
+    It removes only what no object of the driver refers to any more, so nothing that a later job could still read.
+    """
+    if time.monotonic() - _collected[0] > GC_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 #: Of each open ``scratch``, the tables written in it.
 _scopes: list[list[DataFrame]] = []
 

@@ -77,6 +77,9 @@ HOLDER_LINE = (
 )
 UNSEEN = r"[\u00AD\u200B-\u200D\u2060\uFEFF]+"
 ALL_MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
+#: Letters of which each known text holds some. No equivalent spelling makes them of others, but for "gnu gpl", which is one.
+ANCHORS = ("licen", "gnugpl", "redistribution", "permissionto", "releasedunder")
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]*"
 #: Headings that whole texts without one of their own are found under.
 HEADINGS = {
     "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'],
@@ -108,6 +111,12 @@ def letters_digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(out, ALL_MARKS, "").cast("binary"), 256)
 
 
+def may_be_known(text: Column) -> Column:
+    """Whether a text holds the letters of an anchor, whatever marks stand between them: one pass instead of all spellings' replacements.
+    (A word that a copyright line cuts in two isn't seen as one.)"""
+    return text.rlike("(?i)" + "|".join(_BETWEEN.join(anchor) for anchor in ANCHORS))
+
+
 def whole_texts() -> list[tuple[str, str]]:
     """(license, text) of the whole licences, with and without heading and appendix, and with the old addresses in them."""
     out = [("MIT", KNOWN["MIT"][2].split("\n", 1)[1])]
@@ -136,10 +145,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, digest, license (of the whole text), n_license_lines, line_license (the first by name)."""
     lookup, letters = F.broadcast(known(docs.sparkSession)), F.broadcast(known_letters(docs.sparkSession))
     text = F.col("text").cast("string")
-    lines = docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = docs.select("doc_id", text.alias("text")).filter(may_be_known(F.col("text")))
+    lines = lines.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(may_be_known(F.col("line")))
     lines = lines.select("doc_id", "key", "at", letters_digest(F.col("line")).alias("letters_digest")).join(letters, "letters_digest")
     lines = lines.dropDuplicates(["doc_id", "key", "at"]).groupBy(F.col("doc_id").alias("_doc"), "key").agg(F.count("*").alias("lines"), F.min("letters_license").alias("line_license"))
-    whole = docs.select("doc_id", F.xxhash64(text).alias("_key"), digest(text).alias("digest"), letters_digest(text).alias("letters_digest"))
+    whole = docs.select("doc_id", F.xxhash64(text).alias("_key"), digest(text).alias("digest"), F.when(may_be_known(text), letters_digest(text)).alias("letters_digest"))
     out = whole.join(lookup, whole["digest"] == F.col("known_digest"), "left").join(letters, "letters_digest", "left")
     out = out.withColumn("license", F.coalesce("license", "letters_license"))
     out = out.join(lines, out["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("key")), "left")

@@ -10,7 +10,7 @@ Distances are rescaled so that their median is that of a normal sample; a docume
 stands while less than 1 - ``KEEP`` of a group is junk.
 
 A step is one partial aggregation of moments by group, start and logarithmic bin of the distance, and a join with one row
-for each group and start; no group is sorted or gathered. Groups of under ``MIN_ROWS`` are
+for each group and start; no group is sorted or gathered, and a few steps are one plan. Groups of under ``MIN_ROWS`` are
 pooled by language, and then altogether; a pool of under ``MIN_ROWS`` rejects nothing.
 
 Defined cases: a null text has no words (base_failed); a null language or source is a value of its own;
@@ -31,6 +31,8 @@ KEEP, MIN_ROWS = 0.75, 100
 #: Subsamples as starts, and rows in each, about; steps of all starts, the number that goes on, and their steps at most.
 SUBSAMPLES, SUBSAMPLE_ROWS = 8, 8
 FIRST_STEPS, GO_ON, LAST_STEPS = 2, 2, 12
+#: Of the last steps, so many are one plan; what changes is looked at after them.
+AT_ONCE = 3
 #: Points of chi-square with five degrees of freedom: the upper 1e-9, the upper 0.025, the median.
 CUTOFF, WITHIN, MEDIAN = 51.2, 12.833, 4.351
 #: Rows of a lookup table up to which it is broadcast (a few hundred bytes each); beyond it both sides are shuffled.
@@ -127,12 +129,16 @@ def _reached(counts: DataFrame, keys: tuple[str, ...], order: str, share: float)
     return sized.filter(F.col("before") < share * F.col("all")).drop("before", "all")
 
 
-def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """The estimates of the ``KEEP`` share of each group nearest to each of its estimates (grp, start, m, l), with ``was``."""
-    keys = ("grp", "start")
-    near = _distances(rows, _small(estimates.select("grp", "start", "m", "l"))).groupBy(*keys, _bin(F.col("d2")).alias("bin")).agg(*_moments())
-    kept = _reached(near, keys, "bin", KEEP).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in _SUMS))
-    return written(_estimates(kept, *keys).join(_small(estimates.select(*keys, F.col("logdet").alias("was"))), list(keys)), "estimates")
+def _steps(rows: DataFrame, estimates: DataFrame, number: int, few: bool) -> DataFrame:
+    """The estimates after ``number`` concentration steps, one plan: each is of the ``KEEP`` share of a group nearest to the one before
+    (grp, start, m, l, logdet), whose log determinant goes along as ``was``. few: as counted, they are broadcast."""
+    keys = ("grp", "start", "was")
+    for _ in range(number):
+        now = estimates.select("grp", "start", "m", "l", F.col("logdet").alias("was"))
+        near = _distances(rows, F.broadcast(now) if few else now).groupBy(*keys, _bin(F.col("d2")).alias("bin")).agg(*_moments())
+        kept = _reached(near, keys, "bin", KEEP).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in _SUMS))
+        estimates = _estimates(kept, *keys)
+    return estimates
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -183,12 +189,13 @@ def robust(rows: DataFrame) -> DataFrame:
     """(grp, m, l, middle) of the rows (grp, at, v0 ..): the reweighted minimum-covariance-determinant estimate of each group. ``at`` tells equal
     vectors apart where a hash deals them out."""
     estimates = _starts(rows)
-    for step in range(FIRST_STEPS + LAST_STEPS):
-        if step == FIRST_STEPS:
-            estimates = written(_least(estimates, GO_ON), "going_on")
-        before, estimates = estimates, _step(rows, estimates)
+    few = estimates.count() <= BROADCAST_ROWS
+    before, estimates = estimates, written(_least(_steps(rows, estimates, FIRST_STEPS, few), GO_ON), "going_on")
+    discard(before)
+    for _ in range(0, LAST_STEPS, AT_ONCE):
+        before, estimates = estimates, written(_steps(rows, estimates, AT_ONCE, few), "estimates")
         discard(before)
-        if step >= FIRST_STEPS and (estimates.agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0] or 0.0) < 1e-9:
+        if (estimates.agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0] or 0.0) < 1e-9:
             break
     best = _scaled(rows, _least(estimates, 1).select("grp", "m", "l"))
     inner = _distances(rows, _small(best)).filter(_rescaled() <= WITHIN)

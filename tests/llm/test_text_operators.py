@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.llm import chat, licenses, packing, quality_rules, queries, url_filter
 
@@ -268,3 +269,69 @@ def test_alignment_is_smith_waterman():
     pairs = [([rng.randrange(6) for _ in range(rng.randrange(1, 20))], [rng.randrange(6) for _ in range(rng.randrange(1, 30))]) for _ in range(60)]
     got = align([np.array(a) for a, _ in pairs], [np.array(b) for _, b in pairs])
     assert got.tolist() == [smith_waterman(a, b) for a, b in pairs]
+
+
+def test_every_known_text_has_an_anchor(spark):
+    texts = [t for known in licenses.KNOWN.values() for t in known] + [t for _, t in licenses.whole_texts()]
+    odd = ["L.I-C­e—N\ns", "redis​tribu tion", "GNU (GPL)", "permission\nto use"]
+    frame = spark.createDataFrame([(t,) for t in texts + [t.upper().replace(" ", "\n") for t in texts] + odd], "text string")
+    assert frame.filter(~licenses.may_be_known(F.col("text"))).count() == 0
+    plain = [" ".join(random.Random(3).choices(["lice", "was", "lie", "permit", "gnu"], k=50)), "", "license".replace("c", "k")]
+    assert spark.createDataFrame([(t,) for t in plain], "text string").filter(licenses.may_be_known(F.col("text"))).count() == 0
+    made = {b for a, b in licenses.EQUIVALENT}
+    letters = lambda t: re.sub("[^a-z0-9]", "", t)
+    assert [b for b in made if any(x in letters(b) for x in licenses.ANCHORS) and not any(x in letters(a) for a, c in licenses.EQUIVALENT if c == b for x in licenses.ANCHORS)] == []
+
+
+def numpy_starts(x):
+    """The starts of a group in numpy: moments, medians with median deviations of fine bins (subsamples, dealt by Spark's hash, aside)."""
+    q = quality_rules
+    least = np.array([s for _, s in q.VECTOR.values()])
+    out = [(0, x.mean(axis=0), np.linalg.cholesky(np.cov(x.T, bias=True) + np.diag(least**2)))]
+    unit = least / q.FINE
+    bins = np.floor(x / least * q.FINE)
+    upto = lambda v, share: next(b for b in np.unique(v) if (v <= b).sum() >= share * len(v))
+    middle = np.array([upto(b, 0.5) for b in bins.T])
+    off = np.array([upto(np.abs(b - m), 0.5) for b, m in zip(bins.T, middle)])
+    out.append((1, (middle + 0.5) * unit, np.diag(np.sqrt((1.4826 * (off + 0.5) * unit) ** 2 + least**2))))
+    return out
+
+
+def test_starts_and_verdicts_are_those_of_numpy(spark):
+    """`kept` of every document from its text: statistics, vectors, starts, steps and cut-off in plain Python."""
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "aeiou"]
+    rows = []
+    for i in range(700):
+        words = rng.choices(vocabulary, k=rng.randrange(60, 200))
+        if i % 3 == 0:
+            words = [w + rng.choice(["", "#", "|"]) for w in words]
+        text = " ".join(words)
+        if i % 5 == 0:
+            text += "\nagain and again" * rng.randrange(1, 9)
+        rows.append((i, text if i % 90 else "$$ " * 400 + " ".join(map(str, range(400))), ["en", "de"][i % 2], "web", 0))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {}
+    for lang in ("en", "de"):
+        ids, x = [], []
+        for i, text, other, *_ in rows:
+            if other == lang:
+                n, chars, symbols, lines, repeats, failed = statistics(text)
+                want[i] = False
+                if not failed:
+                    ids.append(i)
+                    x.append([np.log(n), np.log(chars / n), np.log(1 + 100 * symbols / n), np.log(1 + lines), np.log(1 + 100 * repeats / n)])
+        x = np.array(x)
+        frame = vectors(spark, x, lang)
+        starts = numpy_starts(x)
+        for r in quality_rules._starts(frame).collect():
+            if r["start"] < 2:  # those of Spark are those of numpy
+                low = np.zeros((5, 5))
+                low[np.tril_indices(5)] = r["l"]
+                assert np.allclose(r["m"], starts[r["start"]][1]) and np.allclose(low, starts[r["start"]][2])
+        for number in range(quality_rules.SUBSAMPLES):  # other subsamples lead to the same rows
+            some = np.random.default_rng(number).choice(len(x), quality_rules.SUBSAMPLE_ROWS, replace=False)
+            starts.append((number + 2, x[some].mean(axis=0), np.linalg.cholesky(np.cov(x[some].T, bias=True) + np.diag([s**2 for _, s in quality_rules.VECTOR.values()]))))
+        for i, d2 in zip(ids, mcd(x, starts)):
+            want[i] = bool(d2 <= quality_rules.CUTOFF)
+    assert sum(want.values()) > 600 and got == want
