@@ -52,21 +52,21 @@ def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     out.written_at = path
     if _scopes:
         _scopes[-1].append(out)
-    _collect(spark)
+    _collect(spark, large)
     return out
 
 
-#: Seconds between two collections of the driver's garbage, at least, and when the last one was.
-GC_S = 15
+#: Seconds between two collections of the driver's garbage after small tables, at least, and when the last one was.
+GC_S = 5
 _collected = [0.0]
 
 
-def _collect(spark: SparkSession) -> None:
+def _collect(spark: SparkSession, now: bool) -> None:
     """Spark removes a finished job's shuffle files as the driver collects its garbage, which a driver of little garbage seldom does.
 
     It removes only what no object of the driver refers to any more, so nothing that a later job could still read.
     """
-    if time.monotonic() - _collected[0] > GC_S:
+    if now or time.monotonic() - _collected[0] > GC_S:
         spark.sparkContext._jvm.System.gc()
         _collected[0] = time.monotonic()
 
