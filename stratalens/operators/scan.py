@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,20 +107,26 @@ def risk_ratios(df: DataFrame, outcome: str, features: Sequence[str], min_level_
 
 
 def quantile_edges(df: DataFrame, features: Sequence[str], q: Sequence[float] = QUANTILES) -> DataFrame:
-    """(feature, edges): distinct exact quantiles; a constant feature gets one bucket around its value."""
-    e = quantiles(unpivot_numeric(df, features), q).select("feature", F.array_distinct("quantiles").alias("edges"))
+    """(feature, edges): distinct exact quantiles, computed at once; a constant feature gets one bucket around its value."""
+    e = quantiles(df, features, q).select("feature", F.array_distinct("quantiles").alias("edges"))
     one = F.size("edges") < 2
     around = F.array(F.element_at("edges", 1) - 1e-6, F.element_at("edges", 1) + 1e-6)
     return e.select("feature", F.when(one, around).otherwise(F.col("edges")).alias("edges"))
 
 
 def bucket_summary(df: DataFrame, outcome: str, features: Sequence[str], q: Sequence[float] = QUANTILES) -> DataFrame:
-    """(feature, bucket_no, lo, hi, n, grad_rate, edges) over rows with a value and an outcome; empty buckets have no row."""
-    edges = F.broadcast(quantile_edges(df, features, q))  # a row for each feature
-    rows = unpivot_numeric(df, features, [F.col(outcome).alias("y")]).filter("y is not null").join(edges, "feature")
-    t = rows.groupBy("feature", E.bucket_number(F.col("value"), F.col("edges")).alias("bucket_no"), "edges").agg(F.count("*").alias("n"), F.avg("y").alias("grad_rate"))
-    lo, hi = F.get("edges", F.col("bucket_no") - 1), F.get("edges", F.col("bucket_no"))
-    return t.select("feature", "bucket_no", lo.alias("lo"), hi.alias("hi"), "n", "grad_rate", "edges").orderBy("feature", "bucket_no")
+    """(feature, bucket_no, lo, hi, n, grad_rate, edges) over rows with a value and an outcome; empty buckets have no row.
+
+    Computed at once, a row for each bucket; the table is read once and kept while it is.
+    """
+    rows = df.select(F.col(f"`{outcome}`").cast("double").alias("_y"), *(E.plain(F.col(f"`{c}`")).alias(c) for c in features)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        edges = {r["feature"]: list(r["edges"]) for r in quantile_edges(rows, features, q).collect()}
+        counted = wide.bucket_counts(rows, "_y", edges)
+    finally:
+        rows.unpersist()
+    out = [(c, k, edges[c][k - 1], edges[c][k], n, y / n, edges[c]) for c, k, n, y in sorted(counted)]
+    return df.sparkSession.createDataFrame(out, "feature string, bucket_no int, lo double, hi double, n long, grad_rate double, edges array<double>")
 
 
 def slice_stability(df: DataFrame, outcome: str, feature: str, confounders: Sequence[str], numeric: bool, min_n: int = 50, levels: int = 12) -> DataFrame:

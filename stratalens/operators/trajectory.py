@@ -57,8 +57,8 @@ def slopes(long: DataFrame, key: str) -> DataFrame:
 
 
 def slope_summary(by_entity: DataFrame) -> DataFrame:
-    """n_students with a slope, its median, and the share of positive ones among all entities."""
-    middle = quantiles(by_entity.select(F.lit("gpa_slope").alias("feature"), F.col("gpa_slope").alias("value")), [0.5]).first()
+    """n_students with a slope, its median (computed at once), and the share of positive ones among all entities."""
+    middle = quantiles(by_entity, ["gpa_slope"], [0.5]).first()
     median = F.lit(middle["quantiles"][0] if middle else None).cast("double")
     return by_entity.agg(F.count("gpa_slope").alias("n_students"), median.alias("median_slope"), F.avg(E.flag(F.col("gpa_slope") > 0)).alias("pct_positive_slope"))
 

@@ -136,6 +136,33 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(_named("at.i", columns).alias("col1"), _named("at.j", columns).alias("col2"), "corr")
 
 
+def bucket_counts(df: DataFrame, outcome: str, edges: dict[str, list[float]]) -> list[tuple[str, int, int, float]]:
+    """(feature, bucket, n, sum of the outcome) of the rows with a value and an outcome, by the feature's ascending edges; computed at once.
+
+    Bucket k holds the values above edge k - 1 up to edge k (counted from 0), the first one also the lowest edge.
+    """
+    features, ends = list(edges), [np.array(e) for e in edges.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = ([np.zeros(len(e)) for e in ends] for _ in range(2))
+        for batch in batches:
+            y, x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), _matrix(batch, 1)
+            for i, e in enumerate(ends):
+                there = ~np.isnan(y) & ~np.isnan(x[:, i])
+                bucket = np.maximum(np.searchsorted(e, x[there, i], side="left"), 1)
+                n[i] += np.bincount(bucket, minlength=len(e))
+                total[i] += np.bincount(bucket, y[there], minlength=len(e))
+        i = np.repeat(np.arange(len(ends)), [len(e) for e in ends])
+        k = np.concatenate([np.arange(len(e)) for e in ends])
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(total))], names=["i", "bucket", "n", "y"])
+
+    if not features:
+        return []
+    found = _numbers(df, features, F.col(f"`{outcome}`").cast("double").alias("y")).mapInArrow(run, "i int, bucket int, n long, y double")
+    found = found.groupBy("i", "bucket").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).filter("n > 0")
+    return [(features[r["i"]], r["bucket"], r["n"], r["y"]) for r in found.collect()]  # a row for each bucket
+
+
 def _level_rows(df: DataFrame, columns: Sequence[str], bound: int | None) -> DataFrame:
     """(column, level, rows): distinct levels that each task met (with a ``bound``, one more than it at most), and its number of rows beside column -1."""
     kinds = dict(df.dtypes)

@@ -118,7 +118,11 @@ def slices_categorical(spark, sf_dir):
 UNION ALL BY NAME (SELECT *, 'bucket_spread' AS kind FROM s ORDER BY spread DESC, n_total DESC, feature LIMIT 5)""")
 def combined(spark, sf_dir):
     o = B.orders(spark, sf_dir).persist()  # three scans read it
-    return rounded(synth.combined(scan.effect_sizes(o, "y", B.NUMERIC), scan.risk_ratios(o, "y", B.TEXT), scan.bucket_summary(o, "y", B.NUMERIC)))
+    try:
+        out = rounded(synth.combined(scan.effect_sizes(o, "y", B.NUMERIC), scan.risk_ratios(o, "y", B.TEXT), scan.bucket_summary(o, "y", B.NUMERIC)))
+        return spark.createDataFrame(out.collect(), out.schema)  # 29 rows
+    finally:
+        o.unpersist()
 
 
 @query("v6_selected_features", f"""WITH e AS ({_EFFECTS}), r AS ({_RATIOS}), n AS (SELECT feature FROM e ORDER BY score DESC, feature LIMIT 10)

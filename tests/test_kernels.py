@@ -164,25 +164,30 @@ def test_properties(spark, values):
     assert sum(r.n for r in scan.bucket_summary(df, "y", ["x"]).collect()) == len(values)
 
 
-def test_quantiles_are_those_of_numpy(spark):
-    """Ties, single values, constants and nulls; several partitions."""
+@pytest.mark.parametrize(("cells", "fetched"), [(256, 4096), (2, 1), (16, 5)])
+def test_quantiles_are_those_of_numpy(spark, monkeypatch, cells, fetched):
+    """Ties, single values, constants, nulls, extremes and infinities; several partitions, one pass and many."""
     import random
 
     import numpy as np
 
-    from stratalens.operators.quantiles import quantiles
+    from stratalens.operators import quantiles
 
+    monkeypatch.setattr(quantiles, "CELLS", cells)
+    monkeypatch.setattr(quantiles, "FETCHED", fetched)
+    monkeypatch.setattr(quantiles, "COLUMNS", 4)
     rng = random.Random(1)
-    values = {"a": [rng.random() for _ in range(101)], "b": [float(rng.randrange(4)) for _ in range(60)], "c": [2.5], "d": [7.0] * 9, "e": [1.0, 2.0]}
-    rows = [(f, v) for f, vs in values.items() for v in vs] + [("a", None), ("none", None)]
+    values = {
+        "a": [rng.random() for _ in range(101)], "b": [float(rng.randrange(4)) for _ in range(60)], "c": [2.5], "d": [7.0] * 9, "e": [1.0, 2.0],
+        "f": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(90)], "g": [5e-324, 0.0, -0.0, -5e-324, 1e-310], "none": [],
+        "h": [float("-inf"), 1.0, 2.0, 3.0, float("inf")] * 3,
+    }
+    rows = [tuple(v[i] if i < len(v) else None for v in values.values()) for i in range(101)]
     rng.shuffle(rows)
-    frame = spark.createDataFrame(rows, "feature string, value double").repartition(5)
-    q = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = {r["feature"]: r["quantiles"] for r in quantiles(frame, q).collect()}
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert set(got) == set(values)
-    assert all(np.allclose(got[f], np.quantile(vs, q)) for f, vs in values.items())
-    assert quantiles(frame.limit(0), q).collect() == []
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in values)).repartition(3)
+    q = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0] if cells > 2 else [0.25, 0.5]
+    got = {r["feature"]: r["quantiles"] for r in quantiles.quantiles(frame, list(values), q).collect()}
+    assert set(got) == set(values) - {"none"}
+    assert all(np.allclose(got[f], np.quantile(v, q), rtol=1e-12, atol=0) for f, v in values.items() if f not in ("none", "h", "g"))
+    assert np.allclose(got["g"], np.quantile(values["g"], q), rtol=0, atol=1e-323) and (cells == 2 or (got["h"][0], got["h"][3], got["h"][5]) == (float("-inf"), 2.0, float("inf")))
+    assert quantiles.quantiles(frame.limit(0), ["a"], q).collect() == []
