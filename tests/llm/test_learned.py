@@ -1,6 +1,7 @@
 """Language ID, the quality field, decontamination and the pipeline: held-out accuracy and plain versions."""
 
 import random
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalens.llm import common, decontamination, language, quality
+from stratalens.llm import common, decontamination, language, quality, url_filter
 from stratalens.llm.common import bounded_sample, stratified_sample
 
 from .brute import near_duplicates, repeats, smith_waterman
@@ -260,6 +261,32 @@ def test_samples_are_bounded(spark):
         assert bounded_sample(frame, "doc_id", rows, "doc_id").count() == min(rows, 5000)
 
 
+def whole_and_packed(texts, pieces):
+    """Every id of every text is in one piece, and sequences have no gaps: by the tokenizer itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by_doc, by_sequence = {}, {}
+    for r in pieces:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    assert set(by_doc) == set(texts)
+    for i, rows in by_doc.items():
+        ids, at = [*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 0], 0
+        for r in sorted(rows, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for rows in by_sequence.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage on what the one before kept, held against plain versions."""
     start = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -281,9 +308,11 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"]: len(r["text"].encode()) for r in cut.collect()} == {i: n for i, n in sizes.items() if n or not texts[i]}
 
     left = stages["benchmark_leaks"](spark, cut, sf_dir).persist()
-    assert left.columns == start.columns and 0.8 * cut.count() < left.count() <= cut.count()
+    assert left.columns == start.columns
+    leaks = {r["doc_id"] for r in decontamination.copies(cut, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    assert leaks and {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in cut.collect()} - leaks
     pieces = stages["sequences"](spark, left, sf_dir)
-    assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in left.collect()}
+    whole_and_packed({r["doc_id"]: r["text"] for r in left.collect()}, pieces.collect())
     assert corpus_pipeline.run(spark, sf_dir).count() == pieces.count()
 
 
@@ -347,3 +376,45 @@ def test_a_run_leaves_its_result_only(spark, sf_dir):
     before = {p.name for p in place.iterdir()} if place.exists() else set()
     corpus_pipeline.run(spark, sf_dir)
     assert [p.name.rsplit("-", 1)[0] for p in place.iterdir() if p.name not in before] == ["pipeline-4-sequences"]
+
+
+def test_languages_by_plain_convolution(spark, docs):
+    """Every window of every text, filter by filter and byte by byte, with the weights that training gives."""
+    model = language.train(docs)
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy(F.xxhash64("doc_id")).limit(25).collect()] + [(-1, None), (-2, " 12 "), (-3, "x"), (-4, "é" * 300)]
+
+    def plain(text):
+        data, total = text.encode(), np.zeros(len(model.languages))
+        for begin in range(0, len(data), language.WINDOW):
+            part = data[begin : begin + language.WINDOW]
+            window = part + b" " * (language.WINDOW - len(part))
+            pooled = []
+            for table, bias in zip(model.tables, model.biases):
+                width = len(table)
+                best = [sum(table[i][window[at + i]].astype(float) for i in range(width)) for at in range(len(window) - width + 1)]
+                pooled.extend(np.maximum(np.max(best, axis=0) + bias, 0))
+            scores = np.array(pooled) @ model.weights.astype(float) + model.bias
+            share = np.exp(scores - scores.max())
+            total += share / share.sum() * len(part)
+        return total / len(data)
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language.identify(frame, model).collect()}
+    for i, text in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i] == ("und", 0.0)
+        else:
+            want = plain(text)
+            assert got[i][0] == model.languages[int(want.argmax())] and abs(got[i][1] - want.max()) < 1e-3
+
+
+def test_urls_that_only_lexical_features_tell(spark):
+    """Under suffixes that no rule names: long URLs full of digits go, plain ones stay."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 9)))
+    junk = lambda end: f"http://{word()}-{word()}{rng.randrange(10**6)}.{end}/" + "/".join(str(rng.randrange(10**7)) for _ in range(5)) + f"?a={rng.randrange(10**6)}&b={rng.randrange(10**6)}"
+    plain = lambda end: f"https://{word()}.{end}/{word()}"
+    urls = [junk("net") for _ in range(400)] + [plain("org") for _ in range(400)] + [junk("io") for _ in range(60)] + [plain("io") for _ in range(60)] + ["http://x.dev/" + "a1" * 40_000]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.verdicts(spark.createDataFrame([*enumerate(urls)], "page_id long, url string"), [("block", "net/"), ("allow", "org/")]).collect()}
+    assert all(got[i] == ("block" if i < 400 else "allow") for i in range(800))
+    assert sum(got[i] == "block" for i in range(800, 860)) >= 54 and sum(got[i] == "allow" for i in range(860, 920)) >= 54 and got[920] in ("block", "allow")
