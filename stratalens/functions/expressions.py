@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import STANDARD_SYMBOLS
+
 # Fixed values of the study.
 TRUTHY = ("1", "y", "yes", "true", "t", "graduate", "graduated", "degree awarded", "awarded")
 FALSY = ("0", "n", "no", "false", "f", "not", "did not", "none", "missing")
@@ -20,6 +22,33 @@ CREDIT_ENDS = (20, 40, 60, 80, 100, 10_000)
 CREDIT_LABELS = ("0-19", "20-39", "40-59", "60-79", "80-99", "100+")
 GRADUATION = r"\bGRAD|\bDEGREE\b"
 NO_GRADUATION = r"\b(NO|NOT|DENIED|PEND|PENDING|SEEK|SEEKING|IN\s*PROGRESS|PLANN|PLAN|INTENT|ADMIT|ENROLL)\b"
+#: Outcome texts of a period, the attempts in it, and which of them was the pass.
+PERIODS = (
+    (r"Never\s+Enrolled", 0, None),
+    (r"1(?:st)?\s*Attempt\s*=\s*ABC", 1, 1),
+    (r"Only\s+1\s*Attempt\s*=\s*DFW", 1, None),
+    (r"2\s*Attempts\s*\(\s*1st\s*=\s*DFW\s*,\s*2nd\s*=\s*ABC\s*\)", 2, 2),
+    (r"2\s*Attempts\s*\(\s*Both\s*=\s*DFW\s*\)", 2, None),
+)
+SOME_ATTEMPTS, SOME_ATTEMPTS_TO_A_PASS = r"(\d+)\s*Attempts?", r"(\d+)\s*Attempts?.*ABC"
+
+
+def identifier(c: Column, missing: str | None = None) -> Column:
+    """An identifier without spaces around it. A missing one stays null, unless ``missing`` names the text that stands for it."""
+    return stripped(c) if missing is None else F.coalesce(stripped(c), F.lit(missing))
+
+
+def std_name(c: Column) -> Column:
+    """``names.std_col`` on values, as for levels that become columns."""
+    out = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(?U)\s+", " "), "^ | $", "")
+    for symbol, word in STANDARD_SYMBOLS:
+        out = F.replace(out, F.lit(symbol), F.lit(word))
+    return F.lower(F.regexp_replace(F.regexp_replace(out, r"(?U)[^\w\s]", ""), r"(?U)\s+", "_"))
+
+
+def file_name(c: Column, most: int = 120) -> Column:
+    """``names.safe_name`` on values."""
+    return F.substring(F.regexp_replace(c.cast("string"), "[^A-Za-z0-9._-]+", "_"), 1, most)
 
 
 def stripped(c: Column) -> Column:
@@ -98,24 +127,19 @@ def final_pass(c: Column, rule: str = "substring") -> Column:
 
 
 def period(c: Column) -> Column:
-    """struct(attempts, passed, pass_index) of a cumulative outcome text; unknown texts count as no attempt."""
+    """struct(attempts, passed, pass_index) of a cumulative outcome text: the first of ``PERIODS`` that is the whole text, else its number of
+    attempts, the last of which is the pass if one is named after it; unknown texts count as no attempt."""
     text = stripped(c)
-    of = lambda a, passed, index: F.struct(F.lit(a).cast("int").alias("attempts"), F.lit(passed).alias("passed"), F.lit(index).cast("int").alias("pass_index"))
-    fits = lambda pattern: F.coalesce(text.rlike(r"(?iU)^\s*" + pattern + r"\s*$"), F.lit(False))
-    counted = F.regexp_extract(text, r"(?iU)(\d+)\s*Attempts?", 1).try_cast("int")
-    with_pass = F.regexp_extract(text, r"(?iU)(\d+)\s*Attempts?.*ABC", 1).try_cast("int")
-    open_ended = lambda n, passed: F.struct(n.alias("attempts"), F.lit(passed).alias("passed"), (n if passed else F.lit(None).cast("int")).alias("pass_index"))
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", of(0, False, None))
-        .when(fits(r"Never\s+Enrolled"), of(0, False, None))
-        .when(fits(r"1(?:st)?\s*Attempt\s*=\s*ABC"), of(1, True, 1))
-        .when(fits(r"Only\s+1\s*Attempt\s*=\s*DFW"), of(1, False, None))
-        .when(fits(r"2\s*Attempts\s*\(\s*1st\s*=\s*DFW\s*,\s*2nd\s*=\s*ABC\s*\)"), of(2, True, 2))
-        .when(fits(r"2\s*Attempts\s*\(\s*Both\s*=\s*DFW\s*\)"), of(2, False, None))
-        .when(with_pass.isNotNull(), open_ended(with_pass, True))
-        .when(counted.isNotNull(), open_ended(counted, False))
-        .otherwise(of(0, False, None))
-    )
+
+    def meaning(attempts: Column, index: Column) -> Column:
+        index = index.cast("int")
+        return F.struct(attempts.cast("int").alias("attempts"), index.isNotNull().alias("passed"), index.alias("pass_index"))
+
+    none, tries, passes = F.lit(None), *(F.regexp_extract(text, "(?iU)" + p, 1).try_cast("int") for p in (SOME_ATTEMPTS, SOME_ATTEMPTS_TO_A_PASS))
+    out = F.when(passes.isNotNull(), meaning(passes, passes)).otherwise(meaning(F.coalesce(tries, F.lit(0)), none))
+    for pattern, attempts, index in PERIODS:  # no text is two of them
+        out = F.when(F.coalesce(text.rlike(rf"(?iU)^\s*{pattern}\s*$"), F.lit(False)), meaning(F.lit(attempts), F.lit(index))).otherwise(out)
+    return out
 
 
 def outcome_label(total: Column, passed_on: Column) -> Column:

@@ -10,13 +10,14 @@ from pyspark.sql import types as T
 
 # Name patterns that leak the outcome, and those that only deserve a warning.
 LEAKY = (r"graduating", r"degree", r"me_bs", r"outcome", r"_is_missing$")
+STANDARD_SYMBOLS = (("≥", "ge"), ("(", "_"), (")", ""), ("/", "_"), ("%", "pct"), ("-", " "))
 SUSPECT = (r"cgpa$", r"gpa$", r"gpa_.*(final|last)", r"status", r"etm_window")
 
 
 def std_col(name: str) -> str:
     """A lower-case identifier: ``>=`` signs, percent and separators spelled out, other symbols dropped."""
     text = " ".join(str(name).split())
-    for symbol, word in (("≥", "ge"), ("(", "_"), (")", ""), ("/", "_"), ("%", "pct"), ("-", " ")):
+    for symbol, word in STANDARD_SYMBOLS:
         text = text.replace(symbol, word)
     return re.sub(r"\s+", "_", re.sub(r"[^\w\s]", "", text)).lower()
 

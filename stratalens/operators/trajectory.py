@@ -25,6 +25,14 @@ def melt(grid: DataFrame, ids: Sequence[str], slots: Sequence[str] = SLOTS) -> D
     return rows.select(*ids, index.alias("term_index"), "term_slot", "term_gpa", summer.alias("is_summer"), (1 - summer).alias("is_regular"))
 
 
+def grid(long: DataFrame, ids: Sequence[str], slots: Sequence[str] = SLOTS) -> DataFrame:
+    """The inverse of ``melt``: one row of the ids with a column for each slot, the mean where a slot occurs again, null where it doesn't.
+
+    One aggregation; the slots are given, so no job looks for them, and other slots are left out.
+    """
+    return long.groupBy(*ids).pivot("term_slot", list(slots)).agg(F.avg("term_gpa"))
+
+
 def summarise(long: DataFrame, key: str, low: tuple[float, float] = (2.5, 3.0)) -> DataFrame:
     """One row per entity with a term: counts, moments, first and last, slope, early mean and summer share, in one aggregation."""
     v, i = F.col("term_gpa"), F.col("term_index")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.trajectory import grid, melt
+
 NUMERIC = ["o_totalprice", "sum_qty", "avg_discount", "avg_tax", "n_lines"]
 TEXT = ["o_orderpriority", "c_mktsegment", "n_name", "r_name"]
 #: Terms of the customers' series: spring to April, summer to July, fall.
@@ -45,14 +47,13 @@ def _slot() -> Column:
 
 def term_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers by term: the mean order price over 123,457, on about a 0 to 4 scale."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), _slot().alias("slot"), "o_totalprice")
-    return o.groupBy("c_custkey").pivot("slot", TERM_SLOTS).agg(F.avg("o_totalprice") / 123457)
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), _slot().alias("term_slot"), F.col("o_totalprice").alias("term_gpa"))
+    means = grid(o, ["c_custkey"], TERM_SLOTS)
+    return means.select("c_custkey", *((F.col(f"`{s}`") / 123457).alias(s) for s in TERM_SLOTS))
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The melted grid."""
-    from ..operators.trajectory import melt
-
     return melt(term_grid(spark, sf_dir), ["c_custkey"], TERM_SLOTS)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -586,3 +586,53 @@ def build_features(spark, sf_dir):
     )
     out = study.build(sheet.join(B.courses(spark, sf_dir), "o_orderkey"), None)[0]
     return rounded(out.select("o_orderkey", "random_id", "merge_id", "cgpa_gap", "graduated_me", "enrolled_terms_su_included_is_missing", "chem_110_attempts_to_abc", "chem_110_outcome_label", "math_140_total_attempts", "etm_total_attempts_to_abc"))
+
+
+# -- names, identifiers, labels and lines ----------------------------------------------------------------------
+
+_ODD = "p_type || CASE p_partkey % 5 WHEN 0 THEN ' (1st FA or SP)' WHEN 1 THEN ' GPA≥2.5/3' WHEN 2 THEN '  50% - A,B ' WHEN 3 THEN '-é_!' ELSE '' END"
+
+
+def _odd() -> Column:
+    ends = F.array(*map(F.lit, [" (1st FA or SP)", " GPA≥2.5/3", "  50% - A,B ", "-é_!", ""]))
+    return F.concat("p_type", F.get(ends, (F.col("p_partkey") % 5).cast("int")))
+
+
+@query("f1_std_col", f"""SELECT p_partkey, lower(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(trim(regexp_replace({_ODD}, '\\s+', ' ', 'g')), '≥', 'ge'), '(', '_'), ')', ''), '/', '_'), '%', 'pct'), '-', ' '), '[^\\pL\\pN_\\s]', '', 'g'), '\\s+', '_', 'g')) AS name FROM part""".replace("\\\\", "\\"))
+def std_names(spark, sf_dir):
+    return B.read(spark, sf_dir, "part").select("p_partkey", E.std_name(_odd()).alias("name"))
+
+
+@query("f28_safe_name", f"SELECT p_partkey, substr(regexp_replace({_ODD}, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 12) AS name FROM part")
+def safe_names(spark, sf_dir):
+    return B.read(spark, sf_dir, "part").select("p_partkey", E.file_name(_odd(), 12).alias("name"))
+
+
+@query("f2_identifier", "SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS id, CASE WHEN c_custkey % 4 > 0 THEN c_name ELSE 'nan' END AS id_or_text FROM customer")
+def identifiers(spark, sf_dir):
+    text = F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit(" \u00a0"), F.col("c_name"), F.lit("\t")))
+    return B.customers(spark, sf_dir).select("c_custkey", E.identifier(text).alias("id"), E.identifier(text, "nan").alias("id_or_text"))
+
+
+@query("f18_outcome_by_alias", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 0.0::DOUBLE END AS graduated_me FROM orders")
+def outcome_by_alias(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", " Yes").when(F.col("o_orderstatus") == "O", "NO ").otherwise("pending")
+    o = B.read(spark, sf_dir, "orders").select("o_orderkey", status.alias("me_bs_degree_status"))
+    return study.with_outcome(o, "graduated_me").select("o_orderkey", "graduated_me")
+
+
+@query("f22_bucket_labels", f"WITH {_BUCKETS} SELECT feature, bucket_no, printf('[%.2f, %.2f)', lo, hi) AS label FROM bk")
+def bucket_labels(spark, sf_dir):
+    found = scan.bucket_summary(B.orders(spark, sf_dir), "y", B.NUMERIC).select("feature", "bucket_no", "lo", "hi").collect()  # a row for each bucket
+    return spark.createDataFrame([(r["feature"], r["bucket_no"], synth.bucket_label(r["lo"], r["hi"])) for r in found], "feature string, bucket_no int, label string")
+
+
+@query("f30_bullets", f"""WITH e AS ({_EFFECTS}), r AS ({_RATIOS}), a AS (SELECT 1 AS kind, row_number() OVER (ORDER BY score DESC, feature) AS r, printf('`%s`: standardised difference %+.2f (means %.2f with the outcome, %.2f without; %d and %d rows)', feature, cohens_d, mean_grad1, mean_grad0, n1, n0) AS line FROM e
+UNION ALL SELECT 2, row_number() OVER (ORDER BY score DESC, feature), printf('`%s` is `%s`: %.2f times the rate of the other levels (95 %% interval %.2f to %.2f; %d rows)', feature, level, risk_ratio, rr_low, rr_high, n_level) FROM r)
+SELECT CAST(row_number() OVER (ORDER BY kind, r) AS INTEGER) AS nth, line FROM a WHERE r <= 3""")
+def lines(spark, sf_dir):
+    o = B.orders(spark, sf_dir)
+    effects, ratios = (rounded(x) for x in (scan.effect_sizes(o, "y", B.NUMERIC), scan.risk_ratios(o, "y", B.TEXT)))
+    none = spark.createDataFrame([], "feature string, bucket_no int, n long, grad_rate double")
+    found = synth.bullets(synth.combined(effects, ratios, none, 3, 3, 0))
+    return spark.createDataFrame([*enumerate(found, 1)], "nth int, line string")

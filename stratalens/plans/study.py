@@ -46,19 +46,20 @@ def with_outcome(df: DataFrame, outcome: str) -> DataFrame:
     return df.withColumn(outcome, E.binary_text(x) if dict(df.dtypes)[name] == "string" else E.binary_number(x))
 
 
-def build(info: DataFrame, grid: DataFrame | None, order: Sequence[str] = (), rule: str = "substring") -> tuple[DataFrame, DataFrame | None]:
+def build(info: DataFrame, grid: DataFrame | None, order: Sequence[str] = (), rule: str = "substring", missing_id: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(wide, long) from the information sheet and the term grid: names, keys, features, series and their aggregates.
 
-    ``order`` names columns (an ingest ordinal) by which the first row of an identifier is kept.
+    ``order`` names columns (an ingest ordinal) by which the first row of an identifier is kept. Rows without an identifier all stay, unless
+    ``missing_id`` (such as "nan") stands for it and makes them one.
     """
     info = standardize_columns(info)
-    info = info.withColumn("random_id", E.stripped(F.col("random_id"))).withColumn("merge_id", E.merge_id(F.col("random_id")))
+    info = info.withColumn("random_id", E.identifier(F.col("random_id"), missing_id)).withColumn("merge_id", E.merge_id(F.col("random_id")))
     info = keys.keep_first(info, "merge_id", [*order, "random_id"])
     wide = features.with_features(info, rule)
     if grid is None:
         return wide, None
     grid = standardize_columns(grid)
-    grid = grid.withColumn("random_id", E.stripped(F.col("random_id"))).withColumn("merge_id", E.merge_id(F.col("random_id")))
+    grid = grid.withColumn("random_id", E.identifier(F.col("random_id"), missing_id)).withColumn("merge_id", E.merge_id(F.col("random_id")))
     long = trajectory.melt(grid, ["merge_id", "random_id"])
     summary = trajectory.summarise(long, "random_id").withColumn("merge_id", E.merge_id(F.col("random_id")))
     first = grid.select("merge_id", "random_id", *(c for c in ("1st_term", "summer_start") if c in grid.columns))
