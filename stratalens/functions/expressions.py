@@ -136,10 +136,10 @@ def period(c: Column) -> Column:
         return F.struct(attempts.cast("int").alias("attempts"), index.isNotNull().alias("passed"), index.alias("pass_index"))
 
     none, tries, passes = F.lit(None), *(F.regexp_extract(text, "(?iU)" + p, 1).try_cast("int") for p in (SOME_ATTEMPTS, SOME_ATTEMPTS_TO_A_PASS))
-    out = F.when(passes.isNotNull(), meaning(passes, passes)).otherwise(meaning(F.coalesce(tries, F.lit(0)), none))
-    for pattern, attempts, index in PERIODS:  # no text is two of them
-        out = F.when(F.coalesce(text.rlike(rf"(?iU)^\s*{pattern}\s*$"), F.lit(False)), meaning(F.lit(attempts), F.lit(index))).otherwise(out)
-    return out
+    out = F.when(text.isNull(), meaning(F.lit(0), none))
+    for pattern, attempts, index in PERIODS:
+        out = out.when(text.rlike(rf"(?iU)^\s*{pattern}\s*$"), meaning(F.lit(attempts), F.lit(index)))
+    return out.when(passes.isNotNull(), meaning(passes, passes)).otherwise(meaning(F.coalesce(tries, F.lit(0)), none))
 
 
 def outcome_label(total: Column, passed_on: Column) -> Column:

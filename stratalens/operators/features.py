@@ -31,34 +31,32 @@ def column_or_null(df: DataFrame, name: str | None, kind: str) -> Column:
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(kind)
 
 
-def attempts(first_year: Column, second_year: Column, final: Column, rule: str = "substring") -> Column:
-    """struct(attempts_to_abc, total_attempts, outcome_label): the latest non-empty cumulative snapshot, else one more
+def attempts(one: Column, two: Column, hinted: Column) -> dict[str, Column]:
+    """attempts_to_abc and total_attempts of two years' ``period`` structs: the latest non-empty cumulative snapshot, else one more
     attempt where the final outcome hints a pass."""
-    one, two = E.period(first_year), E.period(second_year)
     pick = lambda k: F.when((two["attempts"] > 0) | two["passed"], two[k]).otherwise(one[k])
-    tried, passed, index = pick("attempts"), pick("passed"), pick("pass_index")
-    on = F.when(passed, index).when(E.final_pass(final, rule), tried + 1)
-    total = F.coalesce(on, tried)
-    return F.struct(on.cast("double").alias("attempts_to_abc"), total.cast("long").alias("total_attempts"), E.outcome_label(total, on).alias("outcome_label"))
+    on = F.when(pick("passed"), pick("pass_index")).when(hinted, pick("attempts") + 1)
+    return {"attempts_to_abc": on, "total_attempts": F.coalesce(on, pick("attempts"))}
 
 
 def course_features(df: DataFrame, keys: Sequence[str], courses: Sequence[str] = COURSES, rule: str = "substring") -> DataFrame:
-    """Per course attempts, pass flags, first-grade flag and label, and their roll-ups over the courses."""
-    structs, grades = [], {}
+    """Per course attempts, pass flags, first-grade flag and label, and their roll-ups over the courses.
+
+    One projection after the other, each of columns of the one before: texts are parsed once, and no generated method gets too long.
+    """
+    parsed, tried, out = [], [], [F.col(k) for k in keys]
     for c in courses:
         year = lambda k, c=c: column_or_null(df, f"{c}_outcome_after_{k}_ay", "string")
-        structs.append(attempts(year("1st"), year("2nd"), column_or_null(df, f"{c}_outcome", "string"), rule).alias(f"_{c}"))
         name = resolve_col(df.columns, [f"{c}_grade_code_1st_fa_or_sp", f"{c}__grade_code__1st_fa_or_sp"])
-        grades[c] = E.flag(E.clean_grade(column_or_null(df, name, "string")).isin(*E.DFW_GRADES)).alias(f"{c}_first_grade_dfw")
-    rows = df.select(*keys, *structs, *grades.values())
-    out = [F.col(k) for k in keys]
-    for c in courses:
-        a = F.col(f"_{c}.attempts_to_abc")
+        parsed += [E.period(year("1st")).alias(f"_{c}_1"), E.period(year("2nd")).alias(f"_{c}_2"), E.final_pass(column_or_null(df, f"{c}_outcome", "string"), rule).alias(f"_{c}_hint")]
+        parsed.append(E.flag(E.clean_grade(column_or_null(df, name, "string")).isin(*E.DFW_GRADES)).alias(f"{c}_first_grade_dfw"))
+        tried += [x.alias(f"_{c}_{k}") for k, x in attempts(F.col(f"_{c}_1"), F.col(f"_{c}_2"), F.col(f"_{c}_hint")).items()] + [F.col(f"{c}_first_grade_dfw")]
+        a, n = F.col(f"_{c}_attempts_to_abc"), F.col(f"_{c}_total_attempts")
         out += [
-            a.alias(f"{c}_attempts_to_abc"), E.flag(a == 1).alias(f"{c}_pass_by_first_attempt"), a.isNotNull().cast("int").alias(f"{c}_ever_passed"),
-            F.col(f"{c}_first_grade_dfw"), F.col(f"_{c}.total_attempts").alias(f"{c}_total_attempts"), F.col(f"_{c}.outcome_label").alias(f"{c}_outcome_label"),
+            a.cast("double").alias(f"{c}_attempts_to_abc"), E.flag(a == 1).alias(f"{c}_pass_by_first_attempt"), a.isNotNull().cast("int").alias(f"{c}_ever_passed"),
+            F.col(f"{c}_first_grade_dfw"), n.cast("long").alias(f"{c}_total_attempts"), E.outcome_label(n, a).alias(f"{c}_outcome_label"),
         ]
-    return rollups(rows.select(*out), courses)
+    return rollups(df.select(*keys, *parsed).select(*keys, *tried).select(*out), courses)
 
 
 def rollups(df: DataFrame, courses: Sequence[str] = COURSES) -> DataFrame:
@@ -74,34 +72,16 @@ def rollups(df: DataFrame, courses: Sequence[str] = COURSES) -> DataFrame:
     )
 
 
-def with_features(df: DataFrame, rule: str = "substring") -> DataFrame:
-    """``df`` with the features of its own rows, one projection; where names meet, ``df``'s columns stay, then the courses' features.
-
-    No key is needed, so rows without an identifier have theirs too.
-    """
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
-    courses = course_features(df.select(row, "*"), ["_row"], rule=rule)
-    new = [c for c in courses.columns if c != "_row"]
-    both = info_features(courses.select("_row", F.struct(*new).alias("_courses"), "_row.*"), ["_row", "_courses"])
-    out = {c: F.col(f"_row.`{c}`") for c in df.columns}
-    out |= {c: F.col(f"_courses.`{c}`") for c in new if c not in out}
-    out |= {c: F.col(f"`{c}`") for c in both.columns if c not in out and c not in ("_row", "_courses")}
-    return both.select(*(x.alias(c) for c, x in out.items()))
-
-
-def info_features(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The kept columns, typed, with gaps, rates, flags and missingness indicators (and ``keys`` as they are)."""
+def information(df: DataFrame) -> dict[str, Column]:
+    """Gaps, rates, flags and missingness indicators of the sheet, by name."""
     found = {k: resolve_col(df.columns, *spellings) for k, spellings in ALIASES.items()}
-    optional = [c for c in dict.fromkeys(found.values()) if c and c not in KEPT]
-    numeric = {*NUMERIC, *(c for c in found.values() if c)}
-    base = df.select(*keys, *((E.number(F.col(f"`{c}`")).alias(c) if c in numeric else F.col(f"`{c}`")) for c in (*KEPT, *optional) if c in df.columns))
-    x = lambda c: column_or_null(base, c, "double")
+    x = lambda c: E.number(column_or_null(df, c, "double"))
     forgiven = "total_grade_forgiveness_credits_approved_before_etm_to_any_campus"
     terms, warnings = x(found["enrolled"]), found["warnings"]
-    positive = lambda c: E.flag(x(c) > 0) if c in base.columns else F.lit(None).cast("int")
+    positive = lambda c: E.flag(x(c) > 0) if c in df.columns else F.lit(None).cast("int")
     new = {
         "cgpa_gap": x("graduating_cgpa") - x("cgpa_at_etm_to_any_campus"),
-        "graduated_me": E.graduated(column_or_null(base, "me_bs_degree_status", "string")),
+        "graduated_me": E.graduated(column_or_null(df, "me_bs_degree_status", "string")),
         "warnings_per_term": E.rate(F.coalesce(x(warnings), F.lit(0.0)), terms) if warnings else F.lit(None).cast("double"),
         "low_gpa_term_rate_2_5": E.rate(x(found["below_2_5"]), terms),
         "low_gpa_term_rate_3_0": E.rate(x(found["below_3"]), terms),
@@ -109,8 +89,28 @@ def info_features(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         "grade_forgiveness_used": positive(forgiven),
         "multi_repeat_flag": positive(found["third_time"]),
     }
-    new |= {f"{c}_is_missing": x(c).isNull().cast("int") for c in ("cgpa_at_etm_to_any_campus", "graduating_cgpa", found["enrolled"]) if c in base.columns}
-    return base.withColumns(new)
+    return new | {f"{c}_is_missing": x(c).isNull().cast("int") for c in ("cgpa_at_etm_to_any_campus", "graduating_cgpa", found["enrolled"]) if c in df.columns}
+
+
+def info_features(df: DataFrame) -> DataFrame:
+    """The kept columns, typed, with gaps, rates, flags and missingness indicators."""
+    found = {k: resolve_col(df.columns, *spellings) for k, spellings in ALIASES.items()}
+    optional = [c for c in dict.fromkeys(found.values()) if c and c not in KEPT]
+    numeric = {*NUMERIC, *(c for c in found.values() if c)}
+    base = df.select(*((E.number(F.col(f"`{c}`")).alias(c) if c in numeric else F.col(f"`{c}`")) for c in (*KEPT, *optional) if c in df.columns))
+    return base.withColumns(information(base))
+
+
+def with_features(df: DataFrame, rule: str = "substring") -> DataFrame:
+    """``df`` with the features of its own rows, projections only; where names meet, ``df``'s columns stay, then the courses' features.
+
+    No key is needed, so rows without an identifier have theirs too.
+    """
+    new = course_features(df, [], rule=rule).columns
+    aside = {c: f"_own_{c}" for c in new if c in df.columns}  # while the courses' are made
+    rows = df.withColumnsRenamed(aside)
+    out = course_features(rows, rows.columns, rule=rule).drop(*aside).withColumnsRenamed({b: a for a, b in aside.items()})
+    return out.withColumns({c: x for c, x in information(df).items() if c not in out.columns})
 
 
 def row_checks(df: DataFrame) -> DataFrame:

@@ -66,10 +66,11 @@ ATTEMPTS = [
 
 def test_attempts(spark):
     df = spark.createDataFrame([(i, *a) for i, a in enumerate(ATTEMPTS)], "i int, one string, two string, final string, a double, label string, n long")
-    got = df.select("*", features.attempts(F.col("one"), F.col("two"), F.col("final")).alias("g")).collect()
-    assert all((r.g.attempts_to_abc, r.g.outcome_label, r.g.total_attempts) == (r.a, r.label, r.n) for r in got)
-    strict = df.filter("final = 'FAIL'").select(features.attempts(F.col("one"), F.col("two"), F.col("final"), "token").alias("g")).first()
-    assert strict.g.attempts_to_abc is None
+    sheet = df.toDF("i", "x_outcome_after_1st_ay", "x_outcome_after_2nd_ay", "x_outcome", "a", "label", "n")
+    got = features.course_features(sheet, ["a", "label", "n"], ["x"]).collect()
+    assert len(got) == len(ATTEMPTS) and all((r.x_attempts_to_abc, r.x_outcome_label, r.x_total_attempts) == (r.a, r.label, r.n) for r in got)
+    strict = features.course_features(sheet.filter("x_outcome = 'FAIL'"), [], ["x"], "token").first()
+    assert strict.x_attempts_to_abc is None
 
 
 def test_graduated(spark):
