@@ -38,7 +38,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
     """A table by its extension: .csv (typed by its first rows unless a schema is given), .xlsx, else Parquet."""
     kind = PurePosixPath(path).suffix
     if kind == ".csv" and schema is None:
-        return read_checked(spark, path)[0]
+        return without_nan(typed.read_csv(spark, path, NA_TOKENS, checked=False)[0])
     if kind == ".csv":
         return without_nan(spark.read.option("header", True).option("nullValue", "").schema(schema).csv(path))
     if kind == ".xlsx":

@@ -41,11 +41,13 @@ def infer(rows: DataFrame, sample: int = SAMPLE) -> dict[str, str]:
     return {c: "double" if found[f"empty{i}"] else next((k for k in tests if found[f"{k}{i}"]), "string") for i, c in enumerate(rows.columns)}
 
 
-def read_csv(spark: SparkSession, path: str, missing: tuple[str, ...], sample: int = SAMPLE) -> tuple[DataFrame, Fit]:
-    """A CSV file or folder with a header, ``missing`` texts as null, and how it fits the types of its first rows."""
+def read_csv(spark: SparkSession, path: str, missing: tuple[str, ...], sample: int = SAMPLE, checked: bool = True) -> tuple[DataFrame, Fit | None]:
+    """A CSV file or folder with a header, ``missing`` texts as null, and (if ``checked``) how it fits the types of its first rows."""
     texts = spark.read.option("header", True).option("nullValue", "").csv(path)
     texts = texts.select(*(F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in texts.columns))
     kinds, seen = infer(texts, sample), Observation()
     typed = {c: _typed(F.col(f"`{c}`"), k) for c, k in kinds.items()}
+    if not checked:
+        return texts.select(*(x.alias(c) for c, x in typed.items())), None
     counts = [F.count_if(F.col(f"`{c}`").isNotNull() & x.isNull()).alias(f"m{i}") for i, (c, x) in enumerate(typed.items())]
     return texts.observe(seen, *counts).select(*(x.alias(c) for c, x in typed.items())), Fit(kinds, seen)
