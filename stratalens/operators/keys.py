@@ -77,10 +77,14 @@ def top_levels(df: DataFrame, feature: str, k: int) -> DataFrame:
 
 
 def lookup(long: DataFrame, value: str, keys: Sequence[str] = ("merge_id", "random_id")) -> DataFrame:
-    """The rows of one entity, by the first of the keys that holds the value."""
+    """The rows of one entity, by the first of the keys that holds the value as text.
+
+    The value is compared in the key's own type as well, which reaches the scan; ``sources.sorted.find`` opens only the file that may hold it.
+    """
     for key in keys:
         if key in long.columns:
-            rows = long.filter(F.col(key).cast("string") == value)
+            same = F.col(key) == F.lit(value).try_cast(long.schema[key].dataType)
+            rows = long.filter(same & (F.col(key).cast("string") == value))
             if key == keys[-1] or rows.limit(1).count():
                 return rows
     return long.limit(0)
