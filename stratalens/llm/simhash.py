@@ -207,7 +207,7 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable by links)."""
     with scratch() as kept:
-        rows = written(fingerprints(docs), "fingerprints")
+        rows = written(fingerprints(docs), "fingerprints", large=True)  # a task for each piece of the texts
         firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
         roots = components(links(firsts)).select(F.col("node").alias("fp"), "root")
         named = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
