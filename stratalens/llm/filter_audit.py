@@ -63,7 +63,7 @@ def failures(docs: DataFrame) -> DataFrame:
 def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, n, good, toxic): documents by part and failed filters, and those of them with a label. A written table."""
     with scratch() as kept:
-        rows = written(failures(docs), "failures")
+        rows = written(failures(docs), "failures", large=True)  # a task for each piece of the texts
         firsts = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1 and first is not null").select("text_key", "first"), "firsts")
         firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
         copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
