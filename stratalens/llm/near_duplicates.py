@@ -20,6 +20,9 @@ in different components is compared across these: small buckets by a join, large
 behind an exact bound on the difference. Large buckets that overlap are compared as one group where that takes fewer
 comparisons, so that two sets meet once and not in each bucket they share. Every candidate is verified on the whole shingle sets.
 
+Signatures move in packs: a task sorts some million of them and gives out one row for each bin, a range of signatures.
+A bin's packs meet in one task, which keeps no more of them than the bin's distinct signatures.
+
 A set's 64-bit key only routes it. Sets with equal keys are told apart by 128 bits.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; equal rows link; rows with
@@ -50,8 +53,12 @@ BROADCAST_ROWS = 200_000
 SMALL_BUCKET, BLOCK = 64, 512
 #: Distinct sets that a task remembers, to sign copies once.
 SEEN = 100_000
-#: Signature rows in one Arrow batch, and bytes of shingles in one.
+#: Rows in one Arrow batch, and bytes of shingles in one.
 ROWS_OUT, BYTES_OUT = 100_000, 1 << 22
+#: Signatures that a task packs at once and joins at once, bins of signatures at least, and joined ones in a pack.
+PACKED, BINS, JOINED = 1 << 18, 1 << 11, 1 << 12
+#: Orders of keys by which a bin's leaders are chosen: what isn't linked with one set may be with another one.
+ORDERS = 64
 #: Bits of a set's parity sketch for each shingle, at least (a power of two in all); sets that differ in d
 #: shingles have sketches that differ in at most d bits, also when the longer one is folded to the other's length.
 SKETCH_BITS, LEAST_BITS = 1, 256
@@ -143,60 +150,108 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 _MORE = {"leader": pa.int64(), "doc_id": pa.int64(), "th": pa.int64(), "k2": pa.int64(), "n": pa.int32()}
-_SIGNED, _SHARED = "a long, key long, more binary", "a long, key long, more struct<leader:long,doc_id:long,th:long,k2:long,n:int>"
+_SIGNED, _SHARED = "a long, key long, kind int, more binary", "a long, key long, more struct<leader:long,doc_id:long,th:long,k2:long,n:int>"
+#: Kinds of signed rows: a document, a bin's pack of signatures (with the keys of their sets), a pack of sets that share one with a leader.
+DOC, PACK, SHARE = range(3)
+#: Within its bin a signature goes by 32 bits: what these confuse are candidates like others.
+_SIGNATURE = np.dtype([("low", "<u4"), ("key", "<i8")])
+_SHARES = np.dtype([("sig", "<i8"), ("key", "<i8"), ("leader", "<i8")])
+_DOCUMENT = np.dtype([("there", "<i8"), ("doc_id", "<i8"), ("th", "<i8"), ("k2", "<i8"), ("n", "<i8")])
+
+
+def _packed(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    """The columns as records."""
+    out = np.empty(len(columns[0]), kind)
+    for name, column in zip(kind.names, columns):
+        out[name] = column
+    return out
+
+
+def _rows(kind: int, a: np.ndarray, key: pa.Array, data: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
+    """Rows (a, key, kind, more) of records, each of those from its begin on."""
+    offsets = (np.append(begins, len(data)) * data.dtype.itemsize).astype(np.int32)
+    more = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(a), key, pa.array(np.full(len(a), kind, np.int32)), more], names=["a", "key", "kind", "more"])
 
 
-def _rows(a: np.ndarray, key: np.ndarray, more: pa.Array | None = None) -> pa.RecordBatch:
-    """Rows (a, key, more): of a signature; with more of two sets that share one, or of a document."""
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(key), pa.nulls(len(a), pa.binary()) if more is None else more], names=["a", "key", "more"])
+def _unpacked(rows: pa.Array, kind: np.dtype) -> np.ndarray:
+    """The records of some rows' bytes."""
+    sizes = np.asarray(pc.binary_length(rows))
+    offset = np.frombuffer(rows.buffers()[1], "<i4", len(rows) + 1 + rows.offset)[rows.offset]
+    return np.frombuffer(rows.buffers()[2], np.uint8, int(sizes.sum()), int(offset)).view(kind) if sizes.any() else np.zeros(0, kind)
 
 
-def _packed(*columns: np.ndarray) -> pa.Array:
-    """A row's longs as bytes: rows of signatures, which are most, then carry one null only."""
-    data = np.column_stack(columns).astype("<i8")
-    offsets = np.arange(len(data) + 1, dtype=np.int32) * (8 * len(columns))
-    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+def _leading(sig: np.ndarray, key: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_SHARED``: sets that share a signature with a leader."""
+    column = pa.StructArray.from_arrays([pa.array(leader), *(pa.nulls(len(key), t) for t in list(_MORE.values())[1:])], names=list(_MORE))
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), column], names=["a", "key", "more"])
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_SHARED``: of a leader (one long), and of documents (five: whether there is an id, the id, th, k2, n)."""
-    sizes = pc.binary_length(batch.column(2))
-    for longs in (1, 5):
-        rows = batch.filter(pc.equal(sizes, 8 * longs))
-        if len(rows):
-            x = np.frombuffer(pa.concat_arrays([rows.column(2)]).buffers()[2], "<i8", len(rows) * longs).reshape(-1, longs)
-            nulls = [pa.nulls(len(rows), t) for t in _MORE.values()]
-            docs = [nulls[0], pa.array(x[:, 1], mask=x[:, 0] == 0), pa.array(x[:, 2]), pa.array(x[:, 3]), pa.array(x[:, 4].astype(np.int32))] if longs == 5 else None
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.StructArray.from_arrays(docs or [pa.array(x[:, 0]), *nulls[1:]], names=list(_MORE))], names=["a", "key", "more"])
+def _sorted(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures in order, their keys, where a signature begins, and the smallest key of all that are equal."""
+    order = np.argsort(sig)
+    sig, key = sig[order], key[order]
+    begins = np.r_[True, sig[1:] != sig[:-1]]
+    return sig, key, begins, np.minimum.reduceat(key, np.flatnonzero(begins))[np.cumsum(begins) - 1]
 
 
 class Signer:
-    """Collects the signatures of sets, and gives them out with what shares one within a batch already joined."""
+    """Collects the signatures of sets, and gives them out in packs, with what shares one among them already joined."""
 
-    def __init__(self, common: np.ndarray):
-        self.enum, self.out, self.size = PartEnum(common), [], 0
+    def __init__(self, common: np.ndarray, bins: int = BINS):
+        self.enum, self.bins, self.out, self.size = PartEnum(common), np.uint64(bins), [], 0
 
     def add(self, key: int, shingles: np.ndarray) -> bool:
         """Whether enough is there to give out."""
-        signed = self.enum.signatures(shingles).view(np.int64)
+        signed = self.enum.signatures(shingles)
         self.out.append((signed, np.full(len(signed), key)))
         self.size += len(signed)
-        return self.size >= ROWS_OUT
+        return self.size >= PACKED
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             sig, key = map(np.concatenate, zip(*self.out))
-            order = np.lexsort((key, sig))
-            sig, key = sig[order], key[order]
-            begins = np.r_[True, sig[1:] != sig[:-1]]
-            leader = key[np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))]
-            yield _rows(sig[begins], key[begins])
-            rest = ~begins & (key != leader)
+            bins, low = ((sig >> np.uint64(32)) * self.bins) >> np.uint64(32), sig & np.uint64(0xFFFFFFFF)
+            sig, key, begins, leader = _sorted((bins << np.uint64(32) | low).view(np.int64), key)
+            one, bins = sig[begins], sig[begins] >> 32
+            first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+            yield _rows(PACK, bins[first], pa.nulls(len(first), pa.int64()), _packed(_SIGNATURE, one & 0xFFFFFFFF, leader[begins]), first)
+            rest = key != leader
             if rest.any():
-                yield _rows(sig[rest], key[rest], _packed(leader[rest]))
+                first = np.arange(0, int(rest.sum()), JOINED)
+                to = mix64(sig[rest][first].view(np.uint64)).view(np.int64)  # what is joined already goes anywhere
+                yield _rows(SHARE, to, pa.nulls(len(first), pa.int64()), _packed(_SHARES, sig[rest], key[rest], leader[rest]), first)
         self.out, self.size = [], 0
 
 
+class Joiner:
+    """Joins packs that come in the order of their bins. What it keeps of a bin whose packs may go on is a leader for each signature."""
+
+    def __init__(self):
+        self.sig, self.key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.orders = mix64(np.arange(ORDERS, dtype=np.uint64)).view(np.int64)
+
+    def join(self, bins: np.ndarray, packs: pa.Array) -> Iterator[pa.RecordBatch]:
+        sizes = np.asarray(pc.binary_length(packs)) // _SIGNATURE.itemsize
+        ends, at = np.cumsum(sizes), 0
+        while at < len(bins):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + max(PACKED, len(self.sig)))))
+            rows = _unpacked(packs.slice(at, to - at), _SIGNATURE)
+            sig = np.concatenate([self.sig, np.repeat(bins[at:to], sizes[at:to]) << 32 | rows["low"].astype(np.int64)])
+            key = np.concatenate([self.key, rows["key"]])
+            sig, key, begins, leader = _sorted(sig, key ^ self.orders[(sig >> 32) % ORDERS])
+            salts = self.orders[(sig >> 32) % ORDERS]
+            key, leader = key ^ salts, leader ^ salts
+            last = begins & (sig >> 32 == bins[to - 1])
+            self.sig, self.key, at = sig[last], leader[last], to
+            shared = np.flatnonzero(leader != key)
+            shared = shared[np.lexsort((key[shared], sig[shared]))]
+            again = (sig[shared][1:] == sig[shared][:-1]) & (key[shared][1:] == key[shared][:-1])  # equal sets of several tasks
+            shared = shared[np.r_[True, ~again]] if len(shared) else shared
+            if len(shared):
+                yield _leading(sig[shared], key[shared], leader[shared])
+
+
 def _common(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles of all documents, sorted: at most ``COMMON``, of ``COMMON_ROWS`` rows at least.
 
@@ -246,8 +301,10 @@ def _common(docs: DataFrame) -> np.ndarray:
 def _signed(docs: DataFrame, common) -> DataFrame:
     """For each row its document, and for each set its signatures; common: the broadcast common shingles."""
 
+    bins = max(BINS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer, seen = Shingler(), Signer(common.value), set()
+        shingler, signer, seen = Shingler(), Signer(common.value, bins), set()
         for batch in batches:
             k1, k2, sizes = (np.zeros(len(batch), t) for t in (np.int64, np.int64, np.int32))
             for i, text in enumerate(batch.column(2)):
@@ -265,7 +322,7 @@ def _signed(docs: DataFrame, common) -> DataFrame:
             there, ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
             spread = mix64((th ^ k2).view(np.uint64) + ids.view(np.uint64))
             if len(batch):
-                yield _rows(spread.view(np.int64), k1, _packed(there, ids, th, k2, sizes))
+                yield _rows(DOC, spread.view(np.int64), pa.array(k1), _packed(_DOCUMENT, there, ids, th, k2, sizes), np.arange(len(batch)))
         yield from signer.batches()
         trim()
 
@@ -274,33 +331,26 @@ def _signed(docs: DataFrame, common) -> DataFrame:
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """Rows with more as they are, and with a leader each set that shares a signature with another one."""
+    """A row for each document, and with a leader each set that shares a signature with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = leader = None
+        joiner = Joiner()
         for batch in batches:
-            more = np.asarray(batch.column(2).is_valid())
-            if more.any():
-                yield from _unpacked(batch.filter(pa.array(more)))
-                batch = batch.filter(pa.array(~more))
-            if not len(batch):
-                continue
-            sig, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            begins = np.ones(len(sig), bool)
-            begins[1:] = sig[1:] != sig[:-1]
-            leaders = key[np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))]
-            if sig[0] == last:
-                leaders[: int(np.argmax(begins[1:])) + 1 if begins[1:].any() else len(sig)] = leader
-            last, leader = sig[-1], leaders[-1]
-            keep = leaders != key
-            if keep.any():
-                sig, key, leaders = sig[keep], key[keep], leaders[keep]
-                column = pa.StructArray.from_arrays([pa.array(leaders), *(pa.nulls(len(key), t) for t in list(_MORE.values())[1:])], names=list(_MORE))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), column], names=["a", "key", "more"])
+            kinds = np.asarray(batch.column(2))
+            docs, packs, shares = (batch.filter(pa.array(kinds == kind)) for kind in (DOC, PACK, SHARE))
+            if len(docs):
+                x = _unpacked(docs.column(3), _DOCUMENT)
+                more = [pa.nulls(len(x), pa.int64()), pa.array(x["doc_id"], mask=x["there"] == 0), pa.array(x["th"]), pa.array(x["k2"]), pa.array(x["n"].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.StructArray.from_arrays(more, names=list(_MORE))], names=["a", "key", "more"])
+            if len(shares):
+                x = _unpacked(shares.column(3), _SHARES)
+                for i in range(0, len(x), ROWS_OUT):
+                    yield _leading(*(np.ascontiguousarray(x[c][i : i + ROWS_OUT]) for c in _SHARES.names))
+            if len(packs):
+                yield from joiner.join(np.asarray(packs.column(0)), packs.column(3))
         trim()
 
-    to = F.when(F.octet_length("more") == 8, F.xxhash64("a", "key")).otherwise(F.col("a"))  # what is joined already goes anywhere
-    return signed.repartition(to).sortWithinPartitions("a").mapInArrow(run, _SHARED)
+    return signed.repartition("a").sortWithinPartitions("a").mapInArrow(run, _SHARED)
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -143,3 +143,62 @@ def test_second_keys_are_of_other_hashes():
     (a, x), (b, y) = (shingler.both(t.encode()) for t in ("a b c d e f", "a b c d e g"))
     assert np.array_equal(shingler.of(b"a b c d e f"), a) and len(x) == len(a)
     assert nd.set_keys(a, x)[1] != nd.set_keys(a, y)[1] and nd.set_keys(a, x)[0] == nd.set_keys(a, y)[0]
+
+
+def test_signatures_move_in_packs():
+    """A row for each bin and not for each signature, of 12 bytes a signature and little more."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    signer, signed = nd.Signer(np.zeros(0, np.uint64)), 0
+    for key in range(300):
+        shingles = np.sort(rng.integers(0, 1 << 64, 600, dtype=np.uint64))
+        signed += len(signer.enum.signatures(shingles))
+        signer.add(key, shingles)
+    out = list(signer.batches())
+    assert signed > 50_000 and sum(map(len, out)) < signed / 10 and sum(x.nbytes for x in out) < 14 * signed
+
+
+def test_packs_join_whatever_their_slices(monkeypatch):
+    """Bins that go on over slices and batches: sets hang together by a signature as they do in plain Python, and no row comes twice."""
+    import numpy as np
+
+    monkeypatch.setattr(nd, "PACKED", 20)
+    rng = np.random.default_rng(1)
+    sigs = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2)
+    sets = [(int(key), rng.choice(sigs, 12, replace=False)) for key in rng.integers(-(1 << 62), 1 << 62, 60)]
+    sets += sets[:20]  # equal sets of another task
+    packs, found = {}, []
+    for at in range(0, len(sets), 8):
+        signer = nd.Signer(np.zeros(0, np.uint64), 3)
+        for key, some in sets[at : at + 8]:
+            signer.out.append((some, np.full(12, key)))
+            signer.size += 12
+        for batch in signer.batches():
+            for a, kind, more in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if kind == nd.PACK:
+                    packs.setdefault(a, []).append(more)
+                else:
+                    found += [tuple(x) for x in np.frombuffer(more, nd._SHARES).tolist()]
+    assert set(packs) <= {0, 1, 2}
+    rows, joined, joiner = [(a, x) for a in sorted(packs) for x in packs[a]], [], nd.Joiner()
+    for at in range(0, len(rows), 4):
+        bins, some = zip(*rows[at : at + 4])
+        for batch in joiner.join(np.array(bins), nd.pa.array(some, nd.pa.binary())):
+            joined += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).field("leader").to_pylist())
+    assert joined and found
+    links = {}
+    for sig, key, leader in found + joined:
+        assert key != leader
+        links.setdefault(sig, []).append({key, leader})
+    whole = {}
+    for key, some in sets:
+        for x in some.tolist():
+            whole.setdefault((((x >> 32) * 3) >> 32) << 32 | x & 0xFFFFFFFF, set()).add(key)
+    for sig, keys in whole.items():
+        reached, ends = {min(keys)}, links.get(sig, [])
+        for _ in ends:
+            for pair in ends:
+                if pair & reached:
+                    reached |= pair
+        assert reached == keys
